@@ -76,12 +76,13 @@ def matches_query(text: Column, query: str) -> Column:
 
 def absolute_time(ts: Column, timezone: str = "UTC") -> Column:
     """``yyyy/MM/dd HH:mm`` in the viewer's zone, for a session running in UTC."""
-    return F.coalesce(F.date_format(F.from_utc_timestamp(ts, timezone), "yyyy/MM/dd HH:mm"), F.lit(NO_TIME))
+    return F.coalesce(F.date_format(F.from_utc_timestamp(ts.cast("timestamp"), timezone), "yyyy/MM/dd HH:mm"), F.lit(NO_TIME))
 
 
 def relative_age(ts: Column, as_of: Column, timezone: str = "UTC") -> Column:
     """Age in floored minutes, hours or days; from 30 days on the absolute time."""
-    seconds = F.floor((F.unix_millis(as_of) - F.unix_millis(ts)) / 1000)
+    ts = ts.cast("timestamp")
+    seconds = F.floor((F.unix_millis(as_of.cast("timestamp")) - F.unix_millis(ts)) / 1000)
 
     def whole(unit: int, label: str) -> Column:
         return F.concat(F.floor(seconds / unit).cast("string"), F.lit(label))

@@ -16,7 +16,7 @@ from pyspark.storagelevel import StorageLevel
 from freshet import schemas
 from freshet.functions.text import blank_to_null
 from freshet.operators.extract import explode_links
-from freshet.operators.overflow import fold_overflowing
+from freshet.operators.overflow import events_of, fold_overflowing, known_after
 from freshet.operators.topk import top_per_group
 from freshet.session import join_dimension
 
@@ -46,11 +46,19 @@ class State:
 
 @dataclass(frozen=True)
 class Advance:
-    """Outcome of ``advance``: the next state, every new item, and each site's last run."""
+    """Outcome of ``advance``: the next state, every new item, and each site's last run.
+
+    ``release`` frees what was persisted for it, once the outcome is written.
+    """
 
     state: State
     new_items: DataFrame
     results: DataFrame
+    persisted: tuple[DataFrame, ...] = ()
+
+    def release(self) -> None:
+        for df in self.persisted:
+            df.unpersist()
 
 
 def _site_runs(pages: DataFrame) -> DataFrame:
@@ -174,14 +182,17 @@ def advance(state: State, pages: DataFrame, single_run: bool = False) -> Advance
     """
     if "known_limit" not in pages.columns:
         pages = pages.withColumn("known_limit", schemas.known_limit(F.col("max_items")))
+    held = []
     if not pages.is_cached:
         pages = pages.persist(StorageLevel.MEMORY_AND_DISK)
+        held.append(pages)
     prior = state.sites
     runs = _site_runs(pages).join(
         prior.select("site_id", F.col("seeded").alias("was_seeded")), "site_id", "left"
     ).withColumn("was_seeded", F.coalesce("was_seeded", F.lit(False)))
     links = explode_links(pages)
     merged = _merge(state.known, first_sightings(links)).persist(StorageLevel.MEMORY_AND_DISK)
+    held.append(merged)
     sizes = merged.groupBy("site_id").agg(F.count("*").alias("size"))
     limits = runs.join(sizes, "site_id").select(
         "site_id", "last_ok", "ok_runs", "known_limit", "was_seeded", (F.col("size") - F.col("known_limit")).alias("excess")
@@ -206,12 +217,15 @@ def advance(state: State, pages: DataFrame, single_run: bool = False) -> Advance
     else:
         known = evict(merged, over.filter(F.col("ok_runs") <= 1)).select(*known_columns)
         known = known.join(ordered, "site_id", "left_anti")
-        folded_known, folded_new = fold_overflowing(state.known, pages, ordered)
+        folded = fold_overflowing(state.known, pages, ordered).persist(StorageLevel.MEMORY_AND_DISK)
+        held.append(folded)
+        folded_known, folded_new = known_after(folded), events_of(folded)
         known = known.unionByName(folded_known.select(*known_columns))
         new_items = new_items.join(ordered, "site_id", "left_anti").unionByName(folded_new.select(*new_items.columns))
 
     recent = _recent(new_items, state.recent, runs)
-    return Advance(State(known, recent, _next_sites(prior, pages, runs, new_items)), new_items, _results(runs, new_items))
+    sites = _next_sites(prior, pages, runs, new_items)
+    return Advance(State(known, recent, sites), new_items, _results(runs, new_items), tuple(held))
 
 
 def _next_sites(prior: DataFrame, pages: DataFrame, runs: DataFrame, new_items: DataFrame) -> DataFrame:

@@ -19,9 +19,7 @@ from freshet.session import join_dimension
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-_OUT = (
-    "site_id string, url string, title string, first_seen timestamp, seq bigint, is_event boolean"
-)
+_OUT = "site_id string, url string, title string, first_seen timestamp, seq bigint, is_event boolean"
 _FLUSH_ROWS = 50_000
 
 
@@ -105,8 +103,8 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
-def fold_overflowing(known: DataFrame, pages: DataFrame, sites: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Known URLs and new items of ``sites`` (site_id, known_limit, was_seeded) after all their runs, in order."""
+def fold_overflowing(known: DataFrame, pages: DataFrame, sites: DataFrame) -> DataFrame:
+    """All runs of ``sites`` (site_id, known_limit, was_seeded) in order: known URLs at the end, and new items."""
     settings = sites.select("site_id", "known_limit", "was_seeded")
     ok_pages = pages.filter(F.col("error").isNull()).select("site_id", "run_ts", "links")
     runs = _changed_runs(join_dimension(ok_pages, settings, "site_id"))
@@ -117,12 +115,17 @@ def fold_overflowing(known: DataFrame, pages: DataFrame, sites: DataFrame) -> tu
     before = join_dimension(known, settings, "site_id").select(
         "site_id", F.col("first_seen").alias("run_ts"), "url", "title", "seq", F.lit(True).alias("is_known"), "known_limit", "was_seeded"
     )
-    folded = (
+    return (
         sightings.unionByName(before)
         .repartition("site_id")
         .sortWithinPartitions("site_id", F.col("is_known").desc(), F.col("run_ts").asc_nulls_first(), "seq")
         .mapInArrow(_fold, _OUT)
-        .persist()
     )
-    events = folded.filter("is_event").select("site_id", "title", "url", "first_seen", F.col("seq").cast("int").alias("pos"))
-    return folded.filter("NOT is_event").drop("is_event"), events
+
+
+def known_after(folded: DataFrame) -> DataFrame:
+    return folded.filter("NOT is_event").drop("is_event")
+
+
+def events_of(folded: DataFrame) -> DataFrame:
+    return folded.filter("is_event").select("site_id", "title", "url", "first_seen", F.col("seq").cast("int").alias("pos"))

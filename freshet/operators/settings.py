@@ -121,15 +121,20 @@ def violations(raw: DataFrame) -> DataFrame:
     """Everything wrong with the entries: ord, code, detail. No row means all can be used."""
     sites = _identity(raw)
     usable = F.col("entry").isNotNull() & (_kind(F.col("entry")) == "OBJECT")
+    nothing = F.lit(None).cast("string")
+
+    def wrong(when: Column, code: str, detail: Column) -> Column:
+        return F.when(when, F.struct(F.lit(code).alias("code"), detail.alias("detail")))
+
     found = [
-        F.when(~usable, F.struct(F.lit("not_an_object").alias("code"), F.lit(None).cast("string").alias("detail"))),
-        F.when(usable & (F.col("url") == ""), F.struct(F.lit("url_missing"), F.lit(None).cast("string"))),
-        F.when(usable & (F.col("url") != "") & ~F.col("url").rlike("^https?://"), F.struct(F.lit("url_scheme"), F.col("url"))),
+        wrong(~usable, "not_an_object", nothing),
+        wrong(usable & (F.col("url") == ""), "url_missing", nothing),
+        wrong(usable & (F.col("url") != "") & ~F.col("url").rlike("^https?://"), "url_scheme", F.col("url")),
     ]
     for keys, code in ((_LISTS, "not_a_list"), (_NUMBERS, "not_a_number")):
         for key in keys:
             value = _value(F.col("entry"), key)
-            found.append(F.when(value.isNotNull() & _setting(key, value).isNull(), F.struct(F.lit(code), F.lit(key))))
+            found.append(wrong(value.isNotNull() & _setting(key, value).isNull(), code, F.lit(key)))
     per_entry = (
         sites.select("ord", F.explode(F.array_compact(F.array(*found))).alias("v"))
         .select("ord", "v.code", "v.detail")

@@ -45,17 +45,15 @@ def check(
 
     A partial run (``only``) still gives a feed of all sites, with what is remembered of the others.
     """
-    version = store.version()
-    state = store.load(version)
+    state = store.load()
     if maintain.enabled_sites(sites, only).isEmpty():
         raise NothingToCheck("巡回対象のサイトがありません。")
     outcome = run(state, sites, snapshots, only)
     if not dry_run:
         # The feed is built on the written version: pages are extracted and compared once.
-        outcome.new_items.persist()
-        outcome.results.persist()
+        held = (outcome.new_items.persist(), outcome.results.persist())
         kept = maintain.prune(outcome.state, sites)
-        outcome = replace(outcome, state=store.save(kept, 0 if version is None else version + 1))
+        outcome = replace(outcome, state=store.save(kept), persisted=outcome.persisted + held)
     feed = report.build_feed(outcome.results, sites, outcome.state)
     if feed_path is not None and not dry_run:
         write_feed(feed, feed_path)

@@ -13,6 +13,7 @@ from freshet.operators.detect import State
 # Fixed value.
 STATE_VERSION = 1
 
+_COMMIT = "version bigint, source string, batch bigint"
 _TABLES = {"known": schemas.KNOWN, "recent": schemas.RECENT, "sites": schemas.SITE_STATE}
 
 
@@ -25,15 +26,23 @@ class StateStore:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def version(self) -> int | None:
-        """The latest committed version, None before the first."""
+    def _commits(self) -> DataFrame | None:
         try:
-            commits = self.spark.read.schema("version bigint").parquet(f"{self.path}/commits")
+            return self.spark.read.schema(_COMMIT).parquet(f"{self.path}/commits")
         except AnalysisException as missing:
             if "PATH_NOT_FOUND" not in str(missing):
                 raise
             return None
-        return commits.agg(F.max("version")).first()[0]
+
+    def version(self) -> int | None:
+        """The latest committed version, None before the first."""
+        commits = self._commits()
+        return None if commits is None else commits.agg(F.max("version")).first()[0]
+
+    def holds(self, source: str, batch: int) -> bool:
+        """Whether a batch of a source is already part of the state."""
+        commits = self._commits()
+        return commits is not None and not commits.filter((F.col("source") == source) & (F.col("batch") >= batch)).isEmpty()
 
     def load(self, version: int | None = None) -> State:
         version = self.version() if version is None else version
@@ -41,15 +50,14 @@ class StateStore:
             return State.empty(self.spark)
         return State(*(self.spark.read.schema(s).parquet(f"{self.path}/v={version}/{t}") for t, s in _TABLES.items()))
 
-    def save(self, state: State, version: int) -> State:
-        """Write and commit a version; a version already committed stays as it is. Returns it as read back."""
+    def save(self, state: State, source: str | None = None, batch: int | None = None) -> State:
+        """Write and commit the next version; returns it as read back."""
         current = self.version()
-        if current is None or current < version:
-            for table in _TABLES:
-                getattr(state, table).write.mode("overwrite").parquet(f"{self.path}/v={version}/{table}")
-            self.spark.range(1).select(F.lit(version).cast("bigint").alias("version")).write.mode("append").parquet(
-                f"{self.path}/commits"
-            )
+        version = 0 if current is None else current + 1
+        for table in _TABLES:
+            getattr(state, table).write.mode("overwrite").parquet(f"{self.path}/v={version}/{table}")
+        record = [F.lit(v).cast(t).alias(n) for v, (n, t) in zip((version, source, batch), (c.split() for c in _COMMIT.split(", ")))]
+        self.spark.range(1).select(*record).coalesce(1).write.mode("append").parquet(f"{self.path}/commits")
         return self.load(version)
 
 

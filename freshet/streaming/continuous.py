@@ -29,28 +29,25 @@ def split_late(snapshots: DataFrame, site_state: DataFrame) -> tuple[DataFrame,
 
 
 class MicroBatch:
-    """Folds one batch into the store. The batch id is the version, so a repeated batch changes nothing.
-
-    Outputs of a batch go to folders named by its id and are overwritten when it is repeated.
+    """Folds one batch into the store. The store records which batches of ``source`` it holds, so that a repeated
+    batch changes nothing; a batch's outputs go to folders named by its id and are overwritten when it is repeated.
     """
 
-    def __init__(self, store: StateStore, output: str, sites: DataFrame | None, **settings: object):
-        self.store, self.output, self.sites, self.settings = store, output, sites, settings
+    def __init__(self, store: StateStore, source: str, output: str, sites: DataFrame | None, **settings: object):
+        self.store, self.source, self.output, self.sites, self.settings = store, source, output, sites, settings
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        version = self.store.version()
-        if version is not None and version >= batch_id:
+        if self.store.holds(self.source, batch_id):
             return
-        state = self.store.load(version)
+        state = self.store.load()
         fresh, late = split_late(batch, state.sites)
         late.write.mode("overwrite").parquet(f"{self.output}/late/batch={batch_id}")
-        pages = extract(fresh, self.sites, **self.settings).persist()
-        outcome = advance(state, pages)
+        outcome = advance(state, extract(fresh, self.sites, **self.settings))
         outcome.new_items.write.mode("overwrite").parquet(f"{self.output}/new_items/batch={batch_id}")
         outcome.results.write.mode("overwrite").parquet(f"{self.output}/results/batch={batch_id}")
         kept = outcome.state if self.sites is None else prune(outcome.state, self.sites)
-        self.store.save(kept, batch_id)
-        self.store.spark.catalog.clearCache()
+        self.store.save(kept, self.source, batch_id)
+        outcome.release()
 
 
 def detect_continuously(
@@ -58,7 +55,7 @@ def detect_continuously(
 ) -> StreamingQuery:
     """Work through all snapshots available, then stop; run it again, or on a schedule, for those to come."""
     return (
-        snapshots.writeStream.foreachBatch(MicroBatch(store, output, sites, **settings))
+        snapshots.writeStream.foreachBatch(MicroBatch(store, checkpoint, output, sites, **settings))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
