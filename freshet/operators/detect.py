@@ -8,6 +8,7 @@ nothing can be evicted meanwhile. Only sites that outgrow their limit during a b
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -37,24 +38,41 @@ class State:
             spark.createDataFrame([], schemas.SITE_STATE),
         )
 
-    def for_sites(self, sites: DataFrame) -> DataFrame:
-        """Site states of the given sites, with the initial state where there is none."""
-        initial = {"seeded": F.lit(False), "last_status": F.lit("pending"), "consecutive_errors": F.lit(0)}
-        joined = sites.join(self.sites, "site_id", "left")
-        return joined.withColumns({name: F.coalesce(F.col(name), value) for name, value in initial.items()})
+
+def states_of(sites: DataFrame, states: DataFrame) -> DataFrame:
+    """The given sites with their states, the initial one where there is none."""
+    initial = {"seeded": F.lit(False), "last_status": F.lit("pending"), "consecutive_errors": F.lit(0)}
+    joined = sites.join(states, "site_id", "left")
+    return joined.withColumns({name: F.coalesce(F.col(name), value) for name, value in initial.items()})
 
 
-@dataclass(frozen=True)
 class Advance:
-    """Outcome of ``advance``: the next state, every new item, and each site's last run.
+    """Outcome of ``advance``. Each table is planned when asked for; ``release`` frees what they share.
 
-    ``release`` frees what was persisted for it, once the outcome is written.
+    ``known``, ``recent`` and ``sites`` make up the next ``state``; ``new_items`` is every new item of the batch and
+    ``results`` each site's last run.
     """
 
-    state: State
-    new_items: DataFrame
-    results: DataFrame
-    persisted: tuple[DataFrame, ...] = ()
+    def __init__(self, prior: State, pages: DataFrame, runs: DataFrame, known: DataFrame, new_items: DataFrame):
+        self.known, self.new_items = known, new_items
+        self._prior, self._pages, self._runs = prior, pages, runs
+        self.persisted: list[DataFrame] = []
+
+    @cached_property
+    def recent(self) -> DataFrame:
+        return _recent(self.new_items, self._prior.recent, self._runs)
+
+    @cached_property
+    def sites(self) -> DataFrame:
+        return _next_sites(self._prior.sites, self._pages, self._runs, self.new_items)
+
+    @cached_property
+    def results(self) -> DataFrame:
+        return _results(self._runs, self.new_items)
+
+    @cached_property
+    def state(self) -> State:
+        return State(self.known, self.recent, self.sites)
 
     def release(self) -> None:
         for df in self.persisted:
@@ -223,9 +241,9 @@ def advance(state: State, pages: DataFrame, single_run: bool = False) -> Advance
         known = known.unionByName(folded_known.select(*known_columns))
         new_items = new_items.join(ordered, "site_id", "left_anti").unionByName(folded_new.select(*new_items.columns))
 
-    recent = _recent(new_items, state.recent, runs)
-    sites = _next_sites(prior, pages, runs, new_items)
-    return Advance(State(known, recent, sites), new_items, _results(runs, new_items), tuple(held))
+    outcome = Advance(state, pages, runs, known, new_items)
+    outcome.persisted += held
+    return outcome
 
 
 def _next_sites(prior: DataFrame, pages: DataFrame, runs: DataFrame, new_items: DataFrame) -> DataFrame:

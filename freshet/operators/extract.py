@@ -49,14 +49,15 @@ def with_settings(snapshots: DataFrame, sites: DataFrame | None = None, **overri
         wanted = [c for c in PAGE_SETTINGS if c in sites.columns]
         enabled = sites.filter("enabled") if "enabled" in sites.columns else sites
         snapshots = join_dimension(snapshots, enabled.select("site_id", *wanted), "site_id")
+    given = {}
     for name in PAGE_SETTINGS:
         if name in overrides:
             value = overrides[name]
-            column = F.array(*[F.lit(v) for v in value]).cast("array<string>") if isinstance(value, (list, tuple)) else F.lit(value)
-            snapshots = snapshots.withColumn(name, column.cast(SETTING_DEFAULTS[name][0]))
+            literal = F.array(*[F.lit(v) for v in value]) if isinstance(value, (list, tuple)) else F.lit(value)
+            given[name] = literal.cast(SETTING_DEFAULTS[name][0])
         elif name not in snapshots.columns:
-            snapshots = snapshots.withColumn(name, default_setting(name))
-    return snapshots
+            given[name] = default_setting(name)
+    return snapshots.withColumns(given)
 
 
 def _is_candidate(anchor: Column) -> Column:
@@ -162,7 +163,10 @@ def links_of(parsed: DataFrame) -> DataFrame:
     page = parsed
     for step in _page_steps():
         page = page.withColumns(step)
-    return page.select("site_id", "run_ts", "page_url", "max_items", "links", "link_count", "error")
+    # A generator of one row: Catalyst substitutes no filter on these columns through it. Without it, each later
+    # filter (explode adds its own) would evaluate the whole chain above once more.
+    result = F.inline(F.array(F.struct("links", "link_count", "error")))
+    return page.select("site_id", "run_ts", "page_url", "max_items", result)
 
 
 def extract(snapshots: DataFrame, sites: DataFrame | None = None, **settings: object) -> DataFrame:

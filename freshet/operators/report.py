@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from freshet.functions.text import NO_TITLE, blank_to_null
-from freshet.operators.detect import State
+from freshet.operators.detect import State, states_of
 from freshet.operators.topk import top_per_group
 
 # Fixed values.
@@ -32,14 +32,14 @@ class Feed:
     totals: DataFrame
 
 
-def all_results(results: DataFrame, sites: DataFrame, state: State) -> DataFrame:
+def all_results(results: DataFrame, sites: DataFrame, states: DataFrame) -> DataFrame:
     """Results of the checked sites, then every other site with its remembered state and nothing new.
 
     ``result_ord`` carries the order: checked sites as listed, then the others as listed.
     """
     configured = sites.select("site_id", "ord", "name", "url")
     checked = results.select("site_id", "link_count", "new_count", "seeded_now", F.lit(True).alias("checked"))
-    joined = state.for_sites(configured).join(checked, "site_id", "left")
+    joined = states_of(configured, states).join(checked, "site_id", "left")
     return joined.select(
         "site_id",
         "name",
@@ -87,7 +87,7 @@ def totals(rows: DataFrame) -> DataFrame:
 
 
 def build_feed(results: DataFrame, sites: DataFrame, state: State) -> Feed:
-    rows = all_results(results, sites, state)
+    rows = all_results(results, sites, state.sites)
     return Feed(feed_sites(rows, state.recent), timeline(rows, state.recent), totals(rows))
 
 

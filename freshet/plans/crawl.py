@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,9 +20,10 @@ class NothingToCheck(ValueError):
 
 @dataclass(frozen=True)
 class Check:
-    """A finished run: what it found, and the feed over all configured sites."""
+    """A finished run: what it found, the state it left, and the feed over all configured sites."""
 
     outcome: Advance
+    state: State
     feed: report.Feed
 
 
@@ -51,13 +52,14 @@ def check(
     outcome = run(state, sites, snapshots, only)
     if not dry_run:
         # The feed is built on the written version: pages are extracted and compared once.
-        held = (outcome.new_items.persist(), outcome.results.persist())
-        kept = maintain.prune(outcome.state, sites)
-        outcome = replace(outcome, state=store.save(kept), persisted=outcome.persisted + held)
-    feed = report.build_feed(outcome.results, sites, outcome.state)
+        outcome.persisted += [outcome.new_items.persist(), outcome.results.persist()]
+        state = store.save(maintain.prune(outcome.state, sites))
+    else:
+        state = outcome.state
+    feed = report.build_feed(outcome.results, sites, state)
     if feed_path is not None and not dry_run:
         write_feed(feed, feed_path)
-    return Check(outcome, feed)
+    return Check(outcome, state, feed)
 
 
 def _republish(store: StateStore, state: State, sites: DataFrame, feed_path: str | None) -> report.Feed:

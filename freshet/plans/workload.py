@@ -57,16 +57,20 @@ def site_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def halves(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The history before and after its middle."""
-    middle = pages.agg((F.max(F.unix_timestamp("run_ts")) + F.min(F.unix_timestamp("run_ts"))).alias("span"))
-    marked = pages.crossJoin(F.broadcast(middle)).withColumn("late", F.unix_timestamp("run_ts") * 2 > F.col("span")).drop("span")
+def halves(history: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The snapshots before and after the middle of their history."""
+    middle = history.agg((F.max(F.unix_timestamp("run_ts")) + F.min(F.unix_timestamp("run_ts"))).alias("span"))
+    marked = history.crossJoin(F.broadcast(middle)).withColumn("late", F.unix_timestamp("run_ts") * 2 > F.col("span")).drop("span")
     return marked.filter("NOT late").drop("late"), marked.filter("late").drop("late")
 
 
+def crawled_halves(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    return [extract(half, skip_navigation=False) for half in halves(snapshots(spark, sf_dir))]
+
+
 def read_urls(outcome: Advance) -> DataFrame:
     """What one reader has read: the known URLs whose length is a multiple of three."""
-    return outcome.state.known.filter(F.length("url") % 3 == 0).select("url", F.col("first_seen").alias("read_at"))
+    return outcome.known.filter(F.length("url") % 3 == 0).select("url", F.col("first_seen").alias("read_at"))
 
 
 def feed_of(spark: SparkSession, sf_dir: str, outcome: Advance) -> report.Feed:
@@ -74,7 +78,7 @@ def feed_of(spark: SparkSession, sf_dir: str, outcome: Advance) -> report.Feed:
 
 
 def rows_of(spark: SparkSession, sf_dir: str, outcome: Advance) -> DataFrame:
-    return report.all_results(outcome.results, site_list(spark, sf_dir), outcome.state)
+    return report.all_results(outcome.results, site_list(spark, sf_dir), outcome.sites)
 
 
 def as_text(ts: Column | str) -> Column:
@@ -94,8 +98,8 @@ def new_items_of(outcome: Advance) -> DataFrame:
     return in_text(outcome.new_items.select(*NEW_ITEM), "first_seen")
 
 
-def site_states(state: State) -> DataFrame:
-    return in_text(state.sites.select(*SITE), "first_checked", "last_checked", "last_update")
+def site_states(sites: DataFrame) -> DataFrame:
+    return in_text(sites.select(*SITE), "first_checked", "last_checked", "last_update")
 
 
 # --- extraction ---
@@ -204,13 +208,13 @@ def new_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def new_links_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The second half of the history against the state the first half left."""
-    before, after = halves(crawled(spark, sf_dir))
+    before, after = crawled_halves(spark, sf_dir)
     return new_items_of(advance(replay(before).state, after))
 
 
 @query
 def known_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return in_text(replay(crawled(spark, sf_dir)).state.known.select(*KNOWN), "first_seen")
+    return in_text(replay(crawled(spark, sf_dir)).known.select(*KNOWN), "first_seen")
 
 
 def _last_runs(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -224,7 +228,7 @@ def known_retained(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each site's last run against all runs before it, keeping five known URLs."""
     earlier, last = _last_runs(crawled(spark, sf_dir))
     state = replay(earlier).state
-    return in_text(advance(state, last.withColumn("known_limit", F.lit(5)), single_run=True).state.known.select(*KNOWN), "first_seen")
+    return in_text(advance(state, last.withColumn("known_limit", F.lit(5)), single_run=True).known.select(*KNOWN), "first_seen")
 
 
 @query
@@ -236,13 +240,13 @@ def known_overflowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def recent_per_site(spark: SparkSession, sf_dir: str) -> DataFrame:
-    recent = replay(crawled(spark, sf_dir, max_items=7)).state.recent
+    recent = replay(crawled(spark, sf_dir, max_items=7)).recent
     return in_text(recent.select("site_id", "ord", "url", "title", "first_seen"), "first_seen")
 
 
 @query
 def site_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return site_states(replay(crawled(spark, sf_dir, include=["/th", "/e"])).state)
+    return site_states(replay(crawled(spark, sf_dir, include=["/th", "/e"])).sites)
 
 
 @query
@@ -263,7 +267,7 @@ def error_streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(~failed, F.array(link)).otherwise(F.array().cast("array<struct<pos:int,url:string,title:string>>")).alias("links"),
         F.when(failed, 0).otherwise(1).alias("link_count"), F.when(failed, F.lit("HTTP 503")).alias("error"),
     )
-    return site_states(replay(pages).state)
+    return site_states(replay(pages).sites)
 
 
 # --- maintenance ---
@@ -279,7 +283,7 @@ def after_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
     recent = state.recent.groupBy("site_id").agg(F.count("*").alias("recent"))
     known = state.known.groupBy("site_id").agg(F.count("*").alias("known"))
     return (
-        site_states(state).select("site_id", "seeded", "last_update").join(recent, "site_id", "left").join(known, "site_id", "left")
+        site_states(state.sites).select("site_id", "seeded", "last_update").join(recent, "site_id", "left").join(known, "site_id", "left")
     )
 
 
@@ -291,7 +295,7 @@ def reset_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def after_refill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the second half reports when some sites were refilled after the first."""
-    before, after = halves(crawled(spark, sf_dir))
+    before, after = crawled_halves(spark, sf_dir)
     state = maintain.refill(replay(before).state, _targets(spark, sf_dir))
     return new_items_of(advance(state, after))
 
@@ -306,10 +310,10 @@ def after_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
 def partial_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Only some sites are checked in the second half; the feed still lists all of them."""
     sites, only = site_list(spark, sf_dir), _targets(spark, sf_dir)
-    before, after = halves(crawled(spark, sf_dir))
+    before, after = crawled_halves(spark, sf_dir)
     wanted = maintain.enabled_sites(sites, only)
     outcome = advance(replay(before).state, after.join(wanted.select("site_id"), "site_id", "left_semi"))
-    rows = report.all_results(outcome.results, sites, outcome.state)
+    rows = report.all_results(outcome.results, sites, outcome.sites)
     shown = ["site_id", "status", "last_checked", "last_update", "new_count", "link_count", "seeded_now", "result_ord"]
     return in_text(rows.select(*shown), "last_checked", "last_update")
 
@@ -320,7 +324,7 @@ def partial_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def timeline_300(spark: SparkSession, sf_dir: str) -> DataFrame:
     outcome = replay(crawled(spark, sf_dir))
-    items = report.timeline(rows_of(spark, sf_dir, outcome), outcome.state.recent)
+    items = report.timeline(rows_of(spark, sf_dir, outcome), outcome.recent)
     return in_text(items.select("site_id", "site_name", "title", "url", "first_seen", "ord"), "first_seen")
 
 
@@ -358,7 +362,7 @@ def run_summary_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def unread_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     outcome = replay(crawled(spark, sf_dir))
-    items = report.timeline(rows_of(spark, sf_dir, outcome), outcome.state.recent)
+    items = report.timeline(rows_of(spark, sf_dir, outcome), outcome.recent)
     found = reader.search_timeline(items, read_urls(outcome), " TH ", unread_only=True)
     return in_text(found.select("site_id", "title", "url", "first_seen"), "first_seen")
 
@@ -366,7 +370,7 @@ def unread_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def unread_per_site(spark: SparkSession, sf_dir: str) -> DataFrame:
     outcome = replay(crawled(spark, sf_dir))
-    return reader.unread_counts(outcome.state.recent, read_urls(outcome))
+    return reader.unread_counts(outcome.recent, read_urls(outcome))
 
 
 @query
@@ -379,27 +383,27 @@ def reader_header(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def site_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     outcome = replay(crawled(spark, sf_dir, include=["/th", "/e"]))
-    rows = reader.with_unread(rows_of(spark, sf_dir, outcome), outcome.state.recent, read_urls(outcome))
+    rows = reader.with_unread(rows_of(spark, sf_dir, outcome), outcome.recent, read_urls(outcome))
     return reader.rank_sites(rows).select("site_id", "unread", "status")
 
 
 @query
 def site_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     outcome = replay(crawled(spark, sf_dir))
-    return reader.search_sites(rows_of(spark, sf_dir, outcome), outcome.state.recent, "Tion").select("site_id")
+    return reader.search_sites(rows_of(spark, sf_dir, outcome), outcome.recent, "Tion").select("site_id")
 
 
 @query
 def site_badges(spark: SparkSession, sf_dir: str) -> DataFrame:
     outcome = replay(crawled(spark, sf_dir, include=["/th", "/e"]))
-    rows = reader.with_unread(rows_of(spark, sf_dir, outcome), outcome.state.recent, read_urls(outcome))
+    rows = reader.with_unread(rows_of(spark, sf_dir, outcome), outcome.recent, read_urls(outcome))
     return reader.badge(rows).select("site_id", "badge", "is_open", "message")
 
 
 @query
 def card_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     outcome = replay(crawled(spark, sf_dir))
-    return reader.card_items(outcome.state.recent, read_urls(outcome), "th", unread_only=True).select("site_id", "ord", "display_title")
+    return reader.card_items(outcome.recent, read_urls(outcome), "th", unread_only=True).select("site_id", "ord", "display_title")
 
 
 @query
@@ -412,7 +416,7 @@ def marked_read(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def all_marked_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     outcome = replay(crawled(spark, sf_dir))
-    items = report.timeline(rows_of(spark, sf_dir, outcome), outcome.state.recent)
+    items = report.timeline(rows_of(spark, sf_dir, outcome), outcome.recent)
     reads = read_urls(outcome).withColumn("reader_id", F.lit("r")).select("reader_id", "url", "read_at")
     now = F.lit("2025-01-01 00:00:00").cast("timestamp")
     return in_text(reader.mark_all_read(reads, items, F.lit("r"), now), "read_at")
