@@ -246,12 +246,12 @@ def is_same_site(link_host: Column, page_host: Column, allow_hosts: Column | Non
     )
 
 
-def host_suffixes(host: Column) -> Column:
-    """The host and each of its dotted suffixes: turns a subdomain test into an equi-join."""
+def parent_hosts(host: Column) -> Column:
+    """The host's proper dotted suffixes: turns a subdomain test into an equi-join."""
     labels = F.split(F.lower(host), r"\.")
     return F.transform(
-        F.sequence(F.lit(1), F.size(labels)),
-        lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."),
+        F.slice(labels, F.lit(2), F.size(labels)),
+        lambda _, i: F.array_join(F.slice(labels, i + 2, F.size(labels)), "."),
     )
 
 

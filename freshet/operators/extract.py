@@ -202,13 +202,14 @@ def path_prefix_stats(links: DataFrame, by: list[str], depth: int = 2, top: int
 def same_site_pairs(hosts: DataFrame, host: str = "host") -> DataFrame:
     """Every (page host, link host) pair that counts as one site.
 
-    The subdomain test is an equi-join: each link host is spread over its dotted suffixes, and a page host meets
-    the suffix equal to its own base host. (With ``www.`` removed, equality of base hosts is the full suffix.)
+    The subdomain test is an equi-join: a page's base host meets each link host's own base host and proper dotted
+    suffixes.
     """
     distinct = hosts.select(F.lower(host).alias("h")).distinct()
+    suffixes = urls.parent_hosts(F.col("h"))
     pages = distinct.select(F.col("h").alias("page_host"), urls.base_host(F.col("h")).alias("root"))
     links = distinct.select(
         F.col("h").alias("link_host"),
-        F.explode(F.array_distinct(F.array_append(urls.host_suffixes(F.col("h")), urls.base_host(F.col("h"))))).alias("root"),
+        F.explode(F.array_distinct(F.array_prepend(suffixes, urls.base_host(F.col("h"))))).alias("root"),
     )
     return pages.join(links, "root").select("page_host", "link_host").distinct()

@@ -138,4 +138,4 @@ def test_join_url_and_path_prefix(spark):
     )
     got = df.select(urls.join_url(F.col("b"), F.col("r")), urls.path_prefix(F.col("u"))).collect()
     assert [tuple(r) for r in got] == [("https://a.jp/y?z", "/news/2026"), (None, "/")]
-    assert df.select(urls.host_suffixes(F.lit("Blog.a.b"))).first()[0] == ["blog.a.b", "a.b", "b"]
+    assert df.select(urls.parent_hosts(F.lit("Blog.a.b"))).first()[0] == ["a.b", "b"]
