@@ -12,14 +12,13 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from freshet import schemas
 from freshet.functions.text import blank_to_null
 from freshet.operators.extract import explode_links
 from freshet.operators.overflow import events_of, fold_overflowing, known_after
 from freshet.operators.topk import top_per_group
-from freshet.session import join_dimension
+from freshet.session import drop_staged, join_dimension, stage
 
 
 @dataclass(frozen=True)
@@ -47,7 +46,7 @@ def states_of(sites: DataFrame, states: DataFrame) -> DataFrame:
 
 
 class Advance:
-    """Outcome of ``advance``. Each table is planned when asked for; ``release`` frees what they share.
+    """Outcome of ``advance``. Each table is planned when asked for, over the intermediates they share.
 
     ``known``, ``recent`` and ``sites`` make up the next ``state``; ``new_items`` is every new item of the batch and
     ``results`` each site's last run.
@@ -56,7 +55,7 @@ class Advance:
     def __init__(self, prior: State, pages: DataFrame, runs: DataFrame, known: DataFrame, new_items: DataFrame):
         self.known, self.new_items = known, new_items
         self._prior, self._pages, self._runs = prior, pages, runs
-        self.persisted: list[DataFrame] = []
+        self.staged: list[str] = []
 
     @cached_property
     def recent(self) -> DataFrame:
@@ -75,8 +74,9 @@ class Advance:
         return State(self.known, self.recent, self.sites)
 
     def release(self) -> None:
-        for df in self.persisted:
-            df.unpersist()
+        """Delete the intermediates; call it once everything wanted is written."""
+        for folder in self.staged:
+            drop_staged(self.known.sparkSession, folder)
 
 
 def _site_runs(pages: DataFrame) -> DataFrame:
@@ -195,22 +195,19 @@ def advance(state: State, pages: DataFrame, single_run: bool = False) -> Advance
 
     ``pages`` may hold any number of runs per site, all later than the state's last check of that site.
     ``single_run`` promises at most one run per site, which settles beforehand that no run order matters.
-    ``pages`` and an intermediate of one row per known URL are read repeatedly: both are persisted here, to spill to
-    disk and to be recomputed from their sources if an executor is lost.
+    ``pages`` and an intermediate of one row per known URL are read repeatedly: both are staged in the shared folder.
     """
     if "known_limit" not in pages.columns:
         pages = pages.withColumn("known_limit", schemas.known_limit(F.col("max_items")))
-    held = []
-    if not pages.is_cached:
-        pages = pages.persist(StorageLevel.MEMORY_AND_DISK)
-        held.append(pages)
+    pages, folder = stage(pages, "pages")
+    staged = [folder]
     prior = state.sites
     runs = _site_runs(pages).join(
         prior.select("site_id", F.col("seeded").alias("was_seeded")), "site_id", "left"
     ).withColumn("was_seeded", F.coalesce("was_seeded", F.lit(False)))
     links = explode_links(pages)
-    merged = _merge(state.known, first_sightings(links)).persist(StorageLevel.MEMORY_AND_DISK)
-    held.append(merged)
+    merged, folder = stage(_merge(state.known, first_sightings(links)), "known")
+    staged.append(folder)
     sizes = merged.groupBy("site_id").agg(F.count("*").alias("size"))
     limits = runs.join(sizes, "site_id").select(
         "site_id", "last_ok", "ok_runs", "known_limit", "was_seeded", (F.col("size") - F.col("known_limit")).alias("excess")
@@ -235,14 +232,14 @@ def advance(state: State, pages: DataFrame, single_run: bool = False) -> Advance
     else:
         known = evict(merged, over.filter(F.col("ok_runs") <= 1)).select(*known_columns)
         known = known.join(ordered, "site_id", "left_anti")
-        folded = fold_overflowing(state.known, pages, ordered).persist(StorageLevel.MEMORY_AND_DISK)
-        held.append(folded)
+        folded, folder = stage(fold_overflowing(state.known, pages, ordered), "folded")
+        staged.append(folder)
         folded_known, folded_new = known_after(folded), events_of(folded)
         known = known.unionByName(folded_known.select(*known_columns))
         new_items = new_items.join(ordered, "site_id", "left_anti").unionByName(folded_new.select(*new_items.columns))
 
     outcome = Advance(state, pages, runs, known, new_items)
-    outcome.persisted += held
+    outcome.staged += staged
     return outcome
 
 

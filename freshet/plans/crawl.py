@@ -51,8 +51,7 @@ def check(
         raise NothingToCheck("巡回対象のサイトがありません。")
     outcome = run(state, sites, snapshots, only)
     if not dry_run:
-        # The feed is built on the written version: pages are extracted and compared once.
-        outcome.persisted += [outcome.new_items.persist(), outcome.results.persist()]
+        # The feed is built on the written version.
         state = store.save(maintain.prune(outcome.state, sites))
     else:
         state = outcome.state

@@ -6,7 +6,6 @@ extracted with navigation kept. Times are returned as text, to compare equal acr
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -17,6 +16,7 @@ from freshet.operators import attempts, maintain, reader, report, settings
 from freshet.operators.detect import Advance, State, advance, replay
 from freshet.operators.extract import explode_links, extract, path_prefix_stats, same_site_pairs
 from freshet.plans import crawl
+from freshet.session import scratch_folder
 from freshet.sources import feed as feed_source
 from freshet.sources import state as state_source
 from freshet.sources.snapshots import snapshots_of_pages
@@ -217,18 +217,20 @@ def known_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return in_text(replay(crawled(spark, sf_dir)).known.select(*KNOWN), "first_seen")
 
 
-def _last_runs(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    last = pages.groupBy("site_id").agg(F.max("run_ts").alias("last"))
-    marked = pages.join(last, "site_id")
-    return marked.filter("run_ts < last").drop("last"), marked.filter("run_ts = last").drop("last")
+def _last_runs(history: DataFrame) -> list[DataFrame]:
+    """Extracted pages before each site's last run, and of it."""
+    last = history.groupBy("site_id").agg(F.max("run_ts").alias("last"))
+    marked = history.join(last, "site_id")
+    parts = marked.filter("run_ts < last").drop("last"), marked.filter("run_ts = last").drop("last")
+    return [extract(part, skip_navigation=False) for part in parts]
 
 
 @query
 def known_retained(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each site's last run against all runs before it, keeping five known URLs."""
-    earlier, last = _last_runs(crawled(spark, sf_dir))
-    state = replay(earlier).state
-    return in_text(advance(state, last.withColumn("known_limit", F.lit(5)), single_run=True).known.select(*KNOWN), "first_seen")
+    earlier, last = _last_runs(snapshots(spark, sf_dir))
+    kept = advance(replay(earlier).state, last.withColumn("known_limit", F.lit(5)), single_run=True).known
+    return in_text(kept.select(*KNOWN), "first_seen")
 
 
 @query
@@ -504,29 +506,18 @@ def site_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- sources, sinks and streaming, over a fresh folder ---
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder in the shared place the cluster names."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        return tempfile.mkdtemp(prefix=f"{name}-")
-    unique = spark.range(1).select(F.expr("uuid()")).first()[0]
-    return f"{shared.rstrip('/')}/{name}-{unique}"
-
-
 @query
 def stored_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Known URLs after the state was written, committed and read back."""
-    store = state_source.StateStore(spark, _folder(spark, "state"))
-    outcome = replay(crawled(spark, sf_dir))
-    state = store.save(outcome.state)
-    outcome.release()
+    store = state_source.StateStore(spark, scratch_folder(spark, "state"))
+    state = store.save(replay(crawled(spark, sf_dir)).state)
     return in_text(state.known.select(*KNOWN), "first_seen")
 
 
 @query
 def exported_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recent items after the state went out as JSON lines and came back."""
-    path = _folder(spark, "state-json")
+    path = scratch_folder(spark, "state-json")
     state_source.export_state(replay(crawled(spark, sf_dir, max_items=7)).state, path)
     recent = state_source.import_state_lines(spark, path).recent
     return in_text(recent.select("site_id", "ord", "url", "title", "first_seen"), "first_seen")
@@ -535,7 +526,7 @@ def exported_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def feed_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The timeline after the feed was written and read back."""
-    path = _folder(spark, "feed")
+    path = scratch_folder(spark, "feed")
     feed_source.write_feed(feed_of(spark, sf_dir, replay(crawled(spark, sf_dir))), path)
     items = feed_source.read_feed(spark, path).timeline
     return in_text(items.select("site_id", "site_name", "title", "url", "first_seen", "ord"), "first_seen")
@@ -544,18 +535,18 @@ def feed_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def checked_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two stored runs of the job: each site's first snapshot, then its last; what the second reports."""
-    store, sites = state_source.StateStore(spark, _folder(spark, "check")), site_list(spark, sf_dir)
+    store, sites = state_source.StateStore(spark, scratch_folder(spark, "check")), site_list(spark, sf_dir)
     history = snapshots(spark, sf_dir)
     ends = history.groupBy("site_id").agg(F.min("run_ts").alias("first"), F.max("run_ts").alias("last"))
     marked = history.join(ends, "site_id")
-    crawl.check(store, sites, marked.filter("run_ts = first")).outcome.release()
+    crawl.check(store, sites, marked.filter("run_ts = first"))
     return new_items_of(crawl.check(store, sites, marked.filter("run_ts = last AND last > first")).outcome)
 
 
 @query
 def stream_new_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The two halves of the history arriving one after the other as snapshot files."""
-    folder = _folder(spark, "stream")
+    folder = scratch_folder(spark, "stream")
     store = state_source.StateStore(spark, f"{folder}/state")
     for part in halves(snapshots(spark, sf_dir)):
         part.select(

@@ -1,8 +1,9 @@
-"""Session settings the jobs are written for, and the two checks that depend on the session."""
+"""Session settings the jobs are written for, and the helpers that depend on the session."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 from functools import wraps
 from typing import TypeVar
@@ -69,10 +70,25 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(parallelism, *keys)
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder the cluster names."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="freshet-"))
-    return df.checkpoint()
+def scratch_folder(spark: SparkSession, label: str) -> str:
+    """A fresh folder name in the shared place the cluster names; a temporary one only where it names none."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        return f"{tempfile.mkdtemp(prefix='freshet-')}/{label}"
+    return f"{shared.rstrip('/')}/freshet/{label}-{uuid.uuid4().hex}"
+
+
+def stage(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """Write an intermediate that is read several times, and continue from the written table.
+
+    Cuts the lineage, outlives lost executors, lets each reader scan only its columns, and gives the optimizer the
+    true size. Returns the table and its folder, for ``drop_staged``.
+    """
+    folder = scratch_folder(df.sparkSession, label)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder), folder
+
+
+def drop_staged(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
