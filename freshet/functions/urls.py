@@ -31,8 +31,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def split_url(url: Column) -> Column:
     """Split into ``array(scheme, netloc, path, query)``; absent parts are empty strings."""
-    printable = F.regexp_replace(F.translate(url, "\t\r\n", ""), r"^[\x00-\x20]+", "")
-    return F.split(F.regexp_replace(printable, _RFC3986, "$1#$2#$3#$4"), "#")
+    # Most URLs hold no character to drop: test for them by plain byte search before translating.
+    broken = url.contains("\n") | url.contains("\t") | url.contains("\r")
+    one_line = F.when(broken, F.translate(url, "\t\r\n", "")).otherwise(url)
+    trimmed = F.when(url < "!", F.regexp_replace(one_line, r"^[\x00-\x20]+", "")).otherwise(one_line)
+    return F.split(F.regexp_replace(trimmed, _RFC3986, "$1#$2#$3#$4"), "#")
 
 
 def _part(parts: Column, index: int) -> Column:
@@ -85,13 +88,17 @@ def is_bad_netloc(netloc: Column) -> Column:
     opened, closed = netloc.contains("["), netloc.contains("]")
     literal = netloc.rlike(rf"^[^\[]*\[(?:v[0-9A-Fa-f]+\.[^\]]+|{_ipv6_pattern()})\]")
     return (
-        (opened != closed)
-        | F.when(opened & closed, ~literal).otherwise(F.lit(False))
-        | netloc.rlike(_delimiter_lookalikes())
+        F.when(netloc == "", False)
+        .when(opened != closed, True)
+        .when(opened & ~literal, True)
+        .when(F.octet_length(netloc) == F.length(netloc), False)
+        .otherwise(netloc.rlike(_delimiter_lookalikes()))
     )
 
 
 def _remove_dot_segments(path: Column) -> Column:
+    """For a path that is empty or starts with a slash."""
+
     def resolved(segments: Column) -> Column:
         kept = F.aggregate(
             segments,
@@ -108,8 +115,11 @@ def _remove_dot_segments(path: Column) -> Column:
             lambda joined: F.when(joined.startswith("/"), joined).otherwise(F.concat(F.lit("/"), joined)),
         )
 
-    return F.when(path.rlike(r"(?:^|/)\.\.?(?:/|\z)"), let(F.split(path, "/"), resolved)).otherwise(
-        F.when(path == "", F.lit("/")).otherwise(path)
+    return (
+        F.when(path == "", F.lit("/"))
+        .when(~path.contains("/."), path)
+        .when(path.rlike(r"/\.\.?(?:/|\z)"), let(F.split(path, "/"), resolved))
+        .otherwise(path)
     )
 
 
@@ -118,22 +128,30 @@ def resolve(base: Column, reference: Column) -> Column:
     scheme, netloc, path, query = (_part(reference, i) for i in range(4))
     b_scheme, b_netloc, b_path, b_query = (_part(base, i) for i in range(4))
     own_scheme = F.when(scheme == "", F.lower(b_scheme)).otherwise(F.lower(scheme))
-
-    # ";parameters" belong to the last segment; an empty list of them vanishes.
-    bare = F.regexp_replace(path, r";[^/]*\z", "")
-    params = F.regexp_extract(path, r"(;[^/]+)\z", 1)
+    other_scheme = (scheme != "") & (F.lower(scheme) != F.lower(b_scheme))
     directory = F.when(b_path.contains("/"), F.regexp_replace(b_path, r"[^/]*\z", "")).otherwise(F.lit("/"))
-    merged = F.when(bare.startswith("/"), bare).otherwise(F.regexp_replace(F.concat(directory, bare), "//+", "/"))
 
-    return (
-        F.when(own_scheme != F.lower(b_scheme), F.array(own_scheme, netloc, path, query))
-        .when(netloc != "", F.array(own_scheme, netloc, F.concat(bare, params), query))
-        .when(
-            (bare == "") & (params == ""),
-            F.array(own_scheme, b_netloc, b_path, F.when(query == "", b_query).otherwise(query)),
+    def merged(bare: Column) -> Column:
+        return F.when(bare.startswith("/"), bare).otherwise(F.regexp_replace(F.concat(directory, bare), "//+", "/"))
+
+    # ";parameters" belong to the last segment; an empty list of them vanishes.
+    has_params = path.contains(";")
+    bare_path = F.when(has_params, F.regexp_replace(path, r";[^/]*\z", "")).otherwise(path)
+    params = F.when(has_params, F.regexp_extract(path, r"(;[^/]+)\z", 1)).otherwise(F.lit(""))
+
+    def located(bare: Column) -> Column:
+        return (
+            F.when(netloc != "", F.array(own_scheme, netloc, F.concat(bare, params), query))
+            .when(
+                (bare == "") & (params == ""),
+                F.array(own_scheme, b_netloc, b_path, F.when(query == "", b_query).otherwise(query)),
+            )
+            .otherwise(
+                F.array(own_scheme, b_netloc, F.concat(let(merged(bare), _remove_dot_segments), params), query)
+            )
         )
-        .otherwise(F.array(own_scheme, b_netloc, F.concat(_remove_dot_segments(merged), params), query))
-    )
+
+    return F.when(other_scheme, F.array(F.lower(scheme), netloc, path, query)).otherwise(let(bare_path, located))
 
 
 def _decode(text: Column) -> Column:
@@ -163,7 +181,8 @@ def _clean_query(query: Column) -> Column:
 def canonical_netloc(parts: Column) -> Column:
     scheme, netloc = scheme_of(parts), F.lower(netloc_of(parts))
     return (
-        F.when(scheme == "http", F.regexp_replace(netloc, r":80\z", ""))
+        F.when(~netloc.contains(":"), netloc)
+        .when(scheme == "http", F.regexp_replace(netloc, r":80\z", ""))
         .when(scheme == "https", F.regexp_replace(netloc, r":443\z", ""))
         .otherwise(netloc)
     )
@@ -231,7 +250,8 @@ def url_path(url: Column) -> Column:
 
 
 def base_host(host: Column) -> Column:
-    return F.regexp_replace(F.lower(host), r"^www\.", "")
+    lower = F.lower(host)
+    return F.when(lower.startswith("www."), F.substring(lower, 5, 2**31 - 1)).otherwise(lower)
 
 
 def is_same_site(link_host: Column, page_host: Column, allow_hosts: Column | None = None) -> Column:

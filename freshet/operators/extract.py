@@ -71,11 +71,14 @@ def _is_candidate(anchor: Column) -> Column:
 def _dedup(links: Column) -> Column:
     """One entry per URL: the position of the first, the title of the first that has one."""
 
+    def shape(x: Column) -> Column:
+        return F.struct(x["pos"].alias("pos"), x["url"].alias("url"), x["title"].alias("title"))
+
     def heads(ordered: Column) -> Column:
         return F.filter(ordered, lambda x, i: (i == 0) | (F.get(ordered, i - 1)["url"] != x["url"]))
 
-    by_position = F.array_sort(F.transform(links, lambda x: F.struct(x["url"].alias("url"), x["pos"].alias("pos"))))
-    by_title = F.array_sort(
+    by_position = F.sort_array(F.transform(links, lambda x: F.struct(x["url"].alias("url"), x["pos"].alias("pos"))))
+    by_title = F.sort_array(
         F.transform(
             links,
             lambda x: F.struct(
@@ -83,9 +86,9 @@ def _dedup(links: Column) -> Column:
             ),
         )
     )
-    return urls.let(
+    merged = urls.let(
         F.struct(urls.let(by_position, heads).alias("first"), urls.let(by_title, heads).alias("named")),
-        lambda both: F.array_sort(
+        lambda both: F.sort_array(
             F.zip_with(
                 both["first"],
                 both["named"],
@@ -93,6 +96,8 @@ def _dedup(links: Column) -> Column:
             )
         ),
     )
+    repeats = F.size(F.array_distinct(F.transform(links, lambda x: x["url"]))) < F.size(links)
+    return F.when(repeats, merged).otherwise(F.transform(links, shape))
 
 
 @once_per_application
@@ -128,8 +133,12 @@ def _page_steps() -> list[dict[str, Column]]:
         return (
             (url != F.col("_key"))
             & (path != "/")
-            & ~F.lower(path).rlike(_SUFFIX_PATTERN)
-            & (F.col("allow_external") | urls.is_same_site(link["netloc"], urls.netloc_of(page), F.col("allow_hosts")))
+            & ~(path.contains(".") & F.lower(path).rlike(_SUFFIX_PATTERN))
+            & (
+                F.col("allow_external")
+                | (link["netloc"] == urls.netloc_of(page))
+                | urls.is_same_site(link["netloc"], urls.netloc_of(page), F.col("allow_hosts"))
+            )
             & ~(F.col("use_default_exclude") & path.rlike(_EXCLUDE_PATTERN))
             & ((F.size("include") == 0) | F.exists("include", lambda needle: url.contains(needle)))
             & ~F.exists("exclude", lambda needle: url.contains(needle))

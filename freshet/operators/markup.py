@@ -170,7 +170,7 @@ def compile_selector(selector: str):
 
 
 def _matches(chain, path) -> bool:
-    """Whether the last element of ``path`` matches a chain."""
+    """Whether the last element of ``path``, from the root down, matches a chain."""
 
     def fits(step: int, depth: int) -> bool:
         link, tests = chain[step]
@@ -193,66 +193,73 @@ def find_anchors(page: str, skip_navigation: bool, chains=None) -> tuple[str | N
     """
     base: str | None = None
     anchors: list[list] = []  # order, href, text pieces, first image text, title attribute
-    stack: list[tuple[str, dict, bool]] = [("html", {}, False), ("body", {}, False)]
+    stack = ["html", "body"]
     open_anchors: list[tuple[int, list]] = []  # (stack depth, anchor)
     navigation = hidden = order = last = 0
+    # Only a selector needs to know more of the open elements: their attributes, and whether one matched.
+    path: list[tuple[str, dict]] = []
+    scopes: list[bool] = []
 
-    def pop() -> None:
+    def enter(name: str, attrs: dict, depth: int) -> None:
+        del path[depth:], scopes[depth:]
+        path.append((name, attrs))
+        scopes.append((depth > 0 and scopes[-1]) or any(_matches(chain, path) for chain in chains))
+
+    def leave() -> None:
         nonlocal navigation, hidden
-        name = stack.pop()[0]
+        name = stack.pop()
         navigation -= name in NAVIGATION
         hidden -= name in HIDDEN_TEXT
         while open_anchors and open_anchors[-1][0] > len(stack):
             open_anchors.pop()
 
-    def implied(name: str, attrs: dict) -> None:
-        at = 0 if name == "html" else 1
-        path = [(n, a) for n, a, _ in stack[:at]] + [(name, attrs)]
-        scoped = (at > 0 and stack[0][2]) or (chains is not None and any(_matches(c, path) for c in chains))
-        stack[at] = (name, attrs, scoped)
-
     if chains is not None:
-        implied("html", {})
-        implied("body", {})
+        enter("html", {}, 0)
+        enter("body", {}, 1)
 
     for token in _TOKEN.finditer(page):
-        start = token.start()
-        if open_anchors and not hidden and start > last:
-            piece = _plain(page[last:start])
-            for _, anchor in open_anchors:
-                anchor[2].append(piece)
-        last = token.end()
-        name = token["name"]
+        if open_anchors:
+            start = token.start()
+            if start > last and not hidden:
+                piece = _plain(page[last:start])
+                for _, anchor in open_anchors:
+                    anchor[2].append(piece)
+            last = token.end()
+        _, end, name, source, empty = token.groups()
         if name is None:
             continue
-        name = name.lower()
-        if token["end"]:
-            if name in VOID or name in IMPLIED:
-                continue
-            rank = END_RANK.get(name, DEFAULT_RANK)
-            depth = len(stack) - 1
-            while depth > 1 and stack[depth][0] != name:
-                if END_RANK.get(stack[depth][0], DEFAULT_RANK) > rank:
-                    depth = 0
-                    break
-                depth -= 1
-            if depth > 1:
-                while len(stack) > depth:
-                    pop()
+        if not name.islower():
+            name = name.lower()
+        if end:
+            if stack[-1] == name and len(stack) > 2:
+                leave()
+            elif name not in VOID and name not in IMPLIED:
+                rank = END_RANK.get(name, DEFAULT_RANK)
+                depth = len(stack) - 1
+                while depth > 1 and stack[depth] != name:
+                    depth = 0 if END_RANK.get(stack[depth], DEFAULT_RANK) > rank else depth - 1
+                if depth > 1:
+                    while len(stack) > depth:
+                        leave()
             continue
         if name in IMPLIED:
-            if chains is not None and name != "head":
-                implied(name, _attributes(token["attrs"]))
+            # These always exist: a tag only adds attributes to <html> or <body>.
+            if chains is not None and len(stack) == 2 and name != "head":
+                attrs = _attributes(source)
+                if name == "html":
+                    enter("html", attrs, 0)
+                    enter("body", {}, 1)
+                else:
+                    enter("body", attrs, 1)
             continue
-        while len(stack) > 2 and name in CLOSED_BY.get(stack[-1][0], ()):
-            pop()
+        while len(stack) > 2 and name in CLOSED_BY.get(stack[-1], ()):
+            leave()
         attrs: dict[str, str] = {}
-        scoped = stack[-1][2]
         if chains is not None:
-            attrs = _attributes(token["attrs"])
-            scoped = scoped or any(_matches(c, [(n, a) for n, a, _ in stack] + [(name, attrs)]) for c in chains)
+            attrs = _attributes(source)
+            enter(name, attrs, len(stack))
         elif name in ("a", "img", "base"):
-            attrs = _attributes(token["attrs"])
+            attrs = _attributes(source)
         if name == "base" and base is None:
             base = attrs.get("href")
         if name == "img":
@@ -260,18 +267,18 @@ def find_anchors(page: str, skip_navigation: bool, chains=None) -> tuple[str | N
                 anchor[3] = anchor[3] or _squeeze([attrs.get("alt", "")])
         if name in VOID:
             continue
-        closed = bool(token["empty"])
-        if not closed:
-            stack.append((name, attrs, scoped))
+        if not empty:
+            stack.append(name)
             navigation += name in NAVIGATION
             hidden += name in HIDDEN_TEXT
         if name == "a" and "href" in attrs:
-            wanted = scoped if chains is not None else not (skip_navigation and navigation)
+            wanted = scopes[-1] if chains is not None else not (skip_navigation and navigation)
             if wanted:
                 anchor = [order, attrs["href"].strip(), [], "", _squeeze([attrs.get("title", "")])]
                 anchors.append(anchor)
-                if not closed:
+                if not empty:
                     open_anchors.append((len(stack), anchor))
+                    last = token.end()
             order += 1
     if open_anchors and not hidden and last < len(page):
         piece = _plain(page[last:])
