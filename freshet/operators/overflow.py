@@ -1,8 +1,9 @@
 """Backlogs of sites that outgrow their known-URL limit: their runs must be taken in order.
 
-An evicted URL that reappears is new again, so eviction and detection depend on each other run by run. Each task
-streams the sorted sightings of its sites and holds one site's bounded state at a time (its limit plus one page).
-Runs that repeat the page before them change nothing and are dropped beforehand.
+An evicted URL that reappears is new again, so eviction and detection depend on each other run by run. What must go
+in order is reduced first, in parallel: a run counts only by what came onto the page and what left it since the run
+before (gaps and islands per URL). A task then streams these changes of its sites and holds one site's bounded state
+at a time: its limit plus one page.
 """
 
 from __future__ import annotations
@@ -19,48 +20,73 @@ from freshet.session import join_dimension
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+# Spans of time the history of a site is cut into for finding its changes; each starts from a whole page.
+SPANS = 256
+
 _OUT = "site_id string, url string, title string, first_seen timestamp, seq bigint, is_event boolean"
 _FLUSH_ROWS = 50_000
+KNOWN, CAME, LEFT = 0, 1, 2
 
 
-def _changed_runs(pages: DataFrame) -> DataFrame:
-    """Successful runs without those equal to the previous run of the same site and day.
+def _page_changes(pages: DataFrame) -> DataFrame:
+    """Per run, the links that came onto the page or changed title, and the URLs that left it.
 
-    The day bounds the window's groups; the first run of a day always stays, which is harmless.
+    The first run of a span lists its whole page, marked ``restart``. A busy site is spread over all its spans.
     """
-    previous = Window.partitionBy("site_id", F.to_date("run_ts")).orderBy("run_ts")
-    content = F.transform("links", lambda link: F.struct(link["url"], link["title"]))
-    return (
-        pages.withColumn("_content", content)
-        .withColumn("_same", F.col("_content").eqNullSafe(F.lag("_content").over(previous)))
-        .filter(~F.col("_same"))
+    reach = pages.agg(F.min(F.unix_micros("run_ts")).alias("low"), F.max(F.unix_micros("run_ts")).alias("high"))
+    share = (F.unix_micros("run_ts") - F.col("low")) / (F.col("high") - F.col("low") + 1)
+    in_order = Window.partitionBy("site_id", "span").orderBy("run_ts")
+    sightings = (
+        pages.crossJoin(F.broadcast(reach))  # one row
+        .withColumn("span", F.floor(share * SPANS))
+        .withColumn("run", F.row_number().over(in_order))
+        .withColumn("next_ts", F.lead("run_ts").over(in_order))
+        .select("site_id", "span", "run", "run_ts", "next_ts", F.explode("links").alias("link"))
+        .select("site_id", "span", "run", "run_ts", "next_ts", "link.*")
+    )
+    # Partitioned as above, plus the URL: no further shuffle.
+    of_url = Window.partitionBy("site_id", "span", "url").orderBy("run")
+    marked = sightings.withColumns(
+        {
+            "came": ~(F.lag("run").over(of_url).eqNullSafe(F.col("run") - 1) & (F.lag("title").over(of_url) == F.col("title"))),
+            "leaves": F.col("next_ts").isNotNull() & ~F.lead("run").over(of_url).eqNullSafe(F.col("run") + 1),
+        }
+    )
+    came = F.when(
+        F.coalesce("came", F.lit(True)),
+        F.struct(F.lit(CAME).alias("kind"), F.col("run_ts").alias("at"), F.col("title").alias("text"), F.col("pos").cast("bigint").alias("seq"), (F.col("run") == 1).alias("restart")),
+    )
+    left = F.when(
+        F.col("leaves"),
+        F.struct(F.lit(LEFT).alias("kind"), F.col("next_ts").alias("at"), F.lit("").alias("text"), F.lit(-1).cast("bigint").alias("seq"), F.lit(False).alias("restart")),
+    )
+    return marked.select("site_id", "url", F.explode(F.array_compact(F.array(came, left))).alias("c")).select(
+        "site_id", "url", "c.kind", F.col("c.at").alias("run_ts"), F.col("c.text").alias("title"), "c.seq", "c.restart"
     )
 
 
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of a site arrive together: its known URLs first, then its runs in order, links in page order."""
-    site = None
-    known: dict[str, list] = {}  # url -> [title, first seen, seq], in order of insertion
+    """Rows of a site arrive together: its known URLs first, then the changes of its runs in order."""
+    site = run = limit = None
+    seeded = False
+    known: dict[str, list] = {}  # url -> [title, first seen, seq]
     on_page: set[str] = set()
-    run = seeded = limit = None
     out: list[tuple] = []
 
     def end_run() -> None:
-        if run is None:
-            return
         excess = len(known) - limit
         if excess > 0:
             gone = [url for url in known if url not in on_page]
-            # Known URLs are inserted in time order; a stable sort also serves imported states.
             gone.sort(key=lambda url: (known[url][1] is not None, known[url][1] or 0))
             for url in gone[:excess]:
                 del known[url]
-        on_page.clear()
 
     def end_site() -> None:
-        end_run()
+        if run is not None:
+            end_run()
         out.extend((site, url, *entry, False) for url, entry in known.items())
         known.clear()
+        on_page.clear()
 
     def flush() -> pa.RecordBatch:
         columns = list(zip(*out)) or [[]] * 6
@@ -70,17 +96,16 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out.clear()
         return batch
 
+    wanted = ("site_id", "url", "kind", "title", "seq", "restart", "known_limit", "was_seeded")
     for batch in batches:
         stamps = batch.column("run_ts").cast(pa.int64()).to_pylist()
-        columns = [batch.column(c).to_pylist() for c in ("site_id", "url", "title", "seq", "is_known", "known_limit", "was_seeded")]
-        for at, row in zip(stamps, zip(*columns)):
-            owner, url, title, seq, is_known, row_limit, row_seeded = row
+        for at, row in zip(stamps, zip(*(batch.column(c).to_pylist() for c in wanted))):
+            owner, url, kind, title, seq, restart, row_limit, row_seeded = row
             if owner != site:
                 if site is not None:
                     end_site()
-                site, run = owner, None
-                seeded, limit = row_seeded, row_limit
-            if is_known:
+                site, run, seeded, limit = owner, None, row_seeded, row_limit
+            if kind == KNOWN:
                 known[url] = [title, at, seq]
                 continue
             if at != run:
@@ -88,6 +113,11 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     end_run()
                     seeded = True
                 run = at
+                if restart:
+                    on_page.clear()
+            if kind == LEFT:
+                on_page.discard(url)
+                continue
             on_page.add(url)
             entry = known.get(url)
             if entry is None:
@@ -107,18 +137,14 @@ def fold_overflowing(known: DataFrame, pages: DataFrame, sites: DataFrame) -> Da
     """All runs of ``sites`` (site_id, known_limit, was_seeded) in order: known URLs at the end, and new items."""
     settings = sites.select("site_id", "known_limit", "was_seeded")
     ok_pages = pages.filter(F.col("error").isNull()).select("site_id", "run_ts", "links")
-    runs = _changed_runs(join_dimension(ok_pages, settings, "site_id"))
-    sightings = runs.select("site_id", "run_ts", "known_limit", "was_seeded", F.explode("links").alias("link")).select(
-        "site_id", "run_ts", "link.url", "link.title", F.col("link.pos").cast("bigint").alias("seq"),
-        F.lit(False).alias("is_known"), "known_limit", "was_seeded",
-    )
-    before = join_dimension(known, settings, "site_id").select(
-        "site_id", F.col("first_seen").alias("run_ts"), "url", "title", "seq", F.lit(True).alias("is_known"), "known_limit", "was_seeded"
+    changes = _page_changes(join_dimension(ok_pages, settings.select("site_id"), "site_id", "left_semi"))
+    before = join_dimension(known, settings.select("site_id"), "site_id", "left_semi").select(
+        "site_id", "url", F.lit(KNOWN).alias("kind"), F.col("first_seen").alias("run_ts"), "title", "seq", F.lit(False).alias("restart")
     )
     return (
-        sightings.unionByName(before)
+        join_dimension(changes.unionByName(before), settings, "site_id")
         .repartition("site_id")
-        .sortWithinPartitions("site_id", F.col("is_known").desc(), F.col("run_ts").asc_nulls_first(), "seq")
+        .sortWithinPartitions("site_id", F.col("kind") != KNOWN, F.col("run_ts").asc_nulls_first(), "seq")
         .mapInArrow(_fold, _OUT)
     )
 
