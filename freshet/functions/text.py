@@ -15,6 +15,10 @@ _TEXT_SPACE = rf"[\t-\r\x1c-\x20\x85{_UNICODE_SPACE}]+"
 # The texts readers see.
 NO_TIME = "―"
 NO_TITLE = "(タイトルなし)"
+JUST_NOW = "たった今"
+MINUTES_AGO = "分前"
+HOURS_AGO = "時間前"
+DAYS_AGO = "日前"
 
 
 def blank_to_null(text: Column) -> Column:
@@ -89,9 +93,9 @@ def relative_age(ts: Column, as_of: Column, timezone: str = "UTC") -> Column:
 
     return (
         F.when(ts.isNull(), F.lit(NO_TIME))
-        .when(seconds < 60, F.lit("たった今"))
-        .when(seconds < 3600, whole(60, "分前"))
-        .when(seconds < 86400, whole(3600, "時間前"))
-        .when(seconds < 86400 * 30, whole(86400, "日前"))
+        .when(seconds < 60, F.lit(JUST_NOW))
+        .when(seconds < 3600, whole(60, MINUTES_AGO))
+        .when(seconds < 86400, whole(3600, HOURS_AGO))
+        .when(seconds < 86400 * 30, whole(86400, DAYS_AGO))
         .otherwise(absolute_time(ts, timezone))
     )

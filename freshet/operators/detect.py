@@ -136,13 +136,13 @@ def _merge(known: DataFrame, seen: DataFrame) -> DataFrame:
     )
 
 
-def evict(merged: DataFrame, limits: DataFrame) -> DataFrame:
-    """Drop the oldest URLs that left the page where a site keeps more than its limit.
+def evict(merged: DataFrame, over: DataFrame) -> DataFrame:
+    """What the sites in ``over`` keep: without the oldest URLs that left the page, as many as exceed the limit.
 
-    ``limits``: site_id, excess (rows over the limit), last_ok. The cut-off is found on a histogram of first-seen
+    ``over``: site_id, excess (rows over the limit), last_ok. The cut-off is found on a histogram of first-seen
     times per site; single rows are only ranked within the one run the cut-off falls into.
     """
-    over = join_dimension(merged, limits.filter(F.col("excess") > 0), "site_id")
+    over = join_dimension(merged, over.select("site_id", "excess", "last_ok"), "site_id")
     gone = over.filter(F.col("last_seen").isNull() | (F.col("last_seen") < F.col("last_ok")))
     by_time = Window.partitionBy("site_id").orderBy(F.col("first_seen").asc_nulls_first())
     cut = (
@@ -168,7 +168,7 @@ def evict(merged: DataFrame, limits: DataFrame) -> DataFrame:
             .select("site_id", "url")
         )
     )
-    return merged.join(evicted, ["site_id", "url"], "left_anti")
+    return over.join(evicted, ["site_id", "url"], "left_anti")
 
 
 def _recent(new_items: DataFrame, old: DataFrame, runs: DataFrame) -> DataFrame:
@@ -190,53 +190,53 @@ def _recent(new_items: DataFrame, old: DataFrame, runs: DataFrame) -> DataFrame:
     return ranked.select("site_id", (F.col("rank") - 1).alias("ord"), "title", "url", "first_seen")
 
 
-def advance(state: State, pages: DataFrame, single_run: bool = False) -> Advance:
+def advance(state: State, pages: DataFrame) -> Advance:
     """Fold crawled pages (see ``extract``) into the state.
 
     ``pages`` may hold any number of runs per site, all later than the state's last check of that site.
-    ``single_run`` promises at most one run per site, which settles beforehand that no run order matters.
     ``pages`` and an intermediate of one row per known URL are read repeatedly: both are staged in the shared folder.
     """
     if "known_limit" not in pages.columns:
         pages = pages.withColumn("known_limit", schemas.known_limit(F.col("max_items")))
     pages, folder = stage(pages, "pages")
     staged = [folder]
-    prior = state.sites
-    runs = _site_runs(pages).join(
-        prior.select("site_id", F.col("seeded").alias("was_seeded")), "site_id", "left"
-    ).withColumn("was_seeded", F.coalesce("was_seeded", F.lit(False)))
-    links = explode_links(pages)
-    merged, folder = stage(_merge(state.known, first_sightings(links)), "known")
+    seeded = state.sites.select("site_id", F.col("seeded").alias("was_seeded"))
+    runs = _site_runs(pages).join(seeded, "site_id", "left").withColumn("was_seeded", F.coalesce("was_seeded", F.lit(False)))
+    runs, folder = stage(runs, "runs")
+    staged.append(folder)
+    merged, folder = stage(_merge(state.known, first_sightings(explode_links(pages))), "known")
     staged.append(folder)
-    sizes = merged.groupBy("site_id").agg(F.count("*").alias("size"))
-    limits = runs.join(sizes, "site_id").select(
-        "site_id", "last_ok", "ok_runs", "known_limit", "was_seeded", (F.col("size") - F.col("known_limit")).alias("excess")
-    )
-    over = limits.filter((F.col("excess") > 0) & F.col("last_ok").isNotNull())
 
     # New: first sighting in this batch, unless that was the run that seeded the site.
     seeds = runs.select("site_id", "was_seeded", "first_ok")
-    reported = F.col("was_seeded") | (F.col("first_seen") > F.col("first_ok"))
     new_items = (
         join_dimension(merged.filter("is_new"), seeds, "site_id")
-        .filter(reported)
+        .filter(F.col("was_seeded") | (F.col("first_seen") > F.col("first_ok")))
         .select("site_id", F.col("first_title").alias("title"), "url", "first_seen", F.col("seq").cast("int").alias("pos"))
     )
     known_columns = ["site_id", "url", "title", "first_seen", "seq"]
+    known = merged.select(*known_columns)
 
-    ordered = over.filter(F.col("ok_runs") > 1)
-    if single_run:
-        known = evict(merged, over).select(*known_columns)
-    elif over.isEmpty():
-        known = merged.select(*known_columns)
-    else:
-        known = evict(merged, over.filter(F.col("ok_runs") <= 1)).select(*known_columns)
-        known = known.join(ordered, "site_id", "left_anti")
-        folded, folder = stage(fold_overflowing(state.known, pages, ordered), "folded")
+    sizes = merged.groupBy("site_id").agg(F.count("*").alias("size"))
+    over = (
+        sizes.join(runs.filter(F.col("last_ok").isNotNull()), "site_id")
+        .withColumn("excess", F.col("size") - F.col("known_limit"))
+        .filter(F.col("excess") > 0)
+        .select("site_id", "last_ok", "ok_runs", "known_limit", "was_seeded", "excess")
+    )
+    if not over.isEmpty():
+        over, folder = stage(over, "over")
         staged.append(folder)
-        folded_known, folded_new = known_after(folded), events_of(folded)
-        known = known.unionByName(folded_known.select(*known_columns))
-        new_items = new_items.join(ordered, "site_id", "left_anti").unionByName(folded_new.select(*new_items.columns))
+        ordered = over.filter(F.col("ok_runs") > 1)
+        known = join_dimension(known, over.select("site_id"), "site_id", "left_anti").unionByName(
+            evict(merged, over.filter(F.col("ok_runs") <= 1)).select(*known_columns)
+        )
+        if not ordered.isEmpty():
+            folded, folder = stage(fold_overflowing(state.known, pages, ordered), "folded")
+            staged.append(folder)
+            known = known.unionByName(known_after(folded).select(*known_columns))
+            closed_form = join_dimension(new_items, ordered.select("site_id"), "site_id", "left_anti")
+            new_items = closed_form.unionByName(events_of(folded).select(*new_items.columns))
 
     outcome = Advance(state, pages, runs, known, new_items)
     outcome.staged += staged

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from freshet.operators.detect import State
 
 
+# Fixed value: the message for ids no site has.
+UNKNOWN_SITE = "存在しないサイトIDです: "
+
+
 class UnknownSite(ValueError):
     """A site id that no configured site has."""
 
@@ -24,7 +28,7 @@ def require_known(wanted: DataFrame, sites: DataFrame) -> None:
     """Raise for ids without a site; names at most ten of them."""
     unknown = [r["site_id"] for r in unknown_ids(wanted, sites).orderBy("site_id").limit(10).collect()]
     if unknown:
-        raise UnknownSite(f"存在しないサイトIDです: {', '.join(unknown)}")
+        raise UnknownSite(UNKNOWN_SITE + ", ".join(unknown))
 
 
 def enabled_sites(sites: DataFrame, only: DataFrame | None = None) -> DataFrame:

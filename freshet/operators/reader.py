@@ -8,8 +8,16 @@ from pyspark.sql import functions as F
 from freshet.functions.text import display_title, matches_query
 from freshet.operators.topk import top_per_group
 
-# Fixed values.
+# The length of the read log, and the texts on a site's card.
 READ_LIMIT = 3000
+BADGE_ERROR = "エラー"
+BADGE_SEEDED = "登録済み"
+BADGE_UNREAD = "未読 %d"
+BADGE_NONE = "更新なし"
+CARD_ERROR = "取得に失敗しました: %s"
+CARD_ERROR_TIMES = "（%d回連続）"
+CARD_ERROR_UNKNOWN = "原因不明"
+CARD_SEEDED = "初回巡回のため %d 件のリンクを記録しました。新着の検知は次回からです。"
 
 
 def reads_of(reads: DataFrame, reader_id: str) -> DataFrame:
@@ -83,21 +91,15 @@ def badge(rows_with_unread: DataFrame) -> DataFrame:
     """What a site's card shows: badge, whether it is open, and the message of a failed or new site."""
     failed, seeded = F.col("status") == "error", F.col("seeded_now")
     label = (
-        F.when(failed, F.lit("エラー"))
-        .when(seeded, F.lit("登録済み"))
-        .when(F.col("unread") > 0, F.concat(F.lit("未読 "), F.col("unread").cast("string")))
-        .otherwise(F.lit("更新なし"))
-    )
-    times = F.when(
-        F.col("consecutive_errors") > 1, F.concat(F.lit("（"), F.col("consecutive_errors").cast("string"), F.lit("回連続）"))
-    ).otherwise(F.lit(""))
-    reason = F.when(F.coalesce("error", F.lit("")) != "", F.col("error")).otherwise(F.lit("原因不明"))
-    message = F.when(failed, F.concat(F.lit("取得に失敗しました: "), reason, times)).when(
-        seeded,
-        F.concat(
-            F.lit("初回巡回のため "), F.col("link_count").cast("string"), F.lit(" 件のリンクを記録しました。新着の検知は次回からです。")
-        ),
+        F.when(failed, F.lit(BADGE_ERROR))
+        .when(seeded, F.lit(BADGE_SEEDED))
+        .when(F.col("unread") > 0, F.format_string(BADGE_UNREAD, "unread"))
+        .otherwise(F.lit(BADGE_NONE))
     )
+    reason = F.when(F.coalesce("error", F.lit("")) != "", F.col("error")).otherwise(F.lit(CARD_ERROR_UNKNOWN))
+    times = F.when(F.col("consecutive_errors") > 1, F.format_string(CARD_ERROR_TIMES, "consecutive_errors"))
+    failure = F.concat(F.format_string(CARD_ERROR, reason), F.coalesce(times, F.lit("")))
+    message = F.when(failed, failure).when(seeded, F.format_string(CARD_SEEDED, "link_count"))
     is_open = (F.col("unread") > 0) | failed
     return rows_with_unread.withColumns({"badge": label, "is_open": is_open, "message": message})
 

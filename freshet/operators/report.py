@@ -11,12 +11,18 @@ from freshet.functions.text import NO_TITLE, blank_to_null
 from freshet.operators.detect import State, states_of
 from freshet.operators.topk import top_per_group
 
-# Fixed values.
+# The feed's version and lengths, and the texts of the run summary.
 FEED_VERSION = 1
 TIMELINE_LIMIT = 300
 SUMMARY_TITLES = 5
 SUMMARY_WIDTH = 60
 INSPECT_WIDTH = 70
+FAILED = "失敗"
+FIRST_RUN = "初回"
+FOUND_NEW = "新着"
+UNCHANGED = "更新なし"
+FIRST_RUN_DETAIL = "%d件のリンクを記録（新着判定は次回から）"
+FOUND_NEW_DETAIL = "%d件"
 # Sites beyond which a feed is only written as tables, not as one document.
 DOCUMENT_SITES = 10_000
 
@@ -125,16 +131,12 @@ def feed_document(feed: Feed, generated_at: Column) -> DataFrame:
 def run_summary(results: DataFrame, sites: DataFrame) -> DataFrame:
     """Checked sites, failures first, then by how much is new; ``summary_ord`` carries the order."""
     named = results.join(sites.select("site_id", "ord", "name"), "site_id")
-    label = (
-        F.when(F.col("status") == "error", "失敗")
-        .when(F.col("seeded_now"), "初回")
-        .when(F.col("new_count") > 0, "新着")
-        .otherwise("更新なし")
-    )
+    failed, seeded, found = F.col("status") == "error", F.col("seeded_now"), F.col("new_count") > 0
+    label = F.when(failed, FAILED).when(seeded, FIRST_RUN).when(found, FOUND_NEW).otherwise(UNCHANGED)
     detail = (
-        F.when(F.col("status") == "error", F.col("error"))
-        .when(F.col("seeded_now"), F.concat(F.col("link_count").cast("string"), F.lit("件のリンクを記録（新着判定は次回から）")))
-        .when(F.col("new_count") > 0, F.concat(F.col("new_count").cast("string"), F.lit("件")))
+        F.when(failed, F.col("error"))
+        .when(seeded, F.format_string(FIRST_RUN_DETAIL, "link_count"))
+        .when(found, F.format_string(FOUND_NEW_DETAIL, "new_count"))
         .otherwise("")
     )
     return named.select(

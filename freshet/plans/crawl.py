@@ -31,7 +31,7 @@ def run(state: State, sites: DataFrame, snapshots: DataFrame, only: DataFrame |
     """All sites of a run in one job; a site's failure is a row like any other."""
     if only is not None:
         maintain.require_known(only, sites)
-    return advance(state, extract(snapshots, maintain.enabled_sites(sites, only)), single_run=True)
+    return advance(state, extract(snapshots, maintain.enabled_sites(sites, only)))
 
 
 def check(
@@ -48,7 +48,7 @@ def check(
     """
     state = store.load()
     if maintain.enabled_sites(sites, only).isEmpty():
-        raise NothingToCheck("巡回対象のサイトがありません。")
+        raise NothingToCheck("no enabled site to check")
     outcome = run(state, sites, snapshots, only)
     if not dry_run:
         # The feed is built on the written version.

@@ -229,7 +229,7 @@ def _last_runs(history: DataFrame) -> list[DataFrame]:
 def known_retained(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each site's last run against all runs before it, keeping five known URLs."""
     earlier, last = _last_runs(snapshots(spark, sf_dir))
-    kept = advance(replay(earlier).state, last.withColumn("known_limit", F.lit(5)), single_run=True).known
+    kept = advance(replay(earlier).state, last.withColumn("known_limit", F.lit(5))).known
     return in_text(kept.select(*KNOWN), "first_seen")
 
 
