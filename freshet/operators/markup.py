@@ -18,6 +18,7 @@ VOID = {
 }
 HIDDEN_TEXT = {"script", "style", "template", "rt", "rp"}
 IMPLIED = {"html", "head", "body"}
+IN_HEAD = {"base", "link", "meta", "title"}
 # A misplaced end tag closes only elements that rank no higher than itself.
 END_RANK = {"div": 150, "td": 160, "th": 160, "tr": 170, "thead": 180, "tbody": 180, "tfoot": 180, "table": 190}
 DEFAULT_RANK = 100
@@ -102,12 +103,28 @@ class SelectorError(ValueError):
     """A selector outside the supported subset: fails the page rather than returning wrong rows."""
 
 
+class Node:
+    """An element as selectors see it: its name and attributes, its parent, and the siblings before it."""
+
+    __slots__ = ("name", "attrs", "parent", "siblings", "index", "children", "known")
+
+    def __init__(self, name: str, attrs: dict[str, str], parent: Node | None):
+        self.name, self.attrs, self.parent = name, attrs, parent
+        self.siblings: list[Node] = parent.children if parent else []
+        self.index = len(self.siblings)
+        self.siblings.append(self)
+        self.children: list[Node] = []
+        self.known: dict[tuple, bool] = {}
+
+
 _SIMPLE = re.compile(
     r"""(\*|[A-Za-z][\w-]*)|\#([\w-]+)|\.([\w-]+)
-      |\[\s*([\w-]+)\s*(?:([~|^$*]?=)\s*(?:"([^"]*)"|'([^']*)'|([^\s\]"']+))\s*)?\]""",
+      |\[\s*([\w-]+)\s*(?:([~|^$*]?=)\s*(?:"([^"]*)"|'([^']*)'|([^\s\]"']+))\s*)?\]
+      |:(first-child|nth-child|not)(?:\(\s*([^()]*?)\s*\))?""",
     re.X,
 )
-_COMBINED = re.compile(r"""\s*([>,])\s*|(\s+)|((?:[^\s>,\[\]]|\[[^\]]*\])+)""")
+_COMBINED = re.compile(r"""\s*([>,+~])\s*|(\s+)|((?:[^\s>,+~\[\]():]|\[[^\]]*\]|:[\w-]+(?:\([^()]*\))?)+)""")
+_NTH = re.compile(r"(?:([+-]?\d*)n)?\s*([+-]?\s*\d+)?")
 _VALUE_TESTS = {
     "=": lambda have, want: have == want,
     "~=": lambda have, want: want in have.split(),
@@ -118,33 +135,55 @@ _VALUE_TESTS = {
 }
 
 
+def _position_test(formula: str):
+    """``an+b``, ``odd`` or ``even`` as a test of a position counted from 1."""
+    m = _NTH.fullmatch({"odd": "2n+1", "even": "2n"}.get(formula.lower(), formula.lower()))
+    if m is None or not m.group():
+        raise SelectorError(formula)
+    step, offset = m.groups()
+    b = int((offset or "0").replace(" ", ""))
+    if step is None:
+        return lambda node: node.index + 1 == b
+    a = int(step) if step.strip("+-") else int(step + "1")
+    return lambda node: (node.index + 1 == b) if a == 0 else ((node.index + 1 - b) % a == 0 and (node.index + 1 - b) // a >= 0)
+
+
 def _compound(source: str):
+    """The tests one element must pass."""
     tests, at = [], 0
     while at < len(source):
         m = _SIMPLE.match(source, at)
         if m is None or (m.group(1) and at):
             raise SelectorError(source)
-        tag, ident, cls, attr, op, *values = m.groups()
+        tag, ident, cls, attr, op, *values, pseudo, argument = m.groups()
         if tag and tag != "*":
-            tests.append(lambda name, attrs, want=tag.lower(): name == want)
+            tests.append(lambda node, want=tag.lower(): node.name == want)
         elif ident:
-            tests.append(lambda name, attrs, want=ident: attrs.get("id") == want)
+            tests.append(lambda node, want=ident: node.attrs.get("id") == want)
         elif cls:
-            tests.append(lambda name, attrs, want=cls: want in attrs.get("class", "").split())
+            tests.append(lambda node, want=cls: want in node.attrs.get("class", "").split())
         elif attr and op is None:
-            tests.append(lambda name, attrs, key=attr.lower(): key in attrs)
+            tests.append(lambda node, key=attr.lower(): key in node.attrs)
         elif attr:
-            want = next(v for v in values if v is not None)
-            tests.append(
-                lambda name, attrs, key=attr.lower(), test=_VALUE_TESTS[op], want=want: key in attrs
-                and test(attrs[key], want)
-            )
+            want, test = next(v for v in values if v is not None), _VALUE_TESTS[op]
+            tests.append(lambda node, key=attr.lower(), test=test, want=want: key in node.attrs and test(node.attrs[key], want))
+        elif pseudo == "first-child" and argument is None:
+            tests.append(lambda node: node.index == 0)
+        elif pseudo == "nth-child" and argument:
+            tests.append(_position_test(argument))
+        elif pseudo == "not" and argument:
+            barred = [_compound(part.strip()) for part in argument.split(",")]
+            tests.append(lambda node, barred=barred: not any(all(t(node) for t in tests) for tests in barred))
+        elif not tag:
+            raise SelectorError(source)
         at = m.end()
+    if not source:
+        raise SelectorError(source)
     return tests
 
 
 def compile_selector(selector: str):
-    """``[[(combinator, tests), …], …]``: comma-separated chains of compounds, outermost first."""
+    """``[[(combinator, tests), ...], ...]``: comma-separated chains of compounds, outermost first."""
     chains, chain, link, at = [], [], " ", 0
     selector = selector.strip()
     while at < len(selector):
@@ -162,27 +201,56 @@ def compile_selector(selector: str):
                 chains.append(chain)
                 chain = []
             else:
-                link = ">"
+                link = mark
         at = m.end()
     if not chain or link != " ":
         raise SelectorError(selector)
     return chains + [chain]
 
 
-def _matches(chain, path) -> bool:
-    """Whether the last element of ``path``, from the root down, matches a chain."""
+def _before(node: Node) -> Node | None:
+    return node.siblings[node.index - 1] if node.index else None
 
-    def fits(step: int, depth: int) -> bool:
+
+def _around(node: Node) -> Node | None:
+    return node.parent
+
+
+def _fits(chain, step: int, node: Node) -> bool:
+    """Whether an element matches a chain up to ``step``. Remembered on the element, as is the search below."""
+    key = id(chain), step
+    if key not in node.known:
         link, tests = chain[step]
-        name, attrs = path[depth]
-        if not all(test(name, attrs) for test in tests):
-            return False
-        if step == 0:
-            return True
-        candidates = [depth - 1] if link == ">" else range(depth - 1, -1, -1)
-        return any(d >= 0 and fits(step - 1, d) for d in candidates)
+        good = all(test(node) for test in tests)
+        if good and step:
+            back = _around if link in " >" else _before
+            other = back(node)
+            if link in ">+":
+                good = other is not None and _fits(chain, step - 1, other)
+            else:
+                good = _reaches(chain, step - 1, other, back)
+        node.known[key] = good
+    return node.known[key]
+
+
+def _reaches(chain, step: int, node: Node | None, back) -> bool:
+    """Whether the element, or one further back, fits."""
+    passed, found = [], False
+    while node is not None and not found:
+        key = id(chain), step, back
+        if key in node.known:
+            found = node.known[key]
+            break
+        passed.append(node)
+        found = _fits(chain, step, node)
+        node = back(node)
+    for one in passed:
+        one.known[id(chain), step, back] = found
+    return found
+
 
-    return fits(len(chain) - 1, len(path) - 1)
+def _matches(chain, node: Node) -> bool:
+    return _fits(chain, len(chain) - 1, node)
 
 
 def find_anchors(page: str, skip_navigation: bool, chains=None) -> tuple[str | None, list[tuple[int, str, str]]]:
@@ -196,14 +264,21 @@ def find_anchors(page: str, skip_navigation: bool, chains=None) -> tuple[str | N
     stack = ["html", "body"]
     open_anchors: list[tuple[int, list]] = []  # (stack depth, anchor)
     navigation = hidden = order = last = 0
-    # Only a selector needs to know more of the open elements: their attributes, and whether one matched.
-    path: list[tuple[str, dict]] = []
+    in_head = True  # until the first element that belongs to the body
+    # Only a selector needs to know more of the open elements: what they are, and whether one matched.
+    nodes: list[Node] = []
     scopes: list[bool] = []
 
     def enter(name: str, attrs: dict, depth: int) -> None:
-        del path[depth:], scopes[depth:]
-        path.append((name, attrs))
-        scopes.append((depth > 0 and scopes[-1]) or any(_matches(chain, path) for chain in chains))
+        del nodes[depth:], scopes[depth:]
+        node = Node(name, attrs, nodes[-1] if nodes else None)
+        nodes.append(node)
+        scopes.append((depth > 0 and scopes[-1]) or any(_matches(chain, node) for chain in chains))
+
+    def enter_root(html_attrs: dict, body_attrs: dict) -> None:
+        enter("html", html_attrs, 0)
+        Node("head", {}, nodes[0])
+        enter("body", body_attrs, 1)
 
     def leave() -> None:
         nonlocal navigation, hidden
@@ -214,8 +289,7 @@ def find_anchors(page: str, skip_navigation: bool, chains=None) -> tuple[str | N
             open_anchors.pop()
 
     if chains is not None:
-        enter("html", {}, 0)
-        enter("body", {}, 1)
+        enter_root({}, {})
 
     for token in _TOKEN.finditer(page):
         if open_anchors:
@@ -225,8 +299,10 @@ def find_anchors(page: str, skip_navigation: bool, chains=None) -> tuple[str | N
                 for _, anchor in open_anchors:
                     anchor[2].append(piece)
             last = token.end()
-        _, end, name, source, empty = token.groups()
+        raw, end, name, source, empty = token.groups()
         if name is None:
+            if raw and chains is not None and not (in_head and len(stack) == 2):
+                Node(raw.lower(), {}, nodes[len(stack) - 1])
             continue
         if not name.islower():
             name = name.lower()
@@ -244,20 +320,20 @@ def find_anchors(page: str, skip_navigation: bool, chains=None) -> tuple[str | N
             continue
         if name in IMPLIED:
             # These always exist: a tag only adds attributes to <html> or <body>.
-            if chains is not None and len(stack) == 2 and name != "head":
-                attrs = _attributes(source)
-                if name == "html":
-                    enter("html", attrs, 0)
-                    enter("body", {}, 1)
-                else:
-                    enter("body", attrs, 1)
+            if chains is not None and in_head and name == "html":
+                enter_root(_attributes(source), {})
+            elif chains is not None and in_head and name == "body":
+                enter_root(nodes[0].attrs, _attributes(source))
+                in_head = False
             continue
         while len(stack) > 2 and name in CLOSED_BY.get(stack[-1], ()):
             leave()
         attrs: dict[str, str] = {}
         if chains is not None:
             attrs = _attributes(source)
-            enter(name, attrs, len(stack))
+            in_head = in_head and name in IN_HEAD
+            if not in_head:
+                enter(name, attrs, len(stack))
         elif name in ("a", "img", "base"):
             attrs = _attributes(source)
         if name == "base" and base is None:

@@ -74,18 +74,35 @@ LIST = (
         ("a[data-k]", ["/4"]),
         ("a[href^='/'][href$=\"3\"]", ["/3"]),
         ("article a", []),
+        ("li:first-child a", ["/1", "/4"]),
+        ("ul.articles li:nth-child(2) a", ["/2"]),
+        ("li:nth-child(odd) a", ["/1", "/4"]),
+        ("li:nth-child(-n + 1) > a", ["/1", "/4"]),
+        ("li.hot + li a", ["/2"]),
+        ("ul ~ a", ["/3"]),
+        ("div + nav a", ["/4"]),
+        ("a:not(.more):not([rel], [data-k])", ["/1"]),
+        ("body > div:first-child a", ["/1", "/2", "/3"]),
+        ("li:not(.hot) p>a", ["/2"]),
     ],
 )
 def test_selectors(selector, want):
     assert hrefs(LIST, selector) == want
 
 
-@pytest.mark.parametrize("selector", ["a:hover", "ul >", "> a", "a,,b", "a[", "a + b", "..x", ""])
+@pytest.mark.parametrize("selector", ["a:hover", "ul >", "> a", "a,,b", "a[", "a + + b", "..x", "", "a:nth-child(x)", "a:not(b c)", "a:last-child"])
 def test_selectors_outside_the_subset_are_errors(selector):
     with pytest.raises(SelectorError):
         compile_selector(selector)
 
 
+def test_positions_count_scripts_and_ignore_the_head():
+    page = "<html><head><title>t</title><meta x></head><body class=k><script>x</script><div><script></script><a href=/1>1</a></div><p><a href=/2>2</a></p></body></html>"
+    assert hrefs(page, "div:nth-child(2) > a:nth-child(2)") == ["/1"]
+    assert hrefs(page, "body.k > p:nth-child(3) a") == ["/2"]
+    assert hrefs("<p><a href=/1>1</a>", "html > body > p:first-child a") == ["/1"]
+
+
 def test_base_is_the_first_with_an_href():
     assert find_anchors("<base target=x><base href=/1><base href=/2>", True)[0] == "/1"
 
@@ -106,4 +123,6 @@ def test_broken_markup_stays_linear():
     began = time.time()
     for piece in ("<a \"", "<a href=", "<!--", "<script>", "<nav>", "</div", "&#", "<a b='"):
         find_anchors(piece * 20000, True)
+    find_anchors("<ul>" + "<li>" * 5000 + "<b><a href=/x>x</a>", True, compile_selector("p ~ li ~ li ~ li a, i ~ li"))
+    find_anchors("<div>" * 400 + "<a href=/x>x</a>", True, compile_selector("section div div div div a, p > div div div"))
     assert time.time() - began < 10
