@@ -26,6 +26,8 @@ def build_session(app: str = "freshet", **settings: str) -> SparkSession:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        # The jobs build large expressions; recording a Python call site for each node only slows planning.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         # Page rows are wide: bound an Arrow batch by bytes, not by the default 10,000 rows.
         .config("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
         .config("spark.sql.execution.arrow.maxBytesPerBatch", str(32 * 1024 * 1024))

@@ -16,7 +16,6 @@ def spark():
         spark__master="local[4]",
         spark__ui__enabled="false",
         spark__sql__shuffle__partitions="3",
-        spark__python__sql__dataFrameDebugging__enabled="false",
         spark__driver__memory="4g",
     )
     session.sparkContext.setLogLevel("ERROR")
