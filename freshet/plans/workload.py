@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from freshet.functions import text, urls
 from freshet.operators import attempts, maintain, reader, report, settings
-from freshet.operators.detect import Advance, State, advance, replay
+from freshet.operators.detect import Advance, advance, replay
 from freshet.operators.extract import explode_links, extract, path_prefix_stats, same_site_pairs
 from freshet.plans import crawl
 from freshet.session import scratch_folder
