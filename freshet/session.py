@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 from functools import wraps
@@ -73,10 +72,8 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def scratch_folder(spark: SparkSession, label: str) -> str:
-    """A fresh folder name in the shared place the cluster names; a temporary one only where it names none."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        return f"{tempfile.mkdtemp(prefix='freshet-')}/{label}"
+    """A fresh folder name in the shared place the cluster names; beside the warehouse, which is shared too, where it names none."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{shared.rstrip('/')}/freshet/{label}-{uuid.uuid4().hex}"
 
 
