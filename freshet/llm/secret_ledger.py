@@ -134,13 +134,17 @@ def span_digest(spans: F.Column, kinds: tuple[str, ...] | None = None) -> F.Colu
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])), ",")
 
 
+def count_kind(spans: F.Column, kind: str) -> F.Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
 def secrets_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans and base counts for every document, over a ledger that starts empty."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     ledger = scratch_folder(spark, "blob-ledger")
     spans = F.col("spans")
     base = tuple(rule.kind for rule in BASE_RULES)
-    counts = [F.size(F.filter(spans, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in base]
+    counts = [count_kind(spans, kind).alias(f"n_{kind}") for kind in base]
     return scan_history(docs, ledger).select(
         "doc_id", *counts, F.sha2(span_digest(spans, base), 256).alias("base_sha256"), span_digest(spans).alias("spans")
     )

@@ -33,7 +33,7 @@ from freshet.session import scratch_folder
 
 DOCS_PER_SHARD = 8192
 SAMPLE_EVERY = 256
-TRAILER = struct.Struct("<6sBBqqqqqq")
+TRAILER = "<6sBBqqqqqq"
 MAGIC = b"EFTOK1"
 
 MANIFEST = "shard int, path string, n_docs bigint, n_null_keys bigint, n_ids bigint, n_bytes bigint"
@@ -225,10 +225,10 @@ def _write(folder: str, vocabulary: str, end_id: int, id_bytes: int) -> Callable
         names = EliasFano.encode(names_in - least, int(names_in[-1]) - least if len(names_in) else 0).to_bytes()
         sink.write(bounds)
         sink.write(names)
-        sink.write(TRAILER.pack(MAGIC, id_bytes, 0, len(ends), n_null, int(ends[-1]), len(bounds), len(names), least))
+        sink.write(struct.pack(TRAILER, MAGIC, id_bytes, 0, len(ends), n_null, int(ends[-1]), len(bounds), len(names), least))
         sink.close()
         commit_file(files, temporary, final)
-        size = int(ends[-1]) * id_bytes + len(bounds) + len(names) + TRAILER.size
+        size = int(ends[-1]) * id_bytes + len(bounds) + len(names) + struct.calcsize(TRAILER)
         row = [shard, f"{folder}/shard-{shard:06d}.tok", len(ends), n_null, int(ends[-1]), size]
         types = [pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
         yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names=[f.split()[0] for f in MANIFEST.split(", ")])
@@ -272,11 +272,11 @@ class Shard:
         self.files, name = open_folder(path)
         self.source = self.files.open_input_file(name)
         size = self.source.size()
-        self.source.seek(size - TRAILER.size)
-        magic, self.id_bytes, _, self.n_docs, self.n_null, self.n_ids, n_bounds, n_names, self.least = TRAILER.unpack(self.source.read(TRAILER.size))
+        self.source.seek(size - struct.calcsize(TRAILER))
+        magic, self.id_bytes, _, self.n_docs, self.n_null, self.n_ids, n_bounds, n_names, self.least = struct.unpack(TRAILER, self.source.read(struct.calcsize(TRAILER)))
         if magic != MAGIC:
             raise ValueError(f"not a token shard: {path}")
-        self.source.seek(size - TRAILER.size - n_names - n_bounds)
+        self.source.seek(size - struct.calcsize(TRAILER) - n_names - n_bounds)
         self.bounds = EliasFano.from_bytes(self.source.read(n_bounds))
         self.names = EliasFano.from_bytes(self.source.read(n_names))
 
