@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from freshet.llm.language_filters import language_query
 from freshet.llm.pii_transducer import personal_data_query
 from freshet.llm.secret_ledger import secrets_query
 from freshet.llm.token_store import tokens_query
+from freshet.llm.warc_archive import archive_query
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": tokens_query,
     "op3_secret_ledger": secrets_query,
     "op4_pii_transducer": personal_data_query,
+    "op8_warc_archive": archive_query,
+    "op9_language_filters": language_query,
 }
 
 ORACLE: dict[str, str] = {}
