@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from freshet.llm.language_filters import language_query
-from freshet.llm import line_frequency
+from freshet.llm import decontaminate, line_frequency
 from freshet.llm.pii_transducer import personal_data_query
 from freshet.llm.secret_ledger import secrets_query
 from freshet.llm.token_store import tokens_query
@@ -17,11 +17,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": tokens_query,
     "op3_secret_ledger": secrets_query,
     "op4_pii_transducer": personal_data_query,
+    "op6_decontaminate": decontaminate.contamination_query,
     "op7_line_frequency": line_frequency.line_quality_query,
     "op8_warc_archive": archive_query,
     "op9_language_filters": language_query,
 }
 
 ORACLE: dict[str, str] = {
+    "op6_decontaminate": decontaminate.oracle_sql(),
     "op7_line_frequency": line_frequency.oracle_sql(),
 }
