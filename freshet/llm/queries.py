@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from freshet.llm.language_filters import language_query
-from freshet.llm import decontaminate, line_frequency
+from freshet.llm import decontaminate, line_frequency, minmax_dedup
 from freshet.llm.pii_transducer import personal_data_query
 from freshet.llm.secret_ledger import secrets_query
 from freshet.llm.token_store import tokens_query
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": tokens_query,
     "op3_secret_ledger": secrets_query,
     "op4_pii_transducer": personal_data_query,
+    "op5_minmax_dedup": minmax_dedup.near_duplicates_query,
     "op6_decontaminate": decontaminate.contamination_query,
     "op7_line_frequency": line_frequency.line_quality_query,
     "op8_warc_archive": archive_query,
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op5_minmax_dedup": minmax_dedup.oracle_sql(),
     "op6_decontaminate": decontaminate.oracle_sql(),
     "op7_line_frequency": line_frequency.oracle_sql(),
 }
