@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from freshet.llm.language_filters import language_query
-from freshet.llm import decontaminate, line_frequency, minmax_dedup
+from freshet.llm import decontaminate, line_frequency, minmax_dedup, mixing
 from freshet.llm.pii_transducer import personal_data_query
 from freshet.llm.secret_ledger import secrets_query
 from freshet.llm.token_store import tokens_query
@@ -15,6 +15,7 @@ from freshet.llm.warc_archive import archive_query
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": tokens_query,
+    "op2_mixing": mixing.mixing_query,
     "op3_secret_ledger": secrets_query,
     "op4_pii_transducer": personal_data_query,
     "op5_minmax_dedup": minmax_dedup.near_duplicates_query,
@@ -25,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op2_mixing": mixing.oracle_sql(),
     "op5_minmax_dedup": minmax_dedup.oracle_sql(),
     "op6_decontaminate": decontaminate.oracle_sql(),
     "op7_line_frequency": line_frequency.oracle_sql(),
