@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from freshet.llm.language_filters import language_query
-from freshet.llm import decontaminate, line_frequency, minmax_dedup, mixing
+from freshet.llm import decontaminate, line_frequency, minmax_dedup, mixing, quotation
 from freshet.llm.pii_transducer import personal_data_query
 from freshet.llm.secret_ledger import secrets_query
 from freshet.llm.token_store import tokens_query
@@ -23,9 +23,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_line_frequency": line_frequency.line_quality_query,
     "op8_warc_archive": archive_query,
     "op9_language_filters": language_query,
+    "op10_quotation": quotation.quotation_query,
 }
 
 ORACLE: dict[str, str] = {
+    "op10_quotation": quotation.oracle_sql(),
     "op2_mixing": mixing.oracle_sql(),
     "op5_minmax_dedup": minmax_dedup.oracle_sql(),
     "op6_decontaminate": decontaminate.oracle_sql(),
