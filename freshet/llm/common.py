@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import posixpath
 from collections.abc import Callable, Iterator
-from typing import Any
 
 import pyarrow as pa
 from pyarrow import fs as pafs
@@ -67,9 +65,22 @@ def commit_file(files: pafs.FileSystem, temporary: str, final: str) -> None:
     files.move(temporary, final)
 
 
-def base_name(path: str) -> str:
-    return posixpath.basename(path)
+def identity(key: str, text: str) -> list[Column]:
+    """``id_a`` and ``id_b``: 128 bits that name a row by key and text; never null, equal for repeated rows."""
+    return [F.xxhash64(key, text).alias("id_a"), F.xxhash64(text, F.lit(1), key).alias("id_b")]
 
 
-def column_lists(batch: pa.RecordBatch, *names: str) -> list[list[Any]]:
-    return [batch.column(batch.schema.get_field_index(name)).to_pylist() for name in names]
+def join_decisions(docs: DataFrame, decisions: DataFrame, how: str, rows: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Join ``decisions`` (id_a, id_b and what was decided) to the rows of ``docs`` they were made on; other columns of
+    ``docs`` may have any name."""
+    left, right = (fresh(docs, name) for name in ("id_a", "id_b"))
+    named = docs.withColumns(dict(zip((left, right), identity(f"`{key}`", f"`{text}`"), strict=True)))
+    decisions = decisions.withColumnsRenamed({"id_a": left, "id_b": right})
+    small = F.broadcast(decisions) if rows <= BROADCAST_ROWS else decisions.hint("shuffle_hash")
+    return named.join(small, [left, right], how).drop(left, right)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    while name in df.columns:
+        name = f"_{name}"
+    return name

@@ -11,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freshet.llm.common import BROADCAST_ROWS, count_rows, join_counted, once, row_key
-from freshet.session import drop_staged, stage
+from freshet.llm.common import BROADCAST_ROWS, count_rows, identity, join_counted, once, row_key
+from freshet.session import stage
 
 WINDOW = 10
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -59,19 +59,19 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, key: str, text: str, item:
     # At most WINDOW lengths.
     lengths = sorted(r.length for r in grams.select("length").distinct().collect())
     wanted = grams.select("h", F.col("gram").alias("wanted")).distinct()
-    texts = row_key(docs.select(F.col(key).alias("key"), F.col(text).alias("text")))
+    texts = row_key(docs.select(F.col(key).alias("key"), F.col(text).alias("text"), *identity(key, text)))
     texts = with_words(texts, "text").drop("text")
     none = F.array(F.struct(F.lit(None).cast("int").alias("place"), F.lit(None).cast("int").alias("length"), F.lit(None).cast("bigint").alias("h")))
     every = F.concat(*[windows(F.col("n_words"), n) for n in lengths], none)
-    exploded = once(texts, every=every).select("_row", "key", "n_words", "words", F.inline("every"))
+    exploded = once(texts, every=every).select("_row", "key", "id_a", "id_b", "n_words", "words", F.inline("every"))
     if rows <= BROADCAST_ROWS:
         found = exploded.join(F.broadcast(wanted), "h", "left")
         found = found.filter(F.col("place").isNull() | (F.col("wanted") == gram_text(F.col("place"), F.col("length"))))
     else:
         digest = F.md5(gram_text(F.col("place"), F.col("length")))
-        narrow = exploded.select("_row", "key", "n_words", "place", "length", "h", digest.alias("digest"))
+        narrow = exploded.select("_row", "key", "id_a", "id_b", "n_words", "place", "length", "h", digest.alias("digest"))
         found = narrow.join(wanted.withColumn("digest", F.md5("wanted")), ["h", "digest"], "left").filter("place is null or wanted is not null")
-    found, _ = stage(found.select("_row", "key", "n_words", "place", "length", F.col("wanted").alias("gram")), "window-hits")
+    found, _ = stage(found.select("_row", "key", "id_a", "id_b", "n_words", "place", "length", F.col("wanted").alias("gram")), "window-hits")
     return found, grams.select("gram", "item").distinct(), rows
 
 
@@ -90,7 +90,7 @@ def covered(spans: Column) -> Column:
 def find_contamination(
     docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text",
 ) -> DataFrame:
-    """A row for each document: ``key``, n_words, n_hit (words inside item windows), n_items, items (sorted as strings)
+    """A row for each document: ``key``, its identity, n_words, n_hit (words inside item windows), n_items, items (sorted as strings)
     and spans (place from 1 and length, in words).
 
     Null text has no words; items without a word or id match nothing; repeated documents keep a row each, repeated items
@@ -101,11 +101,11 @@ def find_contamination(
     spans = hits.groupBy("_row").agg(F.collect_list(F.struct("place", "length")).alias("spans"))
     pairs = join_counted(hits.select("_row", "gram").distinct(), gram_items, ["gram"], "inner", rows).select("_row", "item").distinct()
     items = pairs.groupBy("_row").agg(F.sort_array(F.collect_list("item")).alias("items"))
-    every = found.filter("place is null").select("_row", "key", F.col("n_words").cast("bigint").alias("n_words"))
+    every = found.filter("place is null").select("_row", "key", "id_a", "id_b", F.col("n_words").cast("bigint").alias("n_words"))
     out = every.join(spans, "_row", "left").join(items, "_row", "left").drop("_row").withColumnRenamed("key", key)
     listed = F.coalesce("items", F.array().cast("array<string>"))
     return out.select(
-        key, "n_words", F.coalesce(covered(F.col("spans")), F.lit(0).cast("bigint")).alias("n_hit"), F.size(listed).cast("bigint").alias("n_items"),
+        key, "id_a", "id_b", "n_words", F.coalesce(covered(F.col("spans")), F.lit(0).cast("bigint")).alias("n_hit"), F.size(listed).cast("bigint").alias("n_items"),
         listed.alias("items"), F.coalesce("spans", F.array().cast("array<struct<place:int,length:int>>")).alias("spans"),
     )
 
@@ -131,11 +131,6 @@ def contamination_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def forget(spark: SparkSession, *folders: str) -> None:
-    for folder in folders:
-        drop_staged(spark, folder)
-
-
 def oracle_sql() -> str:
     words = "list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
     return f"""

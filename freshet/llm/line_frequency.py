@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freshet.llm.common import count_rows, join_counted, once, row_key
+from freshet.llm.common import count_rows, identity, join_counted, once, row_key
 from freshet.session import stage
 
 #: A host's line in more distinct texts than this is boilerplate.
@@ -77,7 +77,7 @@ def with_repeat_words(rows: DataFrame) -> DataFrame:
 def measure(docs: DataFrame, key: str, text: str, host: str) -> DataFrame:
     """One row for each document: counts, base verdict, hash of the text, and its lines as (hash, words)."""
     whole = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(host), F.lit("")).alias("host"), F.col(text).alias("text"))
+    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(host), F.lit("")).alias("host"), F.col(text).alias("text"), *identity(key, text))
     rows = once(rows, words=split_words(whole), lines=F.filter(F.split(whole, "\n", -1), lambda x: x.rlike("[^ \\t-\\r]")))
     rows = with_repeat_words(once(rows, n_words=F.size("words")))
     counted = {
@@ -107,7 +107,7 @@ def judge(
     docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", max_texts: int = MAX_TEXTS,
     min_words: int = MIN_WORDS, min_percent: int = MIN_PERCENT,
 ) -> DataFrame:
-    """A row for each document: ``key``, text_hash, the counts, base_failed, n_removed (words in boilerplate lines),
+    """A row for each document: ``key``, its identity, text_hash, the counts, base_failed, n_removed (words in boilerplate lines),
     removed (hashes of those lines) and kept.
 
     Null text has no words and fails; a null host is one host of its own; repeated rows keep a row each and get one

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freshet.llm.common import Batches, map_texts
+from freshet.llm.common import Batches, identity, map_texts
 from freshet.session import drop_staged, stage
 
 BANDS, ROWS = 48, 5
@@ -33,6 +33,7 @@ VALUES = BANDS * ROWS
 SHINGLE, PERCENT = 4, 80
 #: Nodes in a block of an exact comparison.
 BLOCK = 64
+SKETCH = "key bigint, id_a bigint, id_b bigint, n bigint, node binary, buckets array<bigint>"
 #: Bare ids are broadcast up to this many rows (16 bytes each), after counting.
 BROADCAST_IDS = 1_000_000
 
@@ -87,8 +88,9 @@ def _sketch(size: int):
             rows = [(len(s), node_of(s), buckets(min_max(s))) if len(s) else (0, None, None) for s in sets]
             n, node, keys = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["key", "n", "node", "buckets"]
-            )
+                [batch.column(0), *batch.columns[2:], pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                names=["key", "id_a", "id_b", "n", "node", "buckets"],
+            )
 
     return work
 
@@ -246,7 +248,8 @@ class NearDuplicates:
         return blocks.groupBy("bucket", "i", "j").applyInPandas(_compare_blocks(self.percent), "a binary, b binary").distinct()
 
     def run(self) -> DataFrame:
-        sketches = self.keep(map_texts(self.docs.select("key", "text"), _sketch(self.shingle), "key bigint, n bigint, node binary, buckets array<bigint>"), "sketches")
+        sketches = map_texts(self.docs.select("key", "text", *identity("key", "text")), _sketch(self.shingle), SKETCH)
+        sketches = self.keep(sketches, "sketches")
         heads = self.keep(sketches.filter("n > 0").groupBy("node").agg(F.min("key").alias("head")), "heads")
         members = self.members(sketches)
         sets = self.full_sets(heads, members)
@@ -260,10 +263,10 @@ class NearDuplicates:
                 comps = components(links.union(more))
         named = heads.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         least = named.groupBy("comp").agg(F.min("head").alias("component_id"))
-        named = named.join(least, "comp").select("node", "component_id")
-        out = sketches.select("key", "n", "node").join(named, "node", "left")
+        named = named.join(least, "comp").select("node", "component_id", F.col("comp").alias("group"))
+        out = sketches.select("key", "id_a", "id_b", "n", "node").join(named, "node", "left")
         component = F.when(F.col("n") == 0, F.col("key")).otherwise(F.col("component_id"))
-        out = out.select("key", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("key").eqNullSafe(component).alias("kept"))
+        out = out.select("key", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("key").eqNullSafe(component).alias("kept"), "id_a", "id_b", "group")
         result, _ = stage(out, "near-duplicates")
         self.release()
         return result
@@ -280,7 +283,8 @@ def _name_sets(size: int):
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """A row for each document: ``key``, n_shingles, component_id (the least key reachable over links) and kept.
+    """A row for each document: ``key``, n_shingles, component_id (the least key reachable over links), kept, its identity
+    and group (a name of the component; null without shingles).
 
     Null and empty texts have no shingles and link with nothing, not even each other. Rows with equal texts are linked,
     whatever their keys; repeated rows keep a row each. A null key is in a component but never names one that has other
@@ -290,7 +294,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
 
 
 def near_duplicates_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def superfluous(found: DataFrame) -> DataFrame:
+    """The identities of rows to drop so that one row of each group stays: the one with the least key."""
+    row = F.struct(F.col("component_id").isNull().alias("bare"), F.coalesce((F.col("key") != F.col("component_id")), F.col("component_id").isNotNull()).alias("other"), "id_a", "id_b")
+    best = found.filter("group is not null").groupBy("group").agg(F.min(row).alias("best"))
+    return found.join(best, "group").filter((F.col("id_a") != F.col("best.id_a")) | (F.col("id_b") != F.col("best.id_b"))).select("id_a", "id_b").distinct()
 
 
 def oracle_sql() -> str:

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from freshet.llm.common import identity
 from freshet.session import stage
 
 #: Size of a block, in the unit of the sizes (words), on the average.
@@ -90,7 +91,7 @@ def mix(
     docs: DataFrame, target: Target, budget: int | None = None, key: str = "doc_id", text: str = "text", source: str = "source",
     block_size: int = BLOCK_SIZE, seed: str = SEED,
 ) -> DataFrame:
-    """The mixture, a row for each time a document stands in it: key, source, size, epoch (from 0), block, block_place (the
+    """The mixture, a row for each time a document stands in it: key, source, size, its identity, epoch (from 0), block, block_place (the
     block's place in its epoch), place (a number that orders the block's documents), weight and exponent.
 
     A document's size is its words between blanks and line ends, at least 1, so that empty and null texts are spent too.
@@ -102,6 +103,7 @@ def mix(
     rows = docs.select(
         F.col(key).alias("key"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"),
         F.greatest(words, F.lit(1)).cast("bigint").alias("size"), F.md5(F.coalesce(F.col(text), F.lit(""))).alias("digest"),
+        *identity(key, text),
     )
     # Texts stay behind; what follows reads this narrow table several times.
     rows, _ = stage(rows, "mix-sizes")
@@ -131,7 +133,7 @@ def mix(
     spent = F.coalesce(F.sum("size").over(W.partitionBy("source", "block", "epoch").orderBy("place", "key", "digest").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     cut = cut.withColumn("spent", spent).filter("spent < budget").drop("spent")
     return mixed.filter("budget >= block_total").unionByName(cut).select(
-        F.col("key").alias(key), "source", "size", "digest", F.col("epoch").cast("bigint").alias("epoch"), "block", "block_place", "place", "weight", "exponent"
+        F.col("key").alias(key), "source", "size", "id_a", "id_b", F.col("epoch").cast("bigint").alias("epoch"), "block", "block_place", "place", "weight", "exponent"
     )
 
 
@@ -154,7 +156,7 @@ PRODUCTION = Target(max_epochs=2.0)
 def mixing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mixture over all documents. Weight and exponent are rounded to nine places."""
     mixed = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"), PRODUCTION)
-    return mixed.drop("digest").withColumns({c: F.round(c, 9) for c in ("weight", "exponent")})
+    return mixed.drop("id_a", "id_b").withColumns({c: F.round(c, 9) for c in ("weight", "exponent")})
 
 
 def oracle_sql() -> str:
