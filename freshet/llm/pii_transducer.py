@@ -127,35 +127,33 @@ def may_be_disguised(low: str) -> bool:
     return any(dot in low for dot in _BARE_DOTS) or _BRACKETED.search(low) is not None
 
 
-def rewrite(text: str, edits: list[tuple[int, int, str]]) -> tuple[str, list[int], list[int]]:
-    """Apply edits (start, stop, new), ordered and apart. Returns the text and its alignment: places in the result at
-    which a piece begins, and the source place of each."""
-    pieces, at_result, at_source, size, done = [], [0], [0], 0, 0
+#: Where pieces of a rewritten text begin; for each, its source place and, if an edit made it, where that edit's source ends.
+Alignment = tuple[list[int], list[tuple[int, int | None]]]
+
+
+def rewrite(text: str, edits: list[tuple[int, int, str]]) -> tuple[str, Alignment]:
+    """Apply edits (start, stop, new), ordered and apart. Each new character stands for the source of its whole edit."""
+    pieces, at, source, size, done = [], [0], [(0, None)], 0, 0
     for start, stop, new in edits:
         pieces += text[done:start], new
         size += start - done
-        for k in range(len(new)):  # each new character covers the source of the whole edit
-            at_result.append(size + k)
-            at_source.append(start)
+        at += range(size, size + len(new))
+        source += [(start, stop)] * len(new)
         size += len(new)
-        at_result.append(size)
-        at_source.append(stop)
+        at.append(size)
+        source.append((stop, None))
         done = stop
     pieces.append(text[done:])
-    return "".join(pieces), at_result, at_source
+    return "".join(pieces), (at, source)
 
 
-def to_source(span: Span, at_result: list[int], at_source: list[int]) -> Span:
+def to_source(span: Span, alignment: Alignment) -> Span:
     """The source characters that a span of the result came from."""
-    k = bisect_right(at_result, span[0]) - 1
-    start = at_source[k] + span[0] - at_result[k]
-    k = bisect_right(at_result, span[1] - 1) - 1
-    inside = k + 1 < len(at_source) and at_result[k + 1] == span[1]
-    stop = at_source[k + 1] if inside else at_source[k] + span[1] - at_result[k]
-    # Within an edit's characters the source place doesn't move on: take the edit's end.
-    while stop <= start and k + 1 < len(at_source):
-        k += 1
-        stop = at_source[k]
+    at, source = alignment
+    k = bisect_right(at, span[0]) - 1
+    start = source[k][0] if source[k][1] is not None else source[k][0] + span[0] - at[k]
+    k = bisect_right(at, span[1] - 1) - 1
+    stop = source[k][1] if source[k][1] is not None else source[k][0] + span[1] - at[k]
     return start, stop
 
 
@@ -221,16 +219,16 @@ def added_spans(text: str, base: dict[str, list[Span]]) -> dict[str, list[Span]]
     taken = sorted(span for spans in base.values() for span in spans)
     added: dict[str, list[Span]] = {kind: [] for kind in KINDS}
     plain = text.translate(HOMOGLYPHS) if not (text.isascii() or _HOMOGLYPH.isdisjoint(text)) else text
-    forms = [(plain, [0], [0])] if plain is not text else []
+    forms = [rewrite(plain, [])] if plain is not text else []
     low = plain.lower()
     if may_be_spelled(low) and (edits := spelled_edits(plain)):
         forms.append(rewrite(plain, edits))
     if may_be_disguised(low) and (edits := address_edits(plain)):
         forms.append(rewrite(plain, edits))
-    for form, at_result, at_source in forms:
+    for form, alignment in forms:
         for kind, spans in detect(form).items():
             for span in spans:
-                start, stop = to_source(span, at_result, at_source)
+                start, stop = to_source(span, alignment)
                 k = bisect_right(taken, (start, stop))
                 if (k == 0 or taken[k - 1][1] <= start) and (k == len(taken) or taken[k][0] >= stop):
                     taken.insert(k, (start, stop))
