@@ -211,7 +211,7 @@ def _write(folder: str, vocabulary: str, end_id: int, id_bytes: int) -> Callable
                 continue
             if sink is None:
                 files.create_dir(f"{root}/_temporary", recursive=True)
-                sink = files.open_output_stream(temporary)
+                sink = files.open_output_stream(temporary, compression=None)
             data, counts = encoder.encode_array(batch.column(1))
             sink.write(np.insert(np.frombuffer(data, encoder.code), np.cumsum(counts), end_id).tobytes())
             lengths.append(counts + 1)

@@ -78,7 +78,7 @@ class Roller:
             self.name = f"part-{self.task:06d}-{len(self.done):05d}.warc.gz"
             self.files.create_dir(f"{self.root}/_temporary", recursive=True)
             self.temporary = f"{self.root}/_temporary/{self.attempt}-{self.name}"
-            self.sink = self.files.open_output_stream(self.temporary)
+            self.sink = self.files.open_output_stream(self.temporary, compression=None)
             self.row = [f"{self.folder}/{self.name}", 0, 0, page, page]
         squeeze = zlib.compressobj(self.level, zlib.DEFLATED, 31)
         data = squeeze.compress(record) + squeeze.flush()
@@ -197,7 +197,7 @@ def _read(with_payload: bool) -> Callable[[Batches], Batches]:
             for path in batch.column(0).to_pylist():
                 files, name = open_folder(path)
                 rows: list[dict[str, Any]] = []
-                with files.open_input_stream(name) as stream:
+                with files.open_input_stream(name, compression=None) as stream:
                     for member in members(stream):
                         rows.append(parse_record(member) | ({} if with_payload else {"payload": None}))
                         if len(rows) == 200:
