@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from freshet.functions import urls
 from freshet.functions.text import blank_to_null
+from freshet.operators import selectors
 from freshet.operators.parse import parse_pages
 from freshet.schemas import LINKS, PAGE_SETTINGS, SETTING_DEFAULTS, default_setting
 from freshet.session import join_dimension, once_per_application, spread
@@ -153,11 +154,17 @@ def _page_steps() -> list[dict[str, Column]]:
     failed = F.coalesce(
         F.when(F.col("error").isNotNull(), F.coalesce(blank_to_null(F.col("error")), F.lit(FETCH_FAILED))),
         F.when(F.col("parse_error").isNotNull(), F.concat(F.lit(PARSE_FAILED), F.col("parse_error"))),
+        F.when(F.col("_unsupported"), F.lit(PARSE_FAILED + "SelectorSyntaxError")),
         F.when(broken, F.lit(PARSE_FAILED + "ValueError")),
     )
     joined_base = urls.resolve(page, urls.split_url(F.col("base_href")))
+    selector = F.col("selector")
+    chosen = F.filter("anchors", lambda a: selectors.is_selected(a["path"], F.col("_chains")))
     return [
-        {"_page": urls.split_url(F.col("page_url")), "_refs": F.transform(F.filter("anchors", _is_candidate), located)},
+        {"_unsupported": selectors.is_unsupported(selector)},
+        {"_chains": F.when(selectors.is_given(selector) & ~F.col("_unsupported"), selectors.chains(selector))},
+        {"_chosen": F.when(F.col("_chains").isNotNull(), chosen).otherwise(F.col("anchors"))},
+        {"_page": urls.split_url(F.col("page_url")), "_refs": F.transform(F.filter("_chosen", _is_candidate), located)},
         {"_base": F.when(F.col("base_href").isNull(), page).otherwise(joined_base), "_key": urls.compose_canonical(page)},
         {"_failed": failed, "_absolute": F.filter(F.transform("_refs", absolute), is_web_link)},
         {"_articles": F.when(F.col("_failed").isNull(), F.filter(F.transform("_absolute", canonical), is_article))},

@@ -63,25 +63,32 @@ _CODEC_ALIASES = {"x-sjis": "cp932", "shift_jis": "cp932", "shift-jis": "cp932",
 
 
 def _codec(label: str | None) -> str | None:
+    """The text codec a label names; other codecs (hex, base64, ...) and unusable ones don't count."""
     if not label:
         return None
     try:
-        return codecs.lookup(_CODEC_ALIASES.get(label.lower(), label)).name
-    except LookupError:
+        codec = codecs.lookup(_CODEC_ALIASES.get(label.lower(), label)).name
+        b"<p>".decode(codec, "replace")
+    except (LookupError, ValueError):
         return None
+    return codec
 
 
 def decode_page(content: bytes, hint: str | None) -> str:
-    """Text of a page: header hint, byte-order mark, declared charset, then UTF-8, then Windows-1252."""
+    """Text of a page by the first label that fits all its bytes: header hint, byte-order mark, declared charset, UTF-8.
+
+    If none fits, the first label decodes what it can; without a label, Windows-1252 does.
+    """
     declared = _DECLARED.search(content)
     marked = next((codec for mark, codec in _MARKS if content.startswith(mark)), None)
-    codec = _codec(hint) or marked or (_codec(declared.group(1).decode("ascii")) if declared else None)
-    if codec is not None:
-        return content.decode(codec, "replace").removeprefix("\ufeff")
-    try:
-        return content.decode("utf-8")
-    except UnicodeDecodeError:
-        return content.decode("cp1252", "replace")
+    labels = [_codec(hint), marked, _codec(declared.group(1).decode("ascii")) if declared else None]
+    codecs_named = [codec for codec in labels if codec is not None]
+    for codec in [*codecs_named, "utf-8"]:
+        try:
+            return content.decode(codec).removeprefix("\ufeff")
+        except ValueError:
+            continue
+    return content.decode(codecs_named[0] if codecs_named else "cp1252", "replace").removeprefix("\ufeff")
 
 
 def _plain(text: str) -> str:
@@ -99,198 +106,34 @@ def _attributes(source: str) -> dict[str, str]:
     return found
 
 
-class SelectorError(ValueError):
-    """A selector outside the supported subset: fails the page rather than returning wrong rows."""
-
-
-class Node:
-    """An element as selectors see it: its name and attributes, its parent, and the siblings before it."""
-
-    __slots__ = ("name", "attrs", "parent", "siblings", "index", "children", "known")
-
-    def __init__(self, name: str, attrs: dict[str, str], parent: Node | None):
-        self.name, self.attrs, self.parent = name, attrs, parent
-        self.siblings: list[Node] = parent.children if parent else []
-        self.index = len(self.siblings)
-        self.siblings.append(self)
-        self.children: list[Node] = []
-        self.known: dict[tuple, bool] = {}
-
-
-_SIMPLE = re.compile(
-    r"""(\*|[A-Za-z][\w-]*)|\#([\w-]+)|\.([\w-]+)
-      |\[\s*([\w-]+)\s*(?:([~|^$*]?=)\s*(?:"([^"]*)"|'([^']*)'|([^\s\]"']+))\s*)?\]
-      |:(first-child|nth-child|not)(?:\(\s*([^()]*?)\s*\))?""",
-    re.X,
-)
-_COMBINED = re.compile(r"""\s*([>,+~])\s*|(\s+)|((?:[^\s>,+~\[\]():]|\[[^\]]*\]|:[\w-]+(?:\([^()]*\))?)+)""")
-_NTH = re.compile(r"(?:([+-]?\d*)n)?\s*([+-]?\s*\d+)?")
-_VALUE_TESTS = {
-    "=": lambda have, want: have == want,
-    "~=": lambda have, want: want in have.split(),
-    "|=": lambda have, want: have == want or have.startswith(want + "-"),
-    "^=": lambda have, want: want != "" and have.startswith(want),
-    "$=": lambda have, want: want != "" and have.endswith(want),
-    "*=": lambda have, want: want != "" and want in have,
-}
-
-
-def _position_test(formula: str):
-    """``an+b``, ``odd`` or ``even`` as a test of a position counted from 1."""
-    m = _NTH.fullmatch({"odd": "2n+1", "even": "2n"}.get(formula.lower(), formula.lower()))
-    if m is None or not m.group():
-        raise SelectorError(formula)
-    step, offset = m.groups()
-    b = int((offset or "0").replace(" ", ""))
-    if step is None:
-        return lambda node: node.index + 1 == b
-    a = int(step) if step.strip("+-") else int(step + "1")
-    return lambda node: (node.index + 1 == b) if a == 0 else ((node.index + 1 - b) % a == 0 and (node.index + 1 - b) // a >= 0)
-
-
-def _compound(source: str):
-    """The tests one element must pass."""
-    tests, at = [], 0
-    while at < len(source):
-        m = _SIMPLE.match(source, at)
-        if m is None or (m.group(1) and at):
-            raise SelectorError(source)
-        tag, ident, cls, attr, op, *values, pseudo, argument = m.groups()
-        if tag and tag != "*":
-            tests.append(lambda node, want=tag.lower(): node.name == want)
-        elif ident:
-            tests.append(lambda node, want=ident: node.attrs.get("id") == want)
-        elif cls:
-            tests.append(lambda node, want=cls: want in node.attrs.get("class", "").split())
-        elif attr and op is None:
-            tests.append(lambda node, key=attr.lower(): key in node.attrs)
-        elif attr:
-            want, test = next(v for v in values if v is not None), _VALUE_TESTS[op]
-            tests.append(lambda node, key=attr.lower(), test=test, want=want: key in node.attrs and test(node.attrs[key], want))
-        elif pseudo == "first-child" and argument is None:
-            tests.append(lambda node: node.index == 0)
-        elif pseudo == "nth-child" and argument:
-            tests.append(_position_test(argument))
-        elif pseudo == "not" and argument:
-            barred = [_compound(part.strip()) for part in argument.split(",")]
-            tests.append(lambda node, barred=barred: not any(all(t(node) for t in tests) for tests in barred))
-        elif not tag:
-            raise SelectorError(source)
-        at = m.end()
-    if not source:
-        raise SelectorError(source)
-    return tests
-
+#: An open element as selectors see it: its name and attributes.
+Element = tuple[str, dict[str, str]]
+#: An anchor: order in the document, href, title, and, if asked for, its open elements from the root to itself.
+Anchor = tuple[int, str, str, list[Element]]
 
-def compile_selector(selector: str):
-    """``[[(combinator, tests), ...], ...]``: comma-separated chains of compounds, outermost first."""
-    chains, chain, link, at = [], [], " ", 0
-    selector = selector.strip()
-    while at < len(selector):
-        m = _COMBINED.match(selector, at)
-        if m is None:
-            raise SelectorError(selector)
-        mark, space, compound = m.groups()
-        if compound:
-            chain.append((link, _compound(compound)))
-            link = " "
-        elif mark:
-            if not chain or link != " ":
-                raise SelectorError(selector)
-            if mark == ",":
-                chains.append(chain)
-                chain = []
-            else:
-                link = mark
-        at = m.end()
-    if not chain or link != " ":
-        raise SelectorError(selector)
-    return chains + [chain]
 
+def find_anchors(page: str, skip_navigation: bool, with_paths: bool = False) -> tuple[str | None, list[Anchor]]:
+    """The document's base href and its anchors: all, or with ``skip_navigation`` those outside navigation.
 
-def _before(node: Node) -> Node | None:
-    return node.siblings[node.index - 1] if node.index else None
-
-
-def _around(node: Node) -> Node | None:
-    return node.parent
-
-
-def _fits(chain, step: int, node: Node) -> bool:
-    """Whether an element matches a chain up to ``step``. Remembered on the element, as is the search below."""
-    key = id(chain), step
-    if key not in node.known:
-        link, tests = chain[step]
-        good = all(test(node) for test in tests)
-        if good and step:
-            back = _around if link in " >" else _before
-            other = back(node)
-            if link in ">+":
-                good = other is not None and _fits(chain, step - 1, other)
-            else:
-                good = _reaches(chain, step - 1, other, back)
-        node.known[key] = good
-    return node.known[key]
-
-
-def _reaches(chain, step: int, node: Node | None, back) -> bool:
-    """Whether the element, or one further back, fits."""
-    passed, found = [], False
-    while node is not None and not found:
-        key = id(chain), step, back
-        if key in node.known:
-            found = node.known[key]
-            break
-        passed.append(node)
-        found = _fits(chain, step, node)
-        node = back(node)
-    for one in passed:
-        one.known[id(chain), step, back] = found
-    return found
-
-
-def _matches(chain, node: Node) -> bool:
-    return _fits(chain, len(chain) - 1, node)
-
-
-def find_anchors(page: str, skip_navigation: bool, chains=None) -> tuple[str | None, list[tuple[int, str, str]]]:
-    """The document's base href and its wanted anchors as (order in document, href, title).
-
-    Without a selector every anchor counts, except those in navigation when that is to be skipped. With one, an
-    anchor counts if it, or an element around it, matches; navigation then plays no part.
+    With paths, for a selector to choose from, every anchor counts: navigation then plays no part.
     """
     base: str | None = None
-    anchors: list[list] = []  # order, href, text pieces, first image text, title attribute
+    anchors: list[list] = []  # order, href, text pieces, first image text, title attribute, path
     stack = ["html", "body"]
+    path: list[Element] = [("html", {}), ("body", {})]  # beside the stack, if asked for
     open_anchors: list[tuple[int, list]] = []  # (stack depth, anchor)
     navigation = hidden = order = last = 0
-    in_head = True  # until the first element that belongs to the body
-    # Only a selector needs to know more of the open elements: what they are, and whether one matched.
-    nodes: list[Node] = []
-    scopes: list[bool] = []
-
-    def enter(name: str, attrs: dict, depth: int) -> None:
-        del nodes[depth:], scopes[depth:]
-        node = Node(name, attrs, nodes[-1] if nodes else None)
-        nodes.append(node)
-        scopes.append((depth > 0 and scopes[-1]) or any(_matches(chain, node) for chain in chains))
-
-    def enter_root(html_attrs: dict, body_attrs: dict) -> None:
-        enter("html", html_attrs, 0)
-        Node("head", {}, nodes[0])
-        enter("body", body_attrs, 1)
 
     def leave() -> None:
         nonlocal navigation, hidden
         name = stack.pop()
+        if with_paths:
+            path.pop()
         navigation -= name in NAVIGATION
         hidden -= name in HIDDEN_TEXT
         while open_anchors and open_anchors[-1][0] > len(stack):
             open_anchors.pop()
 
-    if chains is not None:
-        enter_root({}, {})
-
     for token in _TOKEN.finditer(page):
         if open_anchors:
             start = token.start()
@@ -301,8 +144,6 @@ def find_anchors(page: str, skip_navigation: bool, chains=None) -> tuple[str | N
             last = token.end()
         raw, end, name, source, empty = token.groups()
         if name is None:
-            if raw and chains is not None and not (in_head and len(stack) == 2):
-                Node(raw.lower(), {}, nodes[len(stack) - 1])
             continue
         if not name.islower():
             name = name.lower()
@@ -320,21 +161,13 @@ def find_anchors(page: str, skip_navigation: bool, chains=None) -> tuple[str | N
             continue
         if name in IMPLIED:
             # These always exist: a tag only adds attributes to <html> or <body>.
-            if chains is not None and in_head and name == "html":
-                enter_root(_attributes(source), {})
-            elif chains is not None and in_head and name == "body":
-                enter_root(nodes[0].attrs, _attributes(source))
-                in_head = False
+            if with_paths and name != "head":
+                path[name == "body"] = (name, _attributes(source))
             continue
         while len(stack) > 2 and name in CLOSED_BY.get(stack[-1], ()):
             leave()
         attrs: dict[str, str] = {}
-        if chains is not None:
-            attrs = _attributes(source)
-            in_head = in_head and name in IN_HEAD
-            if not in_head:
-                enter(name, attrs, len(stack))
-        elif name in ("a", "img", "base"):
+        if with_paths or name in ("a", "img", "base"):
             attrs = _attributes(source)
         if name == "base" and base is None:
             base = attrs.get("href")
@@ -345,12 +178,14 @@ def find_anchors(page: str, skip_navigation: bool, chains=None) -> tuple[str | N
             continue
         if not empty:
             stack.append(name)
+            if with_paths:
+                path.append((name, attrs))
             navigation += name in NAVIGATION
             hidden += name in HIDDEN_TEXT
         if name == "a" and "href" in attrs:
-            wanted = scopes[-1] if chains is not None else not (skip_navigation and navigation)
-            if wanted:
-                anchor = [order, attrs["href"].strip(), [], "", _squeeze([attrs.get("title", "")])]
+            if with_paths or not (skip_navigation and navigation):
+                own = ([*path, (name, attrs)] if empty else path[:]) if with_paths else []
+                anchor = [order, attrs["href"].strip(), [], "", _squeeze([attrs.get("title", "")]), own]
                 anchors.append(anchor)
                 if not empty:
                     open_anchors.append((len(stack), anchor))
@@ -360,4 +195,4 @@ def find_anchors(page: str, skip_navigation: bool, chains=None) -> tuple[str | N
         piece = _plain(page[last:])
         for _, anchor in open_anchors:
             anchor[2].append(piece)
-    return base, [(at, href, _squeeze(text) or image or label) for at, href, text, image, label in anchors]
+    return base, [(at, href, _squeeze(text) or image or label, own) for at, href, text, image, label, own in anchors]

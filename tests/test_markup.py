@@ -2,16 +2,34 @@
 
 import pytest
 
-from freshet.operators.markup import SelectorError, compile_selector, decode_page, find_anchors
+from pyspark.sql import functions as F
 
+from freshet.operators import selectors
+from freshet.operators.markup import decode_page, find_anchors
+from freshet.operators.parse import parse_pages
 
-def hrefs(page, selector=None, skip_navigation=True):
-    chains = compile_selector(selector) if selector else None
-    return [href for _, href, _ in find_anchors(page, skip_navigation, chains)[1]]
+
+def hrefs(page, skip_navigation=True):
+    return [href for _, href, _, _ in find_anchors(page, skip_navigation)[1]]
 
 
 def titles(page):
-    return [title for _, _, title in find_anchors(page, True)[1]]
+    return [title for _, _, title, _ in find_anchors(page, True)[1]]
+
+
+@pytest.fixture(scope="module")
+def selected(spark):
+    """What selectors choose on pages: (page, selector) pairs to lists of addresses, None for an unsupported selector."""
+
+    def choose(pairs):
+        rows = [(k, page, selector, True) for k, (page, selector) in enumerate(pairs)]
+        parsed = parse_pages(spark.createDataFrame(rows, "k int, html string, selector string, skip_navigation boolean"))
+        parsed = parsed.withColumn("chains", selectors.chains(F.col("selector")))
+        chosen = F.filter("anchors", lambda a: selectors.is_selected(a["path"], F.col("chains")))
+        out = parsed.select("k", F.when(~selectors.is_unsupported(F.col("selector")), F.transform(chosen, lambda a: a["href"])).alias("found"))
+        return [r.found for r in out.orderBy("k").collect()]
+
+    return choose
 
 
 @pytest.mark.parametrize(
@@ -59,48 +77,46 @@ LIST = (
 )
 
 
-@pytest.mark.parametrize(
-    "selector, want",
-    [
-        ("ul.articles a", ["/1", "/2"]),
-        ("ul.articles.big", ["/1", "/2"]),
-        ("ul > li > a", ["/1", "/4"]),
-        ("nav a", ["/4"]),
-        ("#main > a, nav", ["/3", "/4"]),
-        ("a.more", ["/3"]),
-        ("body > nav li", ["/4"]),
-        ("*", ["/1", "/2", "/3", "/4"]),
-        ('a[rel~="me"]', ["/2"]),
-        ("a[data-k]", ["/4"]),
-        ("a[href^='/'][href$=\"3\"]", ["/3"]),
-        ("article a", []),
-        ("li:first-child a", ["/1", "/4"]),
-        ("ul.articles li:nth-child(2) a", ["/2"]),
-        ("li:nth-child(odd) a", ["/1", "/4"]),
-        ("li:nth-child(-n + 1) > a", ["/1", "/4"]),
-        ("li.hot + li a", ["/2"]),
-        ("ul ~ a", ["/3"]),
-        ("div + nav a", ["/4"]),
-        ("a:not(.more):not([rel], [data-k])", ["/1"]),
-        ("body > div:first-child a", ["/1", "/2", "/3"]),
-        ("li:not(.hot) p>a", ["/2"]),
-    ],
-)
-def test_selectors(selector, want):
-    assert hrefs(LIST, selector) == want
-
-
-@pytest.mark.parametrize("selector", ["a:hover", "ul >", "> a", "a,,b", "a[", "a + + b", "..x", "", "a:nth-child(x)", "a:not(b c)", "a:last-child"])
-def test_selectors_outside_the_subset_are_errors(selector):
-    with pytest.raises(SelectorError):
-        compile_selector(selector)
-
-
-def test_positions_count_scripts_and_ignore_the_head():
-    page = "<html><head><title>t</title><meta x></head><body class=k><script>x</script><div><script></script><a href=/1>1</a></div><p><a href=/2>2</a></p></body></html>"
-    assert hrefs(page, "div:nth-child(2) > a:nth-child(2)") == ["/1"]
-    assert hrefs(page, "body.k > p:nth-child(3) a") == ["/2"]
-    assert hrefs("<p><a href=/1>1</a>", "html > body > p:first-child a") == ["/1"]
+CASES = [
+    ("ul.articles a", ["/1", "/2"]),
+    ("ul.articles.big", ["/1", "/2"]),
+    ("ul > li > a", ["/1", "/4"]),
+    ("nav a", ["/4"]),
+    ("#main > a, nav", ["/3", "/4"]),
+    ("a.more", ["/3"]),
+    ("body > nav li", ["/4"]),
+    ("*", ["/1", "/2", "/3", "/4"]),
+    ("article a", []),
+    ("ul>li a", ["/1", "/2", "/4"]),
+    ("div ul li p a", ["/2"]),
+    ("div > li a", []),
+    ("UL.articles LI.hot", ["/1"]),
+    (".c.x#main .more", ["/3"]),
+    ("html > body > div > ul > li > p > a", ["/2"]),
+    ("li a , .more", ["/1", "/2", "/3", "/4"]),
+    ('a[rel~="me"]', ["/2"]),
+    ("a[data-k]", ["/4"]),
+    ("a[href^='/'][href$=\"3\"]", ["/3"]),
+    ("ul a[href]", ["/1", "/2", "/4"]),
+    ("a[href*='']", []),
+    ("[id|=main] > a[class=more]", ["/3"]),
+    ("nav a[rel]", []),
+]
+
+
+def test_selectors(selected):
+    assert selected([(LIST, s) for s, _ in CASES]) == [want for _, want in CASES]
+
+
+def test_the_elements_of_the_root_have_attributes(selected):
+    page = "<html id=top><body class='k l'><div><a href=/1>1</a><div><a href=/2>2</a></div></div></body></html>"
+    cases = [("#top a", ["/1", "/2"]), ("body.k > div > a", ["/1"]), ("html.no a", []), ("div div a", ["/2"]), ("div > div > a", ["/2"]), ("div > a", ["/1", "/2"])]
+    assert selected([(page, s) for s, _ in cases]) == [want for _, want in cases]
+
+
+def test_selectors_outside_the_subset(selected):
+    bad = ["a:hover", "ul >", "> a", "a,,b", "a[", "a + b", "..x", "a:nth-child(2)", "a[href=]", "ul ~ a", ","]
+    assert selected([(LIST, s) for s in bad]) == [None] * len(bad)
 
 
 def test_base_is_the_first_with_an_href():
@@ -115,6 +131,37 @@ def test_decoding():
     assert text in decode_page(text.encode(), "no-such-charset")
     assert decode_page(b"\xef\xbb\xbfx", None) == "x"
     assert decode_page(b"caf\xe9", None) == "café"
+    # The first label that fits all bytes counts; other codecs are no text.
+    assert text in decode_page((meta % "Shift_JIS" + text).encode("cp932"), "utf-8")
+    assert decode_page(b"a\xff", "utf-8") == "a\ufffd"
+
+
+@pytest.mark.parametrize("label", ["hex", "base64", "rot13", "idna", "undefined", "zlib", "punycode", "unicode_escape"])
+def test_labels_that_name_no_usable_charset(spark, label):
+    page = f"<meta charset={label}><a href=/x>ok</a>".encode()
+    rows = [(page, label, None, True), (page, None, None, True), (b"<a href=/y>ok</a>", None, None, True)]
+    out = parse_pages(spark.createDataFrame(rows, "content binary, charset_hint string, selector string, skip_navigation boolean")).collect()
+    assert [[a.href for a in r.anchors] for r in out] == [["/x"], ["/x"], ["/y"]] and all(r.parse_error is None for r in out)
+
+
+def test_a_failing_page_fails_alone(spark, monkeypatch):
+    from freshet.operators import markup, parse
+
+    def broken(page, *rest):
+        raise RecursionError
+
+    class Half:
+        decode_page = staticmethod(markup.decode_page)
+        find_anchors = staticmethod(lambda page, *rest: broken(page) if "bad" in page else markup.find_anchors(page, *rest))
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(parse, "markup", Half)
+    batch = pa.RecordBatch.from_pylist([{"html": h, "selector": None, "skip_navigation": True} for h in ("<a href=/1>", "bad", "<a href=/2>")])
+    batch = batch.set_column(1, "selector", pa.array([None] * 3, pa.string()))
+    (out,) = parse._anchors_of(iter([batch]))
+    assert out.column("parse_error").to_pylist() == [None, "RecursionError", None]
+    assert [[a["href"] for a in page] for page in out.column("anchors").to_pylist()] == [["/1"], [], ["/2"]]
 
 
 def test_broken_markup_stays_linear():
@@ -123,6 +170,5 @@ def test_broken_markup_stays_linear():
     began = time.time()
     for piece in ("<a \"", "<a href=", "<!--", "<script>", "<nav>", "</div", "&#", "<a b='"):
         find_anchors(piece * 20000, True)
-    find_anchors("<ul>" + "<li>" * 5000 + "<b><a href=/x>x</a>", True, compile_selector("p ~ li ~ li ~ li a, i ~ li"))
-    find_anchors("<div>" * 400 + "<a href=/x>x</a>", True, compile_selector("section div div div div a, p > div div div"))
+    find_anchors("<ul>" + "<li>" * 5000 + "<b><a href=/x>x</a>", True, True)
     assert time.time() - began < 10
