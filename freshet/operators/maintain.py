@@ -10,10 +10,16 @@ from freshet.operators.detect import State
 
 # Fixed value: the message for ids no site has.
 UNKNOWN_SITE = "存在しないサイトIDです: "
+#: Ids in an error's text; its rows have all.
+SHOWN = 10
 
 
 class UnknownSite(ValueError):
-    """A site id that no configured site has."""
+    """Site ids that no configured site has; ``rows`` has all of them, the message the first."""
+
+    def __init__(self, rows: DataFrame):
+        self.rows = rows.orderBy("site_id")
+        super().__init__(UNKNOWN_SITE + ", ".join(r["site_id"] for r in self.rows.take(SHOWN)))
 
 
 def _ids(df: DataFrame) -> DataFrame:
@@ -25,10 +31,10 @@ def unknown_ids(wanted: DataFrame, sites: DataFrame) -> DataFrame:
 
 
 def require_known(wanted: DataFrame, sites: DataFrame) -> None:
-    """Raise for ids without a site; names at most ten of them."""
-    unknown = [r["site_id"] for r in unknown_ids(wanted, sites).orderBy("site_id").limit(10).collect()]
-    if unknown:
-        raise UnknownSite(UNKNOWN_SITE + ", ".join(unknown))
+    """Raise for ids without a site."""
+    unknown = unknown_ids(wanted, sites)
+    if not unknown.isEmpty():
+        raise UnknownSite(unknown)
 
 
 def enabled_sites(sites: DataFrame, only: DataFrame | None = None) -> DataFrame:

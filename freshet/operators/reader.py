@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from freshet.functions.text import display_title, matches_query
-from freshet.operators.topk import top_per_group
+from freshet.operators.topk import numbered, top_per_group
 
 # The length of the read log, and the texts on a site's card.
 READ_LIMIT = 3000
@@ -34,8 +34,9 @@ def with_read_flag(items: DataFrame, reads: DataFrame) -> DataFrame:
 
 
 def mark_read(reads: DataFrame, clicks: DataFrame) -> DataFrame:
-    """Add clicked URLs; what was read before keeps its time."""
-    return reads.unionByName(clicks).groupBy("reader_id", "url").agg(F.min("read_at").alias("read_at"))
+    """Add clicked URLs at the time of their first click; what was read before keeps its time, whatever the clicks say."""
+    first = clicks.groupBy("reader_id", "url").agg(F.min("read_at").alias("read_at"))
+    return reads.unionByName(first.join(reads, ["reader_id", "url"], "left_anti"))
 
 
 def mark_all_read(reads: DataFrame, timeline: DataFrame, reader_id: Column, now: Column) -> DataFrame:
@@ -82,9 +83,10 @@ def search_sites(rows: DataFrame, recent: DataFrame, query: str = "") -> DataFra
 
 
 def rank_sites(rows_with_unread: DataFrame) -> DataFrame:
-    """Most unread first, then failures, then by name as Japanese readers sort it, then as listed."""
+    """Most unread first, then failures, then by name as Japanese readers sort it, then as listed: numbered from 1 in ``rank``."""
     failed = (F.col("status") == "error").cast("int")
-    return rows_with_unread.orderBy(F.col("unread").desc(), failed.desc(), F.collate("name", "ja"), "result_ord")
+    order = [F.col("unread").desc(), failed.desc(), F.collate("name", "ja").asc(), F.col("result_ord").asc()]
+    return numbered(rows_with_unread, order).orderBy("rank")
 
 
 def badge(rows_with_unread: DataFrame) -> DataFrame:

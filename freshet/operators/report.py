@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from freshet.functions.text import NO_TITLE, blank_to_null
 from freshet.operators.detect import State, states_of
-from freshet.operators.topk import top_per_group
+from freshet.operators.topk import numbered, top_per_group
 
 # The feed's version and lengths, and the texts of the run summary.
 FEED_VERSION = 1
@@ -23,8 +23,6 @@ FOUND_NEW = "新着"
 UNCHANGED = "更新なし"
 FIRST_RUN_DETAIL = "%d件のリンクを記録（新着判定は次回から）"
 FOUND_NEW_DETAIL = "%d件"
-# Sites beyond which a feed is only written as tables, not as one document.
-DOCUMENT_SITES = 10_000
 
 _UNCHECKED = 1 << 40
 
@@ -101,15 +99,12 @@ def _iso(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
 
 
-def feed_document(feed: Feed, generated_at: Column) -> DataFrame:
-    """The feed as one nested row, for feeds small enough to be read as one document."""
-    if feed.sites.limit(DOCUMENT_SITES + 1).count() > DOCUMENT_SITES:
-        raise ValueError(f"more than {DOCUMENT_SITES} sites: write the feed as tables")
-
-    def listed(df: DataFrame, order: list[str], fields: Column, name: str) -> DataFrame:
-        packed = F.array_sort(F.collect_list(F.struct(F.struct(*order).alias("at"), fields.alias("row"))))
-        return df.agg(F.transform(packed, lambda x: x["row"]).alias(name))
+def feed_lines(feed: Feed, generated_at: Column) -> DataFrame:
+    """The feed as the lines of one JSON document, in order: a head, a line for each site, a line for each timeline entry.
 
+    The lines are sorted by ranges and written in parts, of which each is a piece of the document: no number of sites is
+    too many, and nothing is gathered in one row.
+    """
     site = F.struct(
         F.col("site_id").alias("id"), "name", "url", "status", "error", "consecutive_errors",
         _iso(F.col("last_checked")).alias("last_checked"), _iso(F.col("last_update")).alias("last_update"),
@@ -117,19 +112,46 @@ def feed_document(feed: Feed, generated_at: Column) -> DataFrame:
         F.transform("items", lambda i: F.struct(i["title"].alias("title"), i["url"].alias("url"), _iso(i["first_seen"]).alias("first_seen"))).alias("items"),
     )
     entry = F.struct("site_id", "site_name", "title", "url", _iso(F.col("first_seen")).alias("first_seen"))
-    ranked = feed.timeline.withColumn("_newest", -F.unix_micros(F.col("first_seen")))
-    return (
-        feed.totals.crossJoin(listed(feed.sites, ["result_ord"], site, "sites"))
-        .crossJoin(listed(ranked, ["_newest", "result_ord", "ord"], entry, "timeline"))
-        .select(
-            F.lit(FEED_VERSION).alias("version"), _iso(generated_at).alias("generated_at"),
-            "site_count", "new_count", "error_count", "sites", "timeline",
-        )
-    )
+    head = F.struct(F.lit(FEED_VERSION).alias("version"), _iso(generated_at).alias("generated_at"), "site_count", "new_count", "error_count")
+    opened = F.concat(F.regexp_replace(_json(head), "\\}$", ""), F.lit(',"sites":['))
+    newest = -F.unix_micros(F.col("first_seen"))
+    return in_document([
+        (feed.totals, [], opened),
+        (feed.sites, [F.lit(""), F.col("result_ord")], _json(site)),
+        (feed.totals, [], F.lit('],"timeline":[')),
+        (feed.timeline, [F.lit(""), newest, F.col("result_ord"), F.col("ord")], _json(entry)),
+        (feed.totals, [], F.lit("]}")),
+    ])
+
+
+def _json(value: Column) -> Column:
+    return F.to_json(value, {"ignoreNullFields": "false"})
+
+
+def in_document(sections: list[tuple[DataFrame, list[Column], Column]]) -> DataFrame:
+    """``value``: the lines of a document made of sections (rows, order, line), sorted by section and order.
+
+    An order is a name and up to three numbers. The lines of a section that has one form a list: each but the first
+    begins with a comma.
+    """
+    parts = []
+    for number, (rows, order, line) in enumerate(sections):
+        name, *numbers = order or [F.lit("")]
+        keys = [(numbers[k] if k < len(numbers) else F.lit(0)).cast("bigint").alias(f"k{k}") for k in range(3)]
+        part = rows.select(F.lit(number).alias("section"), name.alias("name"), *keys, line.alias("line"))
+        if order:
+            at = F.struct("name", "k0", "k1", "k2")
+            first = part.agg(F.min(at).alias("first"))
+            part = part.crossJoin(F.broadcast(first)).withColumn("line", F.when(at != F.col("first"), F.concat(F.lit(","), F.col("line"))).otherwise(F.col("line"))).drop("first")
+        parts.append(part)
+    lines = parts[0]
+    for part in parts[1:]:
+        lines = lines.unionByName(part)
+    return lines.orderBy("section", "name", "k0", "k1", "k2").select(F.col("line").alias("value"))
 
 
 def run_summary(results: DataFrame, sites: DataFrame) -> DataFrame:
-    """Checked sites, failures first, then by how much is new; ``summary_ord`` carries the order."""
+    """What the run's summary says of each checked site; ``in_summary_order`` puts failures first, then most news."""
     named = results.join(sites.select("site_id", "ord", "name"), "site_id")
     failed, seeded, found = F.col("status") == "error", F.col("seeded_now"), F.col("new_count") > 0
     label = F.when(failed, FAILED).when(seeded, FIRST_RUN).when(found, FOUND_NEW).otherwise(UNCHANGED)
@@ -145,7 +167,9 @@ def run_summary(results: DataFrame, sites: DataFrame) -> DataFrame:
 
 
 def in_summary_order(summary: DataFrame) -> DataFrame:
-    return summary.orderBy(F.col("status") != "error", F.col("new_count").desc(), "ord")
+    """The summary with its order as ``summary_ord``, from 1."""
+    order = [(F.col("status") != "error").asc(), F.col("new_count").desc(), F.col("ord").asc()]
+    return numbered(summary, order, "summary_ord").orderBy("summary_ord")
 
 
 def summary_titles(new_items: DataFrame, results: DataFrame, shown: int = SUMMARY_TITLES) -> DataFrame:
@@ -170,11 +194,8 @@ def run_totals(results: DataFrame) -> DataFrame:
     )
 
 
-def inspect_links(links: DataFrame, by: list[str], limit: int = 30) -> DataFrame:
-    """The first links of each page as shown for inspection."""
-    first = Window.partitionBy(*by).orderBy("pos")
-    return (
-        links.withColumn("rank", F.row_number().over(first))
-        .filter(F.col("rank") <= limit)
-        .select(*by, "rank", F.coalesce(blank_to_null(F.substring("title", 1, INSPECT_WIDTH)), F.lit(NO_TITLE)).alias("title"), "url")
-    )
+def inspect_links(pages: DataFrame, by: list[str], limit: int = 30) -> DataFrame:
+    """The first links of each page as shown for inspection: a slice of the page's own list, without a shuffle."""
+    shown = pages.filter(F.col("error").isNull()).select(*by, F.posexplode(F.slice("links", 1, limit)).alias("at", "link"))
+    title = F.coalesce(blank_to_null(F.substring("link.title", 1, INSPECT_WIDTH)), F.lit(NO_TITLE))
+    return shown.select(*by, (F.col("at") + 1).alias("rank"), title.alias("title"), F.col("link.url").alias("url"))

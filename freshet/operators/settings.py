@@ -20,8 +20,17 @@ _FLAGS = ["enabled", "allow_external", "use_default_exclude", "skip_navigation"]
 _TEXTS = ["selector", "user_agent"]
 
 
+#: Violations in an error's text; its rows have all.
+SHOWN = 10
+
+
 class InvalidSettings(ValueError):
-    """Settings that cannot be used; lists the first violations."""
+    """Settings that cannot be used; ``rows`` has all violations, if there are some, and the text the first."""
+
+    def __init__(self, text: str = "", rows: DataFrame | None = None):
+        self.rows = rows
+        shown = [] if rows is None else rows.take(SHOWN)
+        super().__init__(text or "; ".join(f"sites[{w['ord']}]: {w['code']} {w['detail'] or ''}".strip() for w in shown))
 
 
 def _value(entry: Column, key: str) -> Column:
@@ -160,6 +169,5 @@ def require_valid(raw: DataFrame, defaults: object = None) -> None:
     checked = violations(raw).unionByName(
         violations(spark.createDataFrame([(0, json.dumps(common))], "ord int, entry string"))
     )
-    wrong = checked.orderBy("ord", "code").limit(10).collect()
-    if wrong:
-        raise InvalidSettings("; ".join(f"sites[{w['ord']}]: {w['code']} {w['detail'] or ''}".strip() for w in wrong))
+    if not checked.isEmpty():
+        raise InvalidSettings(rows=checked.orderBy("ord", "code"))

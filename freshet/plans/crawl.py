@@ -62,8 +62,7 @@ def check(
 
 
 def _republish(store: StateStore, state: State, sites: DataFrame, feed_path: str | None) -> report.Feed:
-    version = store.version()
-    state = store.save(state, 0 if version is None else version + 1)
+    state = store.save(state)
     nothing = sites.sparkSession.createDataFrame([], "site_id string, link_count int, new_count int, seeded_now boolean")
     feed = report.build_feed(nothing, sites, state)
     if feed_path is not None:
@@ -101,5 +100,5 @@ def inspect(snapshots: DataFrame, page_url: str | Column, selector: str | None =
     return {
         "count": pages.select(*by, "page_url", "link_count", "error"),
         "prefixes": path_prefix_stats(links, by),
-        "links": report.inspect_links(links, by, limit),
+        "links": report.inspect_links(pages, by, limit),
     }

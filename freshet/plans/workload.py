@@ -16,7 +16,7 @@ from freshet.operators import attempts, maintain, reader, report, settings
 from freshet.operators.detect import Advance, advance, replay
 from freshet.operators.extract import explode_links, extract, path_prefix_stats, same_site_pairs
 from freshet.plans import crawl
-from freshet.session import scratch_folder
+from freshet.session import scratch_folder, stage
 from freshet.sources import feed as feed_source
 from freshet.sources import state as state_source
 from freshet.sources.snapshots import snapshots_of_pages
@@ -65,7 +65,8 @@ def halves(history: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def crawled_halves(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
-    return [extract(half, skip_navigation=False) for half in halves(snapshots(spark, sf_dir))]
+    pages, _ = stage(crawled(spark, sf_dir), "crawled")
+    return list(halves(pages))
 
 
 def read_urls(outcome: Advance) -> DataFrame:
@@ -137,6 +138,14 @@ def page_links_selector(spark: SparkSession, sf_dir: str) -> DataFrame:
     return in_text(pages.select("site_id", "run_ts", "link_count", "error"), "run_ts")
 
 
+@query
+def selected_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The links that a path of elements and attributes chooses, page by page."""
+    selector = "html > body nav > ul a[href^='/'], main .none"
+    pages = extract(snapshots(spark, sf_dir), selector=selector)
+    return in_text(explode_links(pages).select("site_id", "run_ts", "pos", "url", "title"), "run_ts")
+
+
 @query
 def canonical_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", urls.normalize_url(F.col("url")).alias("canonical_url"))
@@ -168,8 +177,7 @@ def page_path_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def inspected_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    links = explode_links(crawled(spark, sf_dir))
-    return in_text(report.inspect_links(links, ["site_id", "run_ts"], 3), "run_ts")
+    return in_text(report.inspect_links(crawled(spark, sf_dir), ["site_id", "run_ts"], 3), "run_ts")
 
 
 @query
@@ -219,10 +227,10 @@ def known_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _last_runs(history: DataFrame) -> list[DataFrame]:
     """Extracted pages before each site's last run, and of it."""
-    last = history.groupBy("site_id").agg(F.max("run_ts").alias("last"))
-    marked = history.join(last, "site_id")
-    parts = marked.filter("run_ts < last").drop("last"), marked.filter("run_ts = last").drop("last")
-    return [extract(part, skip_navigation=False) for part in parts]
+    pages, _ = stage(extract(history, skip_navigation=False), "crawled")
+    last = pages.groupBy("site_id").agg(F.max("run_ts").alias("last"))
+    marked = pages.join(last, "site_id")
+    return [marked.filter("run_ts < last").drop("last"), marked.filter("run_ts = last").drop("last")]
 
 
 @query
@@ -349,7 +357,7 @@ def feed_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     summary = report.run_summary(replay(crawled(spark, sf_dir, include=["/th", "/e"])).results, site_list(spark, sf_dir))
-    return report.in_summary_order(summary).select("site_id", "label", "detail", "ord")
+    return report.in_summary_order(summary).select("site_id", "label", "detail", "ord", "summary_ord")
 
 
 @query
@@ -386,7 +394,7 @@ def reader_header(spark: SparkSession, sf_dir: str) -> DataFrame:
 def site_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     outcome = replay(crawled(spark, sf_dir, include=["/th", "/e"]))
     rows = reader.with_unread(rows_of(spark, sf_dir, outcome), outcome.recent, read_urls(outcome))
-    return reader.rank_sites(rows).select("site_id", "unread", "status")
+    return reader.rank_sites(rows).select("site_id", "unread", "status", "rank")
 
 
 @query
@@ -410,9 +418,11 @@ def card_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def marked_read(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as clicks: what a user clicked first stays the time of reading."""
-    clicks = _reads(spark, sf_dir)
-    return in_text(reader.mark_read(spark.createDataFrame([], clicks.schema), clicks), "read_at")
+    """Events with even ids are in the log; the others are clicks, which change no time in the log."""
+    reads = _reads(spark, sf_dir)
+    stored = reads.filter("event_id % 2 = 0").groupBy("reader_id", "url").agg(F.min("read_at").alias("read_at"))
+    clicks = reads.filter("event_id % 2 = 1").drop("event_id")
+    return in_text(reader.mark_read(stored, clicks), "read_at")
 
 
 @query
@@ -428,13 +438,13 @@ def _reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(
         F.col("user_id").cast("string").alias("reader_id"),
         F.concat(F.lit("https://read.example/"), "event_type", F.lit("/"), F.floor(F.col("value")).cast("string")).alias("url"),
-        F.col("ts").alias("read_at"),
+        F.col("ts").alias("read_at"), "event_id",
     )
 
 
 @query
 def read_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clicks = _reads(spark, sf_dir)
+    clicks = _reads(spark, sf_dir).drop("event_id")
     reads = reader.mark_read(spark.createDataFrame([], clicks.schema), clicks)
     return in_text(reader.keep_newest_reads(reads, 20), "read_at")
 
@@ -534,13 +544,11 @@ def feed_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def checked_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two stored runs of the job: each site's first snapshot, then its last; what the second reports."""
+    """Two stored runs of the job, over the first and the second half of the history; what the second reports."""
     store, sites = state_source.StateStore(spark, scratch_folder(spark, "check")), site_list(spark, sf_dir)
-    history = snapshots(spark, sf_dir)
-    ends = history.groupBy("site_id").agg(F.min("run_ts").alias("first"), F.max("run_ts").alias("last"))
-    marked = history.join(ends, "site_id")
-    crawl.check(store, sites, marked.filter("run_ts = first"))
-    return new_items_of(crawl.check(store, sites, marked.filter("run_ts = last AND last > first")).outcome)
+    before, after = halves(snapshots(spark, sf_dir))
+    crawl.check(store, sites, before)
+    return new_items_of(crawl.check(store, sites, after).outcome)
 
 
 @query

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-_SUFFIXES = (
-    "css|js|mjs|json|xml|rss|atom|png|jpg|jpeg|gif|svg|webp|ico|bmp|zip|gz|tar|rar|7z|exe|dmg|apk|"
-    "mp3|mp4|avi|mov|wmv|m4a|wav|woff|woff2|ttf|eot"
-)
-_NO_LINKS = "リンクを1件も抽出できませんでした"
+from freshet.operators.extract import DEFAULT_EXCLUDES, NO_LINKS, SKIP_SUFFIXES
+
+_SUFFIXES = "|".join(SKIP_SUFFIXES)
+_EXCLUDED = "|".join(DEFAULT_EXCLUDES)
+_NO_LINKS = NO_LINKS
 
 # Pages as runs, and the anchors of each with their order. Every href of these pages is a rooted path.
 _PAGE = r"""
@@ -36,7 +36,7 @@ link AS (
          coalesce(arg_min(title, pos) FILTER (title <> ''), '') AS title
   FROM anchor
   WHERE href <> '/' AND NOT regexp_matches(lower(href), '\\.({_SUFFIXES})$')
-    AND NOT regexp_matches(href, '(?i)/(feed|rss|atom)/?$|/wp-(json|login|admin)|/xmlrpc\\.php$|/sitemap(\\.xml|/)?$|/(login|logout|signin|signout|signup|register)/?$')
+    AND NOT regexp_matches(href, '(?i){_EXCLUDED}')
     AND ({where})
   GROUP BY ALL)"""
     )
@@ -267,7 +267,8 @@ WITH {_replayed(_INCLUDE)}
 SELECT site_id,
   CASE WHEN status = 'error' THEN '失敗' WHEN seeded_now THEN '初回' WHEN new_count > 0 THEN '新着' ELSE '更新なし' END AS label,
   CASE WHEN status = 'error' THEN error WHEN seeded_now THEN link_count || '件のリンクを記録（新着判定は次回から）'
-       WHEN new_count > 0 THEN new_count || '件' ELSE '' END AS detail, ord
+       WHEN new_count > 0 THEN new_count || '件' ELSE '' END AS detail, ord,
+  row_number() OVER (ORDER BY status <> 'error', new_count DESC, ord) AS summary_ord
 FROM result JOIN listed USING (site_id)""",
     "run_summary_titles": f"""
 WITH {_replayed()}, ranked AS (
@@ -285,7 +286,9 @@ SELECT count(*) AS site_count, (SELECT count(*) FROM timeline WHERE url NOT IN (
   count(*) FILTER (status = 'error') AS error_count FROM result""",
     "site_ranking": f"""
 WITH {_replayed(_INCLUDE)}
-SELECT site_id, coalesce(unread, 0) AS unread, last_status AS status FROM site LEFT JOIN unread USING (site_id)""",
+SELECT site_id, coalesce(unread, 0) AS unread, last_status AS status,
+  row_number() OVER (ORDER BY coalesce(unread, 0) DESC, last_status <> 'error', site_id, ord) AS rank
+FROM site LEFT JOIN unread USING (site_id) JOIN listed USING (site_id)""",
     "site_search": f"""
 WITH {_replayed()} SELECT s.site_id FROM site s
 WHERE contains(lower(s.site_id || ' https://' || s.site_id || '/'), 'tion')
@@ -302,7 +305,8 @@ FROM site s JOIN result r USING (site_id) LEFT JOIN unread USING (site_id)""",
 WITH {_replayed()} SELECT site_id, ord, title AS display_title FROM recent
 WHERE url NOT IN (SELECT url FROM reads) AND contains(lower(title), 'th')""",
     "marked_read": f"""
-SELECT user_id::VARCHAR AS reader_id, {_EVENT_URL} AS url, {_ts("min(ts)", "read_at")} FROM events GROUP BY 1, 2""",
+SELECT user_id::VARCHAR AS reader_id, {_EVENT_URL} AS url,
+  {_ts("coalesce(min(ts) FILTER (event_id % 2 = 0), min(ts))", "read_at")} FROM events GROUP BY 1, 2""",
     "all_marked_read": f"""
 WITH {_replayed()}
 SELECT 'r' AS reader_id, url, CASE WHEN url IN (SELECT url FROM timeline) THEN '2025-01-01 00:00:00' ELSE strftime(read_at, '%Y-%m-%d %H:%M:%S') END AS read_at
@@ -336,14 +340,9 @@ UNION ALL SELECT ord, 'not_a_list', 'exclude' FROM entry WHERE i % 50 = 7
 UNION ALL SELECT ord, 'not_a_number', 'retries' FROM entry WHERE i % 35 = 3
 UNION ALL SELECT ord, 'duplicate_id', site_id
 FROM (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY ord) AS nth FROM entry WHERE url IS NOT NULL) WHERE nth > 1""",
-    "checked_twice": f"""
-WITH {_links()}, ends AS (SELECT site_id, min(run_ts) AS first, max(run_ts) AS last FROM page WHERE site_id NOT LIKE '%.org' GROUP BY site_id)
-SELECT l.site_id, l.url, l.title, l.pos, {_ts("run_ts", "first_seen")}
-FROM link l JOIN ends e USING (site_id)
-WHERE l.run_ts = e.last AND e.last > e.first
-  AND EXISTS (SELECT 1 FROM link k WHERE k.site_id = l.site_id AND k.run_ts = e.first)
-  AND NOT EXISTS (SELECT 1 FROM link k WHERE k.site_id = l.site_id AND k.run_ts = e.first AND k.url = l.url)""",
+    "checked_twice": f"WITH {_replayed()} SELECT {_NEW} FROM fresh WHERE first_seen > {_MIDDLE} AND site_id NOT LIKE '%.org'",
 }
+ORACLE["selected_links"] = ORACLE["page_links"]
 ORACLE["stored_state"] = ORACLE["known_urls"]
 ORACLE["exported_state"] = ORACLE["recent_per_site"]
 ORACLE["feed_tables"] = ORACLE["timeline_300"]

@@ -9,12 +9,11 @@ from typing import TypeVar
 
 from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 T = TypeVar("T")
 
-# A dimension is broadcast only while the optimizer's own size estimate stays below this.
-BROADCAST_LIMIT_BYTES = 128 * 1024 * 1024
+# Input for which a core's share is smaller than this is dealt to all cores before it is parsed.
+SMALL_SHARE_BYTES = 16 * 1024 * 1024
 
 
 def build_session(app: str = "freshet", **settings: str) -> SparkSession:
@@ -52,21 +51,21 @@ def once_per_application(build: Callable[[], T]) -> Callable[[], T]:
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate; far too high rather than too low when it knows nothing."""
+    """The optimizer's size estimate, from the plan alone: rough, so that only the plan may depend on it."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def join_dimension(facts: DataFrame, dimension: DataFrame, on: str | list[str] | Column, how: str = "inner") -> DataFrame:
-    """Join a dimension: broadcast while it is provably small, else a sort-merge join under AQE's skew handling."""
-    if estimated_bytes(dimension) <= BROADCAST_LIMIT_BYTES:
-        dimension = F.broadcast(dimension)
+    """Join a dimension. Whether it is broadcast is for Spark to say, by its own threshold and by sizes at run time;
+    beyond it a sort-merge join under AQE's skew handling takes over."""
     return facts.join(dimension, on, how)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Give a small input enough partitions for all cores; a large one already has them and is left alone."""
+    """Deal a small input to all cores; a large one has partitions enough and is left alone. Looks at the plan's size
+    estimate only: nothing is executed while planning."""
     parallelism = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= parallelism:
+    if estimated_bytes(df) >= parallelism * SMALL_SHARE_BYTES:
         return df
     return df.repartition(parallelism, *keys)
 

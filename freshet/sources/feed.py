@@ -6,7 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freshet.operators.report import Feed, feed_document
+from freshet.operators.report import Feed, feed_lines
 from freshet.schemas import READS
 
 _ITEM = "title string, url string, first_seen string"
@@ -31,12 +31,12 @@ def read_feed(spark: SparkSession, path: str) -> Feed:
 
 
 def write_feed_document(feed: Feed, path: str, generated_at: Column) -> None:
-    """The feed as one JSON document in one file."""
-    feed_document(feed, generated_at).coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+    """The feed as one JSON document, however many sites it has: the parts, in the order of their names, are its pieces."""
+    feed_lines(feed, generated_at).write.mode("overwrite").text(path)
 
 
 def read_feed_document(spark: SparkSession, path: str) -> Feed:
-    """A JSON feed document as tables; a missing timeline is an empty one."""
+    """A JSON feed document in one file as tables; a missing timeline is an empty one."""
     document = spark.read.schema(_DOCUMENT).json(path, multiLine=True)
 
     def time(column: str) -> Column:

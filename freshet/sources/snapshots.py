@@ -19,12 +19,14 @@ def read_snapshots(spark: SparkSession, path: str, since: Column | None = None)
 def read_page_files(spark: SparkSession, path: str, index: DataFrame) -> DataFrame:
     """Pages kept as files, joined to their crawl ``index``.
 
-    ``index``: file, site_id, run_ts, page_url and, optionally, content_type, http_status, error.
+    ``index``: file (its path below ``path``), site_id, run_ts, page_url and, optionally, content_type, http_status, error.
     """
     optional = {"content_type": "string", "http_status": "int", "error": "string"}
     index = index.withColumns({c: F.lit(None).cast(t) for c, t in optional.items() if c not in index.columns})
-    name = F.substring_index(F.col("path"), "/", -1)
-    files = spark.read.format("binaryFile").load(path).select(name.alias("file"), "content")
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    root = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toString()
+    name = F.substr(F.col("path"), F.lit(len(root) + 2))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(name.alias("file"), "content")
     return index.join(files, "file", "left").select(
         "site_id", "run_ts", "page_url", "content", F.lit(None).cast("string").alias("html"),
         charset_hint(F.col("content_type")).alias("charset_hint"), "http_status",

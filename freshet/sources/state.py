@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from freshet import schemas
 from freshet.functions.text import blank_to_null
 from freshet.operators.detect import State
+from freshet.operators.report import in_document
 
 # Fixed value.
 STATE_VERSION = 1
@@ -103,20 +104,20 @@ def export_state(state: State, path: str) -> None:
     state_rows(state).orderBy("site_id").write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
-def state_document(state: State, updated_at: Column) -> DataFrame:
-    """The whole state as one JSON text, for states small enough to be one document."""
+def state_lines(state: State, updated_at: Column) -> DataFrame:
+    """The whole state as the lines of one JSON document, a line for each site in order of id (see ``in_document``)."""
     rows = state_rows(state)
-    body = F.struct(*[c for c in rows.columns if c != "site_id"])
-    packed = F.array_sort(F.collect_list(F.struct("site_id", F.to_json(body, {"ignoreNullFields": "false"}).alias("body"))))
-    entries = F.transform(packed, lambda s: F.concat(F.to_json(F.struct(s["site_id"].alias("k"))), F.lit("\n"), s["body"]))
-    # {"k":"id"} + body -> "id":body
-    members = F.transform(entries, lambda e: F.regexp_replace(e, r'(?s)^\{"k":(".*?(?<!\\)(?:\\\\)*")\}\n', "$1:"))
-    return rows.agg(
-        F.concat(
-            F.lit(f'{{"version":{STATE_VERSION},"updated_at":"'), F.first(_iso(updated_at)), F.lit('","sites":{'),
-            F.array_join(members, ","), F.lit("}}"),
-        ).alias("value")
-    )
+    body = F.to_json(F.struct(*[c for c in rows.columns if c != "site_id"]), {"ignoreNullFields": "false"})
+    # {"k":"id"} without its ends, and the key
+    name = F.regexp_replace(F.to_json(F.struct(F.col("site_id").alias("k"))), r'^\{"k":|\}$', "")
+    one = state.sites.sparkSession.range(1)
+    head = F.concat(F.lit(f'{{"version":{STATE_VERSION},"updated_at":"'), _iso(updated_at), F.lit('","sites":{'))
+    return in_document([(one, [], head), (rows, [F.col("site_id")], F.concat(name, F.lit(":"), body)), (one, [], F.lit("}}"))])
+
+
+def write_state_document(state: State, path: str, updated_at: Column) -> None:
+    """The state as one JSON document: the parts, in the order of their names, are its pieces."""
+    state_lines(state, updated_at).write.mode("overwrite").text(path)
 
 
 def _timestamp(text: Column) -> Column:

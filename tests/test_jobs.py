@@ -151,8 +151,7 @@ def test_feed(feed_parts):
 def test_feed_document_round_trip(spark, feed_parts, tmp_path):
     feed = feed_parts[1]
     feed_source.write_feed_document(feed, str(tmp_path / "doc"), F.lit("2026-08-03 03:00:00").cast("timestamp"))
-    [part] = (tmp_path / "doc").glob("*.json")
-    document = json.loads(part.read_text(encoding="utf-8"))
+    document = json.loads("".join(p.read_text(encoding="utf-8") for p in sorted((tmp_path / "doc").glob("*.txt"))))
     assert (document["version"], document["generated_at"], document["new_count"]) == (1, "2026-08-03T03:00:00+00:00", 1)
     assert [s["id"] for s in document["sites"]] == ["b", "a", "c"] and document["sites"][2]["items"] == []
     assert document["sites"][0]["error"] is None
@@ -255,7 +254,8 @@ def test_state_round_trips(spark, state, tmp_path):
     assert store.version() == 1 and ids(store.load().known) == ["b"] and tables(store.load(0)) == tables(state)
     state_source.export_state(state, str(tmp_path / "lines"))
     back = state_source.import_state_lines(spark, str(tmp_path / "lines"))
-    document = json.loads(state_source.state_document(state, F.lit(T0)).first()["value"])
+    state_source.write_state_document(state, str(tmp_path / "document"), F.lit(T0))
+    document = json.loads("".join(p.read_text(encoding="utf-8") for p in sorted((tmp_path / "document").glob("*.txt"))))
     assert document["version"] == 1 and list(document["sites"]) == ["a", "b", "gone"]
     assert list(document["sites"]["a"]["known"]) == ["https://a.example/1", "https://a.example/2"]
     (tmp_path / "doc.json").write_text(json.dumps(document, indent=2), encoding="utf-8")
