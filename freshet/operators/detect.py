@@ -286,3 +286,10 @@ def _results(runs: DataFrame, new_items: DataFrame) -> DataFrame:
 def replay(pages: DataFrame) -> Advance:
     """The state and the new items of a whole crawl history."""
     return advance(State.empty(pages.sparkSession), pages)
+
+
+def split_late(pages: DataFrame, site_state: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pages after their site's last check, and those not after it, which can no longer be folded in."""
+    marked = join_dimension(pages, site_state.select("site_id", "last_checked"), "site_id", "left")
+    late = F.col("last_checked").isNotNull() & (F.col("run_ts") <= F.col("last_checked"))
+    return marked.filter(~late).drop("last_checked"), marked.filter(late).drop("last_checked")

@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from freshet.operators import maintain, report
-from freshet.operators.detect import Advance, State, advance
+from freshet.operators.detect import Advance, State, advance, split_late
 from freshet.operators.extract import explode_links, extract, path_prefix_stats
-from freshet.sources.feed import write_feed
+from freshet.session import stage
+from freshet.sources.feed import write_feed, write_feed_document
 from freshet.sources.state import StateStore
 
 
@@ -20,18 +21,38 @@ class NothingToCheck(ValueError):
 
 @dataclass(frozen=True)
 class Check:
-    """A finished run: what it found, the state it left, and the feed over all configured sites."""
+    """A finished run: what it found, the state it left, the feed over all configured sites, and what was put aside.
+
+    ``late`` has the snapshots not later than their site's last check: they are not folded in, so that a run that is
+    repeated changes nothing.
+    """
 
     outcome: Advance
     state: State
     feed: report.Feed
+    late: DataFrame
+    sites: DataFrame
+
+    def summary(self) -> DataFrame:
+        """A row for each checked site, in the order of ``summary_ord``."""
+        return report.in_summary_order(report.run_summary(self.outcome.results, self.sites))
+
+    def titles(self) -> DataFrame:
+        return report.summary_titles(self.outcome.new_items, self.outcome.results)
+
+    def totals(self) -> DataFrame:
+        return report.run_totals(self.outcome.results)
 
 
-def run(state: State, sites: DataFrame, snapshots: DataFrame, only: DataFrame | None = None) -> Advance:
-    """All sites of a run in one job; a site's failure is a row like any other."""
+def run(state: State, sites: DataFrame, snapshots: DataFrame, only: DataFrame | None = None) -> tuple[Advance, DataFrame]:
+    """All sites of a run in one job, a site's failure being a row like any other; and the late pages."""
     if only is not None:
         maintain.require_known(only, sites)
-    return advance(state, extract(snapshots, maintain.enabled_sites(sites, only)))
+    # Times are kept to the second, as the exchanged state has them.
+    snapshots = snapshots.withColumn("run_ts", F.date_trunc("second", "run_ts"))
+    pages, _ = stage(extract(snapshots, maintain.enabled_sites(sites, only)), "pages")
+    fresh, late = split_late(pages, state.sites)
+    return advance(state, fresh), late.select("site_id", "run_ts", "page_url", "error")
 
 
 def check(
@@ -49,7 +70,7 @@ def check(
     state = store.load()
     if maintain.enabled_sites(sites, only).isEmpty():
         raise NothingToCheck("no enabled site to check")
-    outcome = run(state, sites, snapshots, only)
+    outcome, late = run(state, sites, snapshots, only)
     if not dry_run:
         # The feed is built on the written version.
         state = store.save(maintain.prune(outcome.state, sites))
@@ -58,7 +79,8 @@ def check(
     feed = report.build_feed(outcome.results, sites, state)
     if feed_path is not None and not dry_run:
         write_feed(feed, feed_path)
-    return Check(outcome, state, feed)
+        write_feed_document(feed, f"{feed_path}/document", F.current_timestamp())
+    return Check(outcome, state, feed, late, sites)
 
 
 def _republish(store: StateStore, state: State, sites: DataFrame, feed_path: str | None) -> report.Feed:

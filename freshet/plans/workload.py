@@ -19,6 +19,7 @@ from freshet.plans import crawl
 from freshet.session import scratch_folder, stage
 from freshet.sources import feed as feed_source
 from freshet.sources import state as state_source
+from freshet.sources.reads import ReadLog
 from freshet.sources.snapshots import snapshots_of_pages
 from freshet.streaming import continuous
 
@@ -551,6 +552,28 @@ def checked_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return new_items_of(crawl.check(store, sites, after).outcome)
 
 
+@query
+def late_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first half of the history, then all of it: the job puts the first half aside."""
+    store, sites = state_source.StateStore(spark, scratch_folder(spark, "check")), site_list(spark, sf_dir)
+    history = snapshots(spark, sf_dir)
+    crawl.check(store, sites, halves(history)[0])
+    return in_text(crawl.check(store, sites, history).late.select("site_id", "run_ts", "page_url"), "run_ts")
+
+
+@query
+def run_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.run_totals(replay(crawled(spark, sf_dir)).results)
+
+
+@query
+def read_log_after_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with even ids are marked in a stored log of twenty reads a reader, then the others."""
+    log, events = ReadLog(spark, scratch_folder(spark, "reads"), 20), _reads(spark, sf_dir)
+    log.mark(events.filter("event_id % 2 = 0").drop("event_id"))
+    return in_text(log.mark(events.filter("event_id % 2 = 1").drop("event_id")), "read_at")
+
+
 @query
 def stream_new_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The two halves of the history arriving one after the other as snapshot files."""

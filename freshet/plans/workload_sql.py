@@ -342,6 +342,18 @@ UNION ALL SELECT ord, 'duplicate_id', site_id
 FROM (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY ord) AS nth FROM entry WHERE url IS NOT NULL) WHERE nth > 1""",
     "checked_twice": f"WITH {_replayed()} SELECT {_NEW} FROM fresh WHERE first_seen > {_MIDDLE} AND site_id NOT LIKE '%.org'",
 }
+ORACLE["late_snapshots"] = f"""
+WITH {_PAGE} SELECT site_id, {_ts('run_ts')}, page_url FROM page WHERE run_ts <= {_MIDDLE} AND site_id NOT LIKE '%.org'"""
+ORACLE["run_totals"] = f"""
+WITH {_replayed()}
+SELECT count(*) AS site_count, sum(new_count)::BIGINT AS new_count, count(*) FILTER (status = 'error') AS error_count FROM result"""
+ORACLE["read_log_after_marks"] = f"""
+WITH click AS (SELECT user_id::VARCHAR AS reader_id, {_EVENT_URL} AS url, ts, event_id % 2 AS later FROM events),
+first AS (SELECT reader_id, url, min(ts) AS read_at FROM click WHERE later = 0 GROUP BY 1, 2),
+log AS (SELECT * FROM first QUALIFY row_number() OVER (PARTITION BY reader_id ORDER BY read_at DESC, url) <= 20),
+added AS (SELECT reader_id, url, min(ts) AS read_at FROM click c WHERE later = 1 AND NOT EXISTS (SELECT 1 FROM log WHERE log.reader_id = c.reader_id AND log.url = c.url) GROUP BY 1, 2),
+whole AS (SELECT * FROM log UNION ALL SELECT * FROM added)
+SELECT reader_id, url, {_ts('read_at')} FROM whole QUALIFY row_number() OVER (PARTITION BY reader_id ORDER BY read_at DESC, url) <= 20"""
 ORACLE["selected_links"] = ORACLE["page_links"]
 ORACLE["stored_state"] = ORACLE["known_urls"]
 ORACLE["exported_state"] = ORACLE["recent_per_site"]

@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from freshet.operators.detect import advance
+from freshet.operators.detect import advance, split_late
 from freshet.operators.extract import extract
 from freshet.operators.maintain import prune
 from freshet.schemas import SNAPSHOTS
-from freshet.session import join_dimension
+from freshet.session import drop_staged, stage
 from freshet.sources.state import StateStore
 
 
@@ -21,13 +20,6 @@ def stream_snapshots(spark: SparkSession, path: str, files_per_batch: int | None
     return reader.parquet(path)
 
 
-def split_late(snapshots: DataFrame, site_state: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Snapshots after their site's last check, and those not after it, which can no longer be folded in."""
-    marked = join_dimension(snapshots, site_state.select("site_id", "last_checked"), "site_id", "left")
-    late = F.col("last_checked").isNotNull() & (F.col("run_ts") <= F.col("last_checked"))
-    return marked.filter(~late).drop("last_checked"), marked.filter(late).drop("last_checked")
-
-
 class MicroBatch:
     """Folds one batch into the store. The store records which batches of ``source`` it holds, so that a repeated
     batch changes nothing; a batch's outputs go to folders named by its id and are overwritten when it is repeated.
@@ -40,14 +32,17 @@ class MicroBatch:
         if self.store.holds(self.source, batch_id):
             return
         state = self.store.load()
-        fresh, late = split_late(batch, state.sites)
-        late.write.mode("overwrite").parquet(f"{self.output}/late/batch={batch_id}")
-        outcome = advance(state, extract(fresh, self.sites, **self.settings))
+        # Page texts are read once; what is late is told from the pages' own rows.
+        pages, folder = stage(extract(batch, self.sites, **self.settings), "batch")
+        fresh, late = split_late(pages, state.sites)
+        late.select("site_id", "run_ts", "page_url", "error").write.mode("overwrite").parquet(f"{self.output}/late/batch={batch_id}")
+        outcome = advance(state, fresh)
         outcome.new_items.write.mode("overwrite").parquet(f"{self.output}/new_items/batch={batch_id}")
         outcome.results.write.mode("overwrite").parquet(f"{self.output}/results/batch={batch_id}")
         kept = outcome.state if self.sites is None else prune(outcome.state, self.sites)
         self.store.save(kept, self.source, batch_id)
         outcome.release()
+        drop_staged(self.store.spark, folder)
 
 
 def detect_continuously(

@@ -351,3 +351,59 @@ def test_read_log(spark, tmp_path):
     (tmp_path / "bad.json").write_text("nope")
     assert sorted((r["url"], r["read_at"].second) for r in feed_source.read_log_document(spark, str(tmp_path / "r.json"), "me").collect()) == [("u", 1), ("v", 2)]
     assert feed_source.read_log_document(spark, str(tmp_path / "bad.json"), "me").count() == 0
+
+
+def test_fetch_outcomes_become_snapshots(spark):
+    from datetime import datetime
+
+    from freshet.operators.attempts import with_outcomes
+
+    run = datetime(2026, 5, 1, 6)
+    sites = spark.createDataFrame([("p", "https://p.test/", 0, 9), ("q", "https://q.test/", 3, 20), ("r", "https://r.test/", 1, 5)], "site_id string, url string, retries int, timeout int")
+    tries = [("p", run, 0, 503, None), ("p", run, 1, 200, None), ("q", run, 0, 503, None), ("q", run, 1, 200, None), ("r", run, 0, None, "Timeout"), ("r", run, 1, None, "Timeout")]
+    attempts = spark.createDataFrame(tries, "site_id string, run_ts timestamp, attempt int, http_status int, failure string")
+    pages = spark.createDataFrame([("q", run, "https://q.test/list", "<a href=/1>one</a>")], "site_id string, run_ts timestamp, page_url string, html string")
+    rows = {r.site_id: r for r in with_outcomes(pages, attempts, sites).collect()}
+    # p may not try again, q may; r gives up after its own timeout.
+    assert (rows["p"].error, rows["p"].html, rows["p"].page_url) == ("HTTP 503", None, "https://p.test/")
+    assert (rows["q"].error, rows["q"].http_status, rows["q"].page_url) == (None, 200, "https://q.test/list")
+    assert "5" in rows["r"].error and rows["r"].http_status is None
+    found = {r.site_id: (r.error, r.link_count) for r in extract(with_outcomes(pages, attempts, sites), skip_navigation=False).collect()}
+    assert found["q"] == (None, 1) and found["p"][0] == "HTTP 503"
+
+
+def test_a_repeated_run_is_put_aside(spark, sites, tmp_path):
+    from datetime import datetime
+
+    store = state_source.StateStore(spark, str(tmp_path / "repeat"))
+    row = ("a", datetime(2026, 5, 1, 6, 0, 0, 900_000), "https://a.example/", None, "HTTP 500")
+    snapshots = spark.createDataFrame([row], "site_id string, run_ts timestamp, page_url string, html string, error string")
+    first, again = (crawl.check(store, sites, snapshots) for _ in range(2))
+    assert first.late.count() == 0 and again.late.count() == 1
+    assert [(r["site_id"], r["consecutive_errors"]) for r in again.state.sites.collect()] == [("a", 1)]
+    # Times are kept to the second.
+    assert again.state.sites.first()["last_checked"] == datetime(2026, 5, 1, 6)
+    assert [r["label"] for r in first.summary().collect()] == ["失敗"] and tuple(first.totals().first()) == (1, 0, 1)
+
+
+def test_read_log(spark, tmp_path):
+    from datetime import datetime
+
+    from freshet.sources.reads import ReadLog
+
+    def at(hour):
+        return datetime(2026, 5, 1, hour)
+
+    def clicks(*rows):
+        return spark.createDataFrame(rows, "reader_id string, url string, read_at timestamp")
+
+    log = ReadLog(spark, str(tmp_path / "reads"), limit=2)
+    assert log.load().count() == 0
+    log.mark(clicks(("u", "x", at(5)), ("u", "y", at(6)), ("v", "x", at(7))))
+    out = log.mark(clicks(("u", "x", at(1)), ("u", "z", at(9)), ("v", "w", at(3))))
+    # A click does not change what is stored; only the newest two of each reader stay.
+    assert sorted(map(tuple, out.collect())) == [("u", "y", at(6)), ("u", "z", at(9)), ("v", "w", at(3)), ("v", "x", at(7))]
+    items = spark.createDataFrame([("k",), ("x",)], "url string")
+    out = log.mark_all(items, F.lit("v"), F.lit("2026-05-02 00:00:00").cast("timestamp"))
+    assert sorted((r.url, r.read_at.day) for r in out.filter("reader_id = 'v'").collect()) == [("k", 2), ("x", 2)]
+    assert log.version() == 2
