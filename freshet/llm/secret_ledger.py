@@ -148,3 +148,36 @@ def secrets_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_history(docs, ledger).select(
         "doc_id", *counts, F.sha2(span_digest(spans, base), 256).alias("base_sha256"), span_digest(spans).alias("spans")
     )
+
+
+def oracle_sql() -> str:
+    """The spans in SQL: what a pattern matches and what stands between its matches give the places."""
+
+    def pattern(rule: Rule) -> str:
+        text = rule.pattern
+        if rule.ignore_case:
+            # Letters of the first group in either case, without any other folding.
+            words = re.match(r"\(([a-z_?|]+)\)", text)[0]
+            text = re.sub("[a-z]", lambda m: f"[{m[0]}{m[0].upper()}]", words) + text[len(words) :]
+        return text.replace("'", "''")
+
+    kinds = []
+    for order, rule in enumerate(RULES):
+        p = pattern(rule)
+        kinds.append(
+            f"""SELECT doc_id, '{rule.kind}' AS kind, {order} AS ord, unnest(list_transform(range(1, len(m) + 1), lambda i: struct_pack(
+    a := CAST(list_sum(list_transform(s[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT), n := length(m[i]), g := length(g[i])))) AS x
+  FROM (SELECT doc_id, regexp_extract_all(t, '{p}', 0) AS m, regexp_extract_all(t, '{p}', {rule.group}) AS g, regexp_split_to_array(t, '{p}') AS s FROM d) WHERE len(m) > 0"""
+        )
+    least = " ".join(f"WHEN {order} THEN {rule.least}" for order, rule in enumerate(RULES))
+    base = len(BASE_RULES)
+    counts = ", ".join(f"count(*) FILTER (ord = {order}) AS n_{rule.kind}" for order, rule in enumerate(BASE_RULES))
+    named = "kind || ':' || x.a || ':' || (x.a + x.n)"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+f AS ({" UNION ALL ".join(kinds)}),
+k AS (SELECT * FROM f WHERE x.g >= CASE ord {least} END)
+SELECT d.doc_id, {counts}, sha256(coalesce(string_agg({named}, ',' ORDER BY x.a, ord) FILTER (ord < {base}), '')) AS base_sha256,
+  coalesce(string_agg({named}, ',' ORDER BY x.a, ord), '') AS spans
+FROM d LEFT JOIN k USING (doc_id) GROUP BY d.doc_id
+"""

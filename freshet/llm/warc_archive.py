@@ -220,3 +220,15 @@ def archive_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_folder(spark, "warc")
     write_archive(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder)
     return read_archive(spark, folder).drop("payload", "url")
+
+
+def oracle_sql() -> str:
+    """What the archive must say of each page; base32 from the hexadecimal digest, 20 bits at a time."""
+    chunk = "CAST('0x' || substr(h, 1 + 5 * (j // 4), 5) AS BIGINT)"
+    letter = f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(({chunk} >> (15 - 5 * (j % 4))) & 31 AS INTEGER), 1)"
+    return f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS head FROM pages)
+SELECT page_id, octet_length(encode(html)) AS payload_bytes, array_to_string(list_transform(range(32), lambda j: {letter}), '') AS payload_digest,
+  CASE WHEN head = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN head <> page_id THEN head END AS refers_to
+FROM p
+"""
