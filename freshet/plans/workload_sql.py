@@ -342,6 +342,29 @@ UNION ALL SELECT ord, 'duplicate_id', site_id
 FROM (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY ord) AS nth FROM entry WHERE url IS NOT NULL) WHERE nth > 1""",
     "checked_twice": f"WITH {_replayed()} SELECT {_NEW} FROM fresh WHERE first_seen > {_MIDDLE} AND site_id NOT LIKE '%.org'",
 }
+# Run by run: the known URLs of a site as a list, one step for each of its runs.
+_LIMIT = 5
+ORACLE["known_overflowing"] = f"""
+WITH RECURSIVE {_links()},
+ok AS (
+  SELECT site_id, run_ts, list(struct_pack(url := url, title := title, pos := pos) ORDER BY pos) AS links,
+    row_number() OVER (PARTITION BY site_id ORDER BY run_ts) AS n
+  FROM link GROUP BY site_id, run_ts),
+step AS (
+  SELECT site_id, n, run_ts, list_transform(links, lambda x: struct_pack(seen := run_ts, pos := x.pos, url := x.url)) AS known, links[1:0] AS fresh
+  FROM ok WHERE n = 1
+  UNION ALL
+  SELECT site_id, n, run_ts,
+    list_concat(list_filter(merged, lambda k: list_contains(urls, k.url)),
+      list_sort(list_filter(merged, lambda k: NOT list_contains(urls, k.url)))[greatest(0, len(merged) - {_LIMIT}) + 1:]) AS known, fresh
+  FROM (
+    SELECT *, list_transform(links, lambda x: x.url) AS urls,
+      list_concat(known, list_transform(fresh, lambda x: struct_pack(seen := run_ts, pos := x.pos, url := x.url))) AS merged
+    FROM (
+      SELECT o.site_id, o.n, o.run_ts, o.links, s.known,
+        list_filter(o.links, lambda x: NOT list_contains(list_transform(s.known, lambda k: k.url), x.url)) AS fresh
+      FROM step s JOIN ok o ON o.site_id = s.site_id AND o.n = s.n + 1)))
+SELECT site_id, x.url AS url, x.title AS title, x.pos AS pos, {_ts("run_ts", "first_seen")} FROM (SELECT site_id, run_ts, unnest(fresh) AS x FROM step)"""
 ORACLE["late_snapshots"] = f"""
 WITH {_PAGE} SELECT site_id, {_ts('run_ts')}, page_url FROM page WHERE run_ts <= {_MIDDLE} AND site_id NOT LIKE '%.org'"""
 ORACLE["run_totals"] = f"""
