@@ -298,10 +298,13 @@ def near_duplicates_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def superfluous(found: DataFrame) -> DataFrame:
-    """The identities of rows to drop so that one row of each group stays: the one with the least key."""
-    row = F.struct(F.col("component_id").isNull().alias("bare"), F.coalesce((F.col("key") != F.col("component_id")), F.col("component_id").isNotNull()).alias("other"), "id_a", "id_b")
-    best = found.filter("group is not null").groupBy("group").agg(F.min(row).alias("best"))
-    return found.join(best, "group").filter((F.col("id_a") != F.col("best.id_a")) | (F.col("id_b") != F.col("best.id_b"))).select("id_a", "id_b").distinct()
+    """The identities of rows to drop so that one row of each group stays: the one with the least key. Rows are told
+    from the ones that stay by identity; a group of any size meets in no task."""
+    named = F.col("component_id").isNotNull()
+    row = F.struct((~named).alias("bare"), F.coalesce(F.col("key") != F.col("component_id"), named).alias("other"), "id_a", "id_b")
+    grouped = found.filter("group is not null")
+    best = grouped.groupBy("group").agg(F.min(row).alias("best")).select("best.id_a", "best.id_b")
+    return grouped.select("id_a", "id_b").join(best, ["id_a", "id_b"], "left_anti").distinct()
 
 
 def oracle_sql() -> str:
