@@ -93,15 +93,18 @@ def link_conversations(messages: DataFrame, conv: str = "conv_id", turn: str = "
     summary, _ = stage(summary, "quotes")
     parents = summary.groupBy("conv", "turn").agg(F.max("parent").alias("parent")).filter("parent is not null")
     starts = thread_starts(parents).join(parents, ["conv", "turn"])
-    out = rows.join(summary.drop("conv", "turn", "parent"), "_row", "left").join(starts, ["conv", "turn"], "left")
+    # Everything is placed without the texts; they join last, once.
+    narrow = rows.select("_row", "conv", "turn", "role", F.md5(F.coalesce("text", F.lit(""))).alias("_digest"))
+    out = narrow.join(summary.drop("conv", "turn", "parent"), "_row", "left").join(starts, ["conv", "turn"], "left")
     none = F.lit(0).cast("bigint")
     out = out.select(
-        "conv", "turn", "role", F.coalesce("start", "turn").alias("thread_turn"), F.coalesce("depth", none).alias("depth"), F.col("parent").alias("parent_turn"),
-        F.coalesce("n_quoted", none).alias("n_quoted"), F.coalesce("n_linked", none).alias("n_linked"), F.coalesce("max_level", F.lit(0)).cast("bigint").alias("max_level"),
-        without_quotes(F.col("text")).alias("text"), F.md5(F.coalesce("text", F.lit(""))).alias("_digest"),
+        "_row", "conv", "turn", "role", F.coalesce("start", "turn").alias("thread_turn"), F.coalesce("depth", none).alias("depth"),
+        F.col("parent").alias("parent_turn"), F.coalesce("n_quoted", none).alias("n_quoted"), F.coalesce("n_linked", none).alias("n_linked"),
+        F.coalesce("max_level", F.lit(0)).cast("bigint").alias("max_level"), "_digest",
     )
-    out = with_positions(out, "conv", ["thread_turn", "turn", "role", "_digest"])
-    return out.drop("_digest").withColumnRenamed("conv", conv)
+    out = with_positions(out, "conv", ["thread_turn", "turn", "role", "_digest"]).drop("_digest")
+    texts = rows.select("_row", without_quotes(F.col("text")).alias("text"))
+    return out.join(texts, "_row").drop("_row").withColumnRenamed("conv", conv)
 
 
 def quotation_query(spark: SparkSession, sf_dir: str) -> DataFrame:
