@@ -1,9 +1,9 @@
 """Personal data, disguised or plain, as spans of the source text.
 
 Transducers rewrite a text and keep an alignment to it: homoglyphs become the characters they imitate (one for one),
-spelled digits become digits, and at/dot disguises become ``@`` and ``.``. Identifiers are detected in the text itself
-and in its rewritten form; spans of the latter are mapped back to source characters and added where they overlap no span
-found before. All patterns run in time linear in the text.
+spelled digits become digits, and at/dot disguises become ``@`` and ``.``. Identifiers are detected in the text itself,
+in the form with all edits composed, and in the forms with one kind of edit; spans of these are mapped back to source
+characters and added where they overlap no span found before. All patterns run in time linear in the text.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from bisect import bisect_right
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +29,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]")
+_DECIMALS = frozenset("0123456789")
 
 
 def emails(text: str) -> list[Span]:
@@ -102,9 +104,13 @@ SPELLED = {
 }
 _WORD = "(?:" + "|".join(sorted(SPELLED, key=len, reverse=True)) + ")"
 _ONE_WORD = re.compile(_WORD, re.IGNORECASE)
-# Four or more in a row, else they are prose. The gaps between them go, a leading "plus" becomes a sign.
-_SPELLED_RUN = re.compile(rf"(?<!\w)(?:plus\x20)?{_WORD}(?:[\x20,-]{{1,2}}{_WORD}){{3,}}(?!\w)", re.IGNORECASE)
+# Four or more in a row, or fewer beside a digit or a disguised dot, else they are prose. The gaps between them go, a
+# leading "plus" becomes a sign.
+_SPELLED_RUN = re.compile(rf"(?<!\w)(?:plus\x20)?{_WORD}(?:[\x20,-]{{1,2}}{_WORD})*(?!\w)", re.IGNORECASE)
+_LEAST_RUN = 4
 _PLUS = re.compile(r"plus\x20", re.IGNORECASE)
+_DIGIT_BEFORE = re.compile(r"[0-9][\x20().-]{1,2}\Z")
+_DIGIT_AFTER = re.compile(r"[\x20().-]{1,2}[0-9]")
 
 _AT = r"\x20?[\[({<]\x20?(?:at|@|arroba)\x20?[\])}>]\x20?|\x20(?:at|arroba)\x20"
 _DOT = r"\x20?[\[({<]\x20?(?:dot|\.|punkt|point|punto)\x20?[\])}>]\x20?|\x20(?:dot|punkt|point|punto)\x20"
@@ -114,17 +120,33 @@ _AT_SIGN = re.compile(rf"(?<={_NAME})(?:{_AT}|@)(?={_NAME}{{1,63}}(?:{_DOT}|\.){
 _DOT_SIGN = re.compile(rf"(?:{_DOT})(?={_NAME})", re.IGNORECASE)
 _HOST_PART = re.compile(rf"{_NAME}{{1,63}}")
 _DOT_BEFORE = re.compile(rf"(?:{_DOT})\Z", re.IGNORECASE)
+# Dots between groups of digits, as in addresses of hosts.
+_DIGIT_DOT = re.compile(rf"(?:{_DOT})(?=[0-9])", re.IGNORECASE)
+_DOT_AFTER = re.compile(_DOT, re.IGNORECASE)
 _BRACKETED = re.compile(r"[\[({<]\x20?(?:at|@|dot|\.|arroba|punkt|point|punto)\x20?[\])}>]")
-_BARE_DOTS = (" dot ", " punkt ", " point ", " punto ")
+_BARE_SIGNS = (" dot ", " punkt ", " point ", " punto ", " at ", " arroba ")
+
+
+class _Marks(dict):
+    """1: a spelled digit. 2: a word that may stand beside one, with a digit at an end or meaning a dot. 0: others."""
+
+    def __missing__(self, word: str) -> int:
+        return 2 if word[0] in "0123456789" or word[-1] in "0123456789" else 0
+
+
+_MARKS = _Marks(dict.fromkeys(SPELLED, 1) | dict.fromkeys(("dot", "punkt", "point", "punto"), 2))
+_TOKEN = re.compile(r"\w+")
 
 
 def may_be_spelled(low: str) -> bool:
-    """Two digit words in a row: the inner two of any run of four stand free of punctuation."""
-    return b"\1\1" in bytes(map(SPELLED.__contains__, low.replace(",", " ").replace("-", " ").split()))
+    """Two digit words in a row, or one beside a digit or a dot; a dot that is a bracketed sign has no word of its own."""
+    marks = bytes(map(_MARKS.__getitem__, _TOKEN.findall(low)))
+    return b"\1\1" in marks or b"\1\2" in marks or b"\2\1" in marks
 
 
 def may_be_disguised(low: str) -> bool:
-    return any(dot in low for dot in _BARE_DOTS) or _BRACKETED.search(low) is not None
+    """All that the patterns of at-signs and dots match has one of these."""
+    return any(sign in low for sign in _BARE_SIGNS) or _BRACKETED.search(low) is not None
 
 
 #: Where pieces of a rewritten text begin; for each, its source place and, if an edit made it, where that edit's source ends.
@@ -157,23 +179,33 @@ def to_source(span: Span, alignment: Alignment) -> Span:
     return start, stop
 
 
-def spelled_edits(text: str) -> list[tuple[int, int, str]]:
+def _adjoins(text: str, start: int, stop: int) -> bool:
+    """Whether a digit or a disguised dot stands right before ``start`` or right after ``stop``."""
+    before = text[max(0, start - 12) : start]
+    return any((_DIGIT_BEFORE.search(before), _DIGIT_AFTER.match(text, stop), _DOT_BEFORE.search(before), _DOT_AFTER.match(text, stop)))
+
+
+def spelled_edits(text: str, short: bool = False) -> list[tuple[int, int, str]]:
+    """Runs of spelled digits; with ``short``, also those of fewer words that adjoin digits."""
     edits = []
     for m in _SPELLED_RUN.finditer(text):
         place = m.start()
+        if sum(1 for _ in islice(_ONE_WORD.finditer(text, place, m.end()), _LEAST_RUN)) < _LEAST_RUN and not (short and _adjoins(text, place, m.end())):
+            continue
         if plus := _PLUS.match(text, place):
             edits.append((place, plus.end(), "+"))
             place = plus.end()
         for w in _ONE_WORD.finditer(text, place, m.end()):
             if w.start() > place:
                 edits.append((place, w.start(), ""))
-            edits.append((w.start(), w.end(), SPELLED[w[0].lower()]))
+            edits.append((w.start(), w.end(), SPELLED[w[0].casefold()]))
             place = w.end()
     return edits
 
 
 def address_edits(text: str) -> list[tuple[int, int, str]]:
-    """Signs of disguised addresses: the at-sign, the dots after it, and disguised dots in the 255 characters before."""
+    """Signs of disguised addresses: the at-sign, the dots after it, and disguised dots in the 255 characters before; and
+    disguised dots between digits."""
     edits: list[tuple[int, int, str]] = []
     for m in _AT_SIGN.finditer(text):
         floor = max(edits[-1][1] if edits else 0, m.start() - 255)
@@ -191,6 +223,7 @@ def address_edits(text: str) -> list[tuple[int, int, str]]:
                 place += 1
             else:
                 break
+    edits += [(d.start(), d.end(), ".") for d in _DIGIT_DOT.finditer(text) if text[d.start() - 1 : d.start()] in _DECIMALS]
     kept: list[tuple[int, int, str]] = []
     for edit in sorted(set(edits)):
         if not kept or edit[0] >= kept[-1][1]:
@@ -219,16 +252,36 @@ def added_spans(text: str, base: dict[str, list[Span]]) -> dict[str, list[Span]]
     taken = sorted(span for spans in base.values() for span in spans)
     added: dict[str, list[Span]] = {kind: [] for kind in KINDS}
     plain = text.translate(HOMOGLYPHS) if not (text.isascii() or _HOMOGLYPH.isdisjoint(text)) else text
-    forms = [rewrite(plain, [])] if plain is not text else []
-    low = plain.lower()
-    if may_be_spelled(low) and (edits := spelled_edits(plain)):
-        forms.append(rewrite(plain, edits))
-    if may_be_disguised(low) and (edits := address_edits(plain)):
-        forms.append(rewrite(plain, edits))
-    for form, alignment in forms:
+    forms: list[tuple[str, list[Alignment]]] = []
+    low = plain.casefold()
+    spelled = disguised = None
+    if may_be_spelled(low) and (edits := spelled_edits(plain, short=True)):
+        digits, alignment = rewrite(plain, edits)
+        spelled = (digits, [alignment])
+    if may_be_disguised(low):
+        form, before = spelled or (plain, [])
+        if edits := address_edits(form):
+            rewritten, alignment = rewrite(form, edits)
+            disguised = (rewritten, [alignment, *before])
+    # The form with all edits comes first. What only shows with fewer of them is added after it.
+    if disguised:
+        forms.append(disguised)
+    if spelled:
+        forms.append(spelled)
+        if edits := spelled_edits(plain):
+            digits, alignment = rewrite(plain, edits)
+            forms.append((digits, [alignment]))
+        if disguised and (edits := address_edits(plain)):
+            rewritten, alignment = rewrite(plain, edits)
+            forms.append((rewritten, [alignment]))
+    if plain is not text:
+        forms.append((plain, []))
+    for form, alignments in forms:
         for kind, spans in detect(form).items():
             for span in spans:
-                start, stop = to_source(span, alignment)
+                for alignment in alignments:
+                    span = to_source(span, alignment)
+                start, stop = span
                 k = bisect_right(taken, (start, stop))
                 if (k == 0 or taken[k - 1][1] <= start) and (k == len(taken) or taken[k][0] >= stop):
                     taken.insert(k, (start, stop))

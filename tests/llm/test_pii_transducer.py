@@ -47,6 +47,34 @@ def test_disguises_map_back_to_the_source():
     assert seen("Anruf: plus vier neun drei null eins zwei drei vier fünf sechs") == {"phone": ["plus vier neun drei null eins zwei drei vier fünf sechs"]}
 
 
+def test_bare_at_signs_need_no_other_sign():
+    assert seen("write to john.doe at example.com now") == {"email": ["john.doe at example.com"]}
+    assert seen("escribe a ana.ruiz ARROBA example.com") == {"email": ["ana.ruiz ARROBA example.com"]}
+    # The same with and without signs elsewhere in the text.
+    for rest in ("", " The point is (at) hand."):
+        assert seen("john.doe at example.com." + rest) == {"email": ["john.doe at example.com"]}
+
+
+def test_dots_between_digits():
+    assert seen("from 192[.]168[.]0[.]1 today") == {"ip": ["192[.]168[.]0[.]1"]}
+    assert seen("host 10 dot 0 dot 0 dot 1.") == {"ip": ["10 dot 0 dot 0 dot 1"]}
+    assert seen("host 192(.)168.0 punkt 1!") == {"ip": ["192(.)168.0 punkt 1"]}
+    assert seen("host one nine two dot one six eight dot zero dot one") == {"ip": ["one nine two dot one six eight dot zero dot one"]}
+    assert seen("host 300[.]168[.]0[.]1, 1 dot 2 dot 3") == {}
+
+
+def test_short_spelled_runs_beside_digits():
+    assert seen("call +49 30 one two three 4567") == {"phone": ["+49 30 one two three 4567"]}
+    assert seen("call plus four nine 30 1234567 now") == {"phone": ["plus four nine 30 1234567"]}
+    assert seen("card 4111 1111 one one 11 one 1 one 1") == {"card": ["4111 1111 one one 11 one 1 one 1"]}
+    assert seen("+49 30 one two ſeven 4567") == {"phone": ["+49 30 one two ſeven 4567"]}
+
+
+def test_edits_are_composed():
+    assert seen("max one two three four at ехample dot com") == {"email": ["one two three four at ехample dot com"]}
+    assert seen("іvan@sub.ехample dot com") == {"email": ["іvan@sub.ехample dot com"]}
+
+
 def test_prose_stays_clean():
     for text in ("he sat at home. then he left", "one two three, that is all", "le point de vue est un point important", "meet at noon dot", "seven of nine at work"):
         assert seen(text) == {}, text
@@ -77,6 +105,11 @@ def test_linear_on_hostile_texts():
         added_spans(text, detect(text))
 
 
+def test_linear_with_short_runs():
+    for text in ("1 one " * 50_000, "one 1" * 60_000, " at a.b" * 40_000, "1 dot " * 50_000, "1[.]" * 60_000, "one two three " * 20_000):
+        added_spans(text, detect(text))
+
+
 def test_rows(table, hard_rows):
     out = find_personal_data(table([*hard_rows, (9, "mail x@y.zz", "en", "x")])).collect()
     assert len(out) == len(hard_rows) + 1
