@@ -33,6 +33,26 @@ def test_marked_formats_are_added_and_base_stays():
     assert [k for k, *_ in spans if k in ("prefixed", "private_key")] == ["prefixed", "prefixed", "private_key"]
 
 
+def test_web_tokens_of_any_length():
+    compiled = compile_rules(RULES)
+    for head, load, sign in ((8, 8, 8), (700, 30, 43), (30, 5000, 43), (30, 700, 683)):
+        token = f"eyJ{'a' * head}.eyJ{'B_' * (load // 2)}.{'-9' * (sign // 2)}"
+        for before in ("", "Bearer ", "x=", "run-of_text", "eyJ."):
+            assert ("jwt", len(before), len(before) + len(token)) in find_spans(f"{before}{token} end", RULES, compiled), (head, load, sign, before)
+
+
+@given(st.lists(st.sampled_from(["eyJ", "eyJabcdefgh", ".", "abcdefgh", "a", "-", " ", "eyJabcdefgh.eyJabcdefgh.abcdefgh"]), max_size=12).map("".join))
+@settings(max_examples=300, deadline=None)
+def test_web_tokens_are_those_of_the_plain_pattern(text):
+    plain = re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")
+    assert [s for s in find_spans(text, RULES, compile_rules(RULES)) if s[0] == "jwt"] == [("jwt", *m.span()) for m in plain.finditer(text)]
+
+
+def test_web_tokens_are_sought_in_linear_time():
+    for text in ("eyJ" * 300_000, "eyJabcdefgh." * 60_000, "a-" * 300_000 + "eyJ", "eyJaaaaaaaa." + "eyJ" * 300_000):
+        find_spans(text, RULES, compile_rules(RULES))
+
+
 def test_linear_on_hostile_texts():
     compiled = compile_rules(RULES)
     for text in ("eyJ" * 100_000, "token" * 60_000, "AKIA" * 60_000, "0" * 300_000, "-----BEGIN " * 30_000, "secret" + " " * 300_000):
