@@ -55,8 +55,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mixture has it: at least once."""
-    mixed = mixing.mix(docs, mixing.PRODUCTION)
+    """Every document as often as the mixture has it, sources weighed by tokens: at least once."""
+    mixed = mixing.mix(docs, mixing.PRODUCTION, tokens=True)
     n, copy = fresh(docs, "copies"), fresh(docs, "copy")
     copies, _ = stage(mixed.groupBy("id_a", "id_b").agg(F.count("*").alias(n), F.countDistinct("epoch").alias("n_epochs")), "copies")
     rows, repeated = copies.agg(F.count("*"), F.coalesce(F.max(F.col(n) > F.col("n_epochs")), F.lit(False))).first()

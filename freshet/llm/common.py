@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows of whole texts in one Arrow batch: a thousand long texts still fit a Python worker.
 BATCH_ROWS = 500
@@ -17,7 +18,7 @@ BROADCAST_ROWS = 200_000
 Batches = Iterator[pa.RecordBatch]
 
 
-def map_texts(df: DataFrame, work: Callable[[Batches], Batches], schema: str) -> DataFrame:
+def map_texts(df: DataFrame, work: Callable[[Batches], Batches], schema: str | StructType) -> DataFrame:
     """``mapInArrow`` with batches small enough for whole texts. The session's batch size is put back afterwards only
     by a caller that set it: the setting is read when the plan is executed."""
     conf = df.sparkSession.conf

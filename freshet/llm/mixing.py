@@ -18,9 +18,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from freshet.llm.common import identity
+from freshet.llm.token_store import with_token_counts
 from freshet.session import stage
 
-#: Size of a block, in the unit of the sizes (words), on the average.
+#: Size of a block, in the unit of the sizes (words or tokens), on the average.
 BLOCK_SIZE = 250_000
 STEPS = 60
 SEED = "mix-1"
@@ -89,12 +90,13 @@ def hashed(*parts: Column | str) -> Column:
 
 def mix(
     docs: DataFrame, target: Target, budget: int | None = None, key: str = "doc_id", text: str = "text", source: str = "source",
-    block_size: int = BLOCK_SIZE, seed: str = SEED,
+    block_size: int = BLOCK_SIZE, seed: str = SEED, tokens: bool = False,
 ) -> DataFrame:
     """The mixture, a row for each time a document stands in it: key, source, size, its identity, epoch (from 0), block, block_place (the
     block's place in its epoch), place (a number that orders the block's documents), weight and exponent.
 
-    A document's size is its words between blanks and line ends, at least 1, so that empty and null texts are spent too.
+    A document's size is its words between blanks and line ends, at least 1, so that empty and null texts are spent too;
+    with ``tokens``, the number of its ids in a token store, the end included.
     A null source is a source of its own, named "". Repeated rows are documents like any other; ties in order are broken
     by key and text hash. Without ``budget`` the mixture is as small as it can be with every document in it once. Empty
     tables give no rows. Other columns are ignored.
@@ -103,8 +105,10 @@ def mix(
     rows = docs.select(
         F.col(key).alias("key"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"),
         F.greatest(words, F.lit(1)).cast("bigint").alias("size"), F.md5(F.coalesce(F.col(text), F.lit(""))).alias("digest"),
-        *identity(key, text),
+        *identity(key, text), *[F.col(text).alias("text")] * tokens,
     )
+    if tokens:
+        rows = with_token_counts(rows.drop("size"), "text", "size")
     # Texts stay behind; what follows reads this narrow table several times.
     rows, _ = stage(rows, "mix-sizes")
     # One row for each source.

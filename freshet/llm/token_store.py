@@ -27,6 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from freshet.llm.common import Batches, commit_file, count_rows, map_texts, open_folder
 from freshet.session import scratch_folder
@@ -191,6 +192,22 @@ class Encoder:
         return data, counts
 
 
+def with_token_counts(df: DataFrame, text: str, name: str, vocabulary: str | None = None) -> DataFrame:
+    """Replace the column ``text`` by ``name``: the number of its ids in a store, the end included. Columns of the texts
+    go through Python once."""
+    path = vocabulary or default_vocabulary()
+    kept = [c for c in df.columns if c != text]
+
+    def work(batches: Batches) -> Batches:
+        encoder = Encoder(path, 4)
+        for batch in batches:
+            _, counts = encoder.encode_array(batch.column(len(kept)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(counts + 1, pa.int64())], names=[*kept, name])
+
+    schema = T.StructType([*df.select(*kept).schema, T.StructField(name, T.LongType())])
+    return map_texts(df.select(*kept, text), work, schema)
+
+
 # ---------------------------------------------------------------------------------------------- writing
 def _write(folder: str, vocabulary: str, end_id: int, id_bytes: int) -> Callable[[Batches], Batches]:
     def work(batches: Batches) -> Batches:

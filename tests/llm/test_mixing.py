@@ -4,8 +4,10 @@ from collections import Counter, defaultdict
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from freshet.llm.mixing import Target, bisect_exponent, entropy, epochs, mix, weights
+from freshet.llm.token_store import default_vocabulary
 
 SIZES = st.dictionaries(st.text("abcdef", min_size=1, max_size=3), st.integers(1, 10**9), min_size=1, max_size=8)
 
@@ -46,6 +48,21 @@ def test_every_document_once_and_none_too_often(table, hard_rows, prose):
     assert set(times) == set(copies) and all(copies[d] <= n <= 4 * copies[d] for d, n in times.items())
 
 
+def test_sizes_in_tokens(table, hard_rows, prose):
+    # Texts without blanks are one word each, however long; the source's weight must follow their tokens.
+    rows = [(k, prose(k, 400).replace(" ", "\t"), "en", "tabs") for k in range(20)] + [(100 + k, prose(k, 20), "en", "blanks") for k in range(20)] + hard_rows
+    encode = Tokenizer.from_file(default_vocabulary()).encode
+    size = lambda t: len(encode(t or "", add_special_tokens=False).ids) + 1
+    out = mix(table(rows), Target(max_epochs=2.0), block_size=5000, tokens=True).collect()
+    assert {(r.doc_id, r.source, r.size) for r in out} == {(k, s or "", size(t)) for k, t, _, s in rows}
+    sizes = defaultdict(int)
+    for _, t, _, s in rows:
+        sizes[s or ""] += size(t)
+    expected = weights(sizes, bisect_exponent(sizes, Target(max_epochs=2.0)))
+    assert {r.source: round(r.weight, 9) for r in out} == {s: round(w, 9) for s, w in expected.items()}
+    assert mix(table([]), Target(max_epochs=2.0), tokens=True).count() == 0
+
+
 def test_budget_is_spent_by_weight(table, prose):
     rows = rows_of(prose)
     budget = 6000
