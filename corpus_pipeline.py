@@ -21,7 +21,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go; from the others boilerplate lines are removed, and ``n_chars`` follows."""
-    judged = line_frequency.judge(docs)
+    judged = line_frequency.judge(docs, max_texts=line_frequency.SHARE_FLOOR, max_percent=line_frequency.SHARE_PERCENT)
     touched = judged.filter(~F.col("kept") | (F.col("n_removed") > 0)).select("id_a", "id_b", "kept", "removed")
     # Repeated rows have one verdict, by equal hashes of lines.
     touched, _ = stage(touched.groupBy("id_a", "id_b").agg(F.min("kept").alias("kept"), F.flatten(F.collect_set("removed")).alias("removed")), "verdicts")

@@ -1,7 +1,7 @@
 """Quality rules: line frequency across documents, with counts of words, symbols and repeats. DataFrame functions only.
 
 For each host (source) and normalised line, the distinct texts that hold the line are counted. Lines in more than
-``max_texts`` of them are boilerplate: they are removed everywhere but in the host's first document that has them. A
+``max_texts`` of them, and in more than ``max_percent`` of all distinct texts of the host, are boilerplate: they are removed everywhere but in the host's first document that has them. A
 document that the removal depletes is rejected. Copies of one text count once: they are no sign of boilerplate, and which
 copy stays is for deduplication to say.
 """
@@ -16,6 +16,8 @@ from freshet.session import stage
 
 #: A host's line in more distinct texts than this is boilerplate.
 MAX_TEXTS = 50
+#: For corpora of any size: a host's line in more than this percentage of its distinct texts is, and in more than a few.
+SHARE_PERCENT, SHARE_FLOOR = 5, 5
 #: A document is depleted when fewer words than this remain ...
 MIN_WORDS = 20
 #: ... or, in percent, less of its words than this.
@@ -92,20 +94,27 @@ def measure(docs: DataFrame, key: str, text: str, host: str) -> DataFrame:
     return row_key(rows.withColumn("base_failed", failed))
 
 
-def frequent_lines(measured: DataFrame, max_texts: int = MAX_TEXTS) -> DataFrame:
-    """Lines of a host in more than ``max_texts`` distinct texts: host, line, first (the least key that has it).
+def frequent_lines(measured: DataFrame, max_texts: int = MAX_TEXTS, max_percent: int = 0) -> DataFrame:
+    """Lines of a host in more than ``max_texts`` distinct texts and more than ``max_percent`` of the host's: host, line,
+    first (the least key that has it).
 
     Counted in two sums, by (host, line, text) and by (host, line): a line that stands everywhere is dealt by its texts
     first, and what meets in one task are counts.
     """
     lines = measured.select("host", "key", "text_hash", F.explode(F.array_distinct("line_list.line")).alias("line"))
     texts = lines.groupBy("host", "line", "text_hash").agg(F.min("key").alias("key"))
-    return texts.groupBy("host", "line").agg(F.count("*").alias("n"), F.min("key").alias("first")).filter(F.col("n") > max_texts).drop("n")
+    found = texts.groupBy("host", "line").agg(F.count("*").alias("n"), F.min("key").alias("first")).filter(F.col("n") > max_texts)
+    if max_percent:
+        all_texts = measured.select("host", "text_hash").distinct().groupBy("host").agg(F.count("*").alias("texts"))
+        all_texts, folder = stage(all_texts, "host-texts")
+        found = join_counted(found, all_texts, ["host"], "inner", count_rows(measured.sparkSession, folder))
+        found = found.filter(100 * F.col("n") > max_percent * F.col("texts")).drop("texts")
+    return found.drop("n")
 
 
 def judge(
     docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", max_texts: int = MAX_TEXTS,
-    min_words: int = MIN_WORDS, min_percent: int = MIN_PERCENT,
+    min_words: int = MIN_WORDS, min_percent: int = MIN_PERCENT, max_percent: int = 0,
 ) -> DataFrame:
     """A row for each document: ``key``, its identity, text_hash, the counts, base_failed, n_removed (words in boilerplate lines),
     removed (hashes of those lines) and kept.
@@ -115,7 +124,7 @@ def judge(
     """
     spark = docs.sparkSession
     measured, folder = stage(measure(docs, key, text, host), "line-measures")
-    frequent, frequent_folder = stage(frequent_lines(measured, max_texts), "frequent-lines")
+    frequent, frequent_folder = stage(frequent_lines(measured, max_texts, max_percent), "frequent-lines")
     lines = measured.filter(F.size("line_list") > 0).select("_row", "host", "key", F.inline("line_list"))
     hits = join_counted(lines, frequent, ["host", "line"], "inner", count_rows(spark, frequent_folder))
     hits = hits.filter(~F.col("key").eqNullSafe(F.col("first")))

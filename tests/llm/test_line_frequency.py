@@ -2,7 +2,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
-from freshet.llm.line_frequency import judge, without_lines
+from freshet.llm.line_frequency import judge, line_quality_query, without_lines
 
 SPACE = " \t\n\x0b\x0c\r"
 
@@ -76,5 +76,24 @@ def test_lines_are_removed(spark, table, prose):
     assert all(out[k] == rows[k][1].replace(f"{line} \n", "") for k in range(1, 8))
 
 
+def test_share_is_alike_at_every_size(table, prose):
+    # A footer of a tenth of the texts goes, a heading of a fiftieth stays, in a host of 100 texts as in one of 3000.
+    for n in (100, 3000):
+        rows = []
+        for k in range(n):
+            extra = ["the footer of this very host"] * (k % 10 == 0) + ["a heading"] * (k % 50 == 1)
+            rows.append((k, "\n".join([prose(k, 25), *extra]), "en", "hot"))
+        out = {r.doc_id: r for r in judge(table(rows), max_texts=5, max_percent=5).collect()}
+        assert [k for k, r in out.items() if r.n_removed == 6] and {k for k, r in out.items() if r.n_removed} == set(range(10, n, 10)), n
+        assert all(r.kept for r in out.values())
+
+
+def test_op7_where_it_fires(spark, table, prose, tmp_path):
+    rows = [(k, f"{prose(k, 25)}\nthe footer of this very host" if k < 60 else prose(k, 25), "en", "hot") for k in range(90)]
+    table(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, r.n_removed, r.kept) for r in line_quality_query(spark, str(tmp_path)).collect())
+    assert got == sorted(brute(rows, 50)) and sum(r[7] > 0 for r in got) == 59
+
+
 def test_empty(table):
     assert judge(table([])).count() == 0

@@ -81,3 +81,12 @@ def test_run_over_no_documents(spark, table, tmp_path):
     table([]).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, "a b c")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_boilerplate_is_told_by_share(spark, table, prose):
+    # In 60 of 3000 texts of a host: more than 50, yet no boilerplate. In 8 of 20: boilerplate, yet fewer than 50.
+    rows = [(k, prose(k, 25) + "\na common heading" * (k % 50 == 0), "en", "large") for k in range(3000)]
+    rows += [(5000 + k, prose(5000 + k, 25) + "\na footer of ours" * (k < 8), "en", "small") for k in range(20)]
+    after = {k: t for k, t, *_ in rows_of(corpus_pipeline.quality_rules(spark, table(rows), ""))}
+    assert all(after[k] == t for k, t, *_ in rows if k < 5001)
+    assert all("footer" not in after[5000 + k] for k in range(1, 20)) and len(after) == len(rows)
