@@ -16,6 +16,9 @@ from freshet.llm.common import fresh, join_decisions
 from freshet.llm.token_store import store_tokens
 from freshet.session import stage
 
+#: Words in a shingle of the near-duplicate stage; the query op5 takes four by contract.
+SHINGLE = 5
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -38,7 +41,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays; documents without words are in none."""
-    found = minmax_dedup.near_duplicates(docs)
+    found = minmax_dedup.near_duplicates(docs, shingle=SHINGLE)
     gone, _ = stage(minmax_dedup.superfluous(found.withColumnRenamed("doc_id", "key")), "superfluous")
     left = join_decisions(docs, gone, "left_anti", gone.count())
     rows = found.filter("group is not null").select("id_a", "id_b")

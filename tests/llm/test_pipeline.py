@@ -90,3 +90,12 @@ def test_boilerplate_is_told_by_share(spark, table, prose):
     after = {k: t for k, t, *_ in rows_of(corpus_pipeline.quality_rules(spark, table(rows), ""))}
     assert all(after[k] == t for k, t, *_ in rows if k < 5001)
     assert all("footer" not in after[5000 + k] for k in range(1, 20)) and len(after) == len(rows)
+
+
+def test_near_duplicates_take_five_words(spark, table):
+    words = [f"w{k}" for k in range(80)]
+    other = [*words[:25], "x", *words[26:50], "y", *words[51:]]
+    # 69 of 85 shingles of four words are shared (0.81), 66 of 86 of five (0.77); one changed word alone leaves 71 of 81.
+    rows = [(1, " ".join(words), "en", "s"), (2, " ".join(other), "en", "s"), (3, " ".join([*words[:25], "z", *words[26:]]), "en", "t")]
+    assert {k for k, *_ in rows_of(corpus_pipeline.near_duplicates(spark, table(rows[:2]), ""))} == {1, 2}
+    assert {k for k, *_ in rows_of(corpus_pipeline.near_duplicates(spark, table(rows[::2]), ""))} == {1}
