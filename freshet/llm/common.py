@@ -27,6 +27,19 @@ def map_texts(df: DataFrame, work: Callable[[Batches], Batches], schema: str | S
     return df.mapInArrow(work, schema)
 
 
+def gathered(batches: Batches, n_bytes: int) -> Batches:
+    """Batches of at least ``n_bytes``, but for the last; empty ones are left out."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+        if held and sum(b.nbytes for b in held) >= n_bytes:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def once(df: DataFrame, **named: Column) -> DataFrame:
     """Add columns that are computed once, however often later expressions use them.
 

@@ -4,7 +4,8 @@ A shard file holds, one after the other: the ids of its documents (unsigned 16 o
 ended by ``end_id``), the ends of the documents as an Elias-Fano sequence over the concatenated id array, the document
 keys (differences from the least one, a second such sequence), and a fixed-size trailer. Elias-Fano takes
 ``2 + log2(universe / n)`` bits a document; ``select`` answers "where does document i end" from sampled positions of
-the high bits, so no 64-bit offset table exists anywhere.
+the high bits. The reader takes boundaries from there too, the documents of one sample at a time, so no table of 64-bit
+offsets exists anywhere.
 
 Rows are dealt by ranges of the key, so shards follow one another in key order. A manifest, written last, names the
 finished files, their row and id counts and the number of ids before each. A task writes to a name of its own attempt
@@ -20,6 +21,7 @@ import uuid
 import zlib
 from collections.abc import Callable
 from dataclasses import dataclass
+from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from freshet.llm.common import Batches, commit_file, count_rows, map_texts, open_folder
+from freshet.llm.common import Batches, commit_file, count_rows, gathered, map_texts, open_folder
 from freshet.session import scratch_folder
 
 DOCS_PER_SHARD = 8192
@@ -87,9 +89,19 @@ class EliasFano:
                 return ((at - i) << self.low_bits) | int(self._low(i, 1)[0])
             left, byte, skip = left - len(ones), byte + 64, 0
 
+    def run(self, first: int, count: int) -> np.ndarray:
+        """The values from the first-th on, ``count`` of them: from the sample before the first to the one after the last."""
+        if not count:
+            return np.zeros(0, np.int64)
+        before, after = first // SAMPLE_EVERY, -(-(first + count) // SAMPLE_EVERY)
+        begin = int(self.samples[before])
+        end = int(self.samples[after]) if after < len(self.samples) else 8 * len(self.high)
+        bits = np.unpackbits(self.high[begin // 8 : -(-end // 8)], bitorder="little")[begin % 8 :][: end - begin]
+        ones = begin + np.flatnonzero(bits)[first % SAMPLE_EVERY :][:count]
+        return ((ones - np.arange(first, first + count)) << self.low_bits) | self._low(first, count)
+
     def decode(self) -> np.ndarray:
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        return ((ones - np.arange(self.n)) << self.low_bits) | self._low(0, self.n)
+        return self.run(0, self.n)
 
     def to_bytes(self) -> bytes:
         head = struct.pack("<qqqqq", self.n, self.low_bits, len(self.low), len(self.high), len(self.samples))
@@ -112,11 +124,32 @@ _SPACE = r"[\s\p{Z}\x0b\x1c-\x1f\x85]"
 _UNCUT = _SPACE + r"[ \n](?:" + _SPACE + r"|\z)|\x01"
 _SIGNS = frozenset(",.;:!?")
 _LONGEST_KEPT = 48
+#: Pieces that a worker process remembers; with their ids they take about 50 bytes each.
 _MOST_KEPT = 1_500_000
+#: Bytes of text encoded in one go: the more, the fewer distinct pieces a byte has.
+_ENCODE_BYTES = 16 << 20
 
 
 class Encoder:
-    """The tokenizers library behind a bounded memory of pieces: words repeat, and encoding one is slow."""
+    """The tokenizers library behind a bounded memory of pieces: words repeat, and encoding one is slow.
+
+    The memory is columns: the pieces as an Arrow array, their ids one after the other. A batch's distinct pieces are
+    looked up in one call, and its ids gathered in another; only pieces that are new become Python strings. Tasks take
+    their encoder from ``Encoder.of``: a worker process serves many tasks, and what it learnt in one holds in the next.
+    """
+
+    _of: ClassVar[dict[tuple[str, int | None], Encoder]] = {}
+
+    @staticmethod
+    def of(vocabulary: str, id_bytes: int | None = None) -> Encoder:
+        """This process's encoder. Without ``id_bytes``, two bytes an id where the vocabulary fits into them, else four."""
+        if (vocabulary, id_bytes) not in Encoder._of:
+            made = Encoder(vocabulary, id_bytes or 4)
+            if id_bytes is None:
+                width = 2 if made.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
+                made = Encoder.of(vocabulary, width)
+            Encoder._of[vocabulary, id_bytes] = made
+        return Encoder._of[vocabulary, id_bytes]
 
     def __init__(self, vocabulary: str, id_bytes: int) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -126,39 +159,47 @@ class Encoder:
         self.code = np.dtype("<u2" if id_bytes == 2 else "<u4")
         self.added = {token.content: number for number, token in self.tokenizer.get_added_tokens_decoder().items()}
         self.uncut = "|".join([_UNCUT, *map(re.escape, self.added)])
-        self.kept: dict[str, bytes] = {}
+        self.kept = pa.array([], pa.string())
+        self.ids = np.zeros(0, self.code)
+        self.ends = np.zeros(1, np.int64)  # of each piece's ids, after a 0
+        self.used = np.zeros(0, np.int64)
+        self.turn = 0
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, self.code).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
-        """Many short pieces in one call: an added token between them keeps them apart and is cut out again."""
-        if not self.added or not pieces:
-            return self._encode(pieces)
-        token, number = next(iter(self.added.items()))
-        ids = np.asarray(self.tokenizer.encode_batch_fast([token.join(pieces)], add_special_tokens=False)[0].ids, self.code)
-        cuts = (np.flatnonzero(ids == number) * self.code.itemsize).tolist()
-        data, size = ids.tobytes(), self.code.itemsize
-        begins = [0, *(cut + size for cut in cuts)]
-        return [data[a:b] for a, b in zip(begins, [*cuts, len(data)], strict=True)]
+        return [np.array(e.ids, self.code).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, pieces: list[str]) -> list[bytes]:
         """Ids of pieces that aren't in memory. A sign after a letter or digit is a token of its own: it is split off."""
-        if len(self.kept) + len(pieces) > _MOST_KEPT:
-            self.kept = {}
-        kept = self.kept
         cores = [p[:-1] if p[-1:] in _SIGNS and p[-2:-1].isalnum() else p for p in pieces]
-        new = list(dict.fromkeys(core for core in cores if core not in kept))
-        new += [sign for sign in _SIGNS if sign not in kept and sign not in new]
-        kept.update(zip(new, self._encode_pieces(new), strict=True))
-        found = [kept[core] if core is p else kept[core] + kept[p[-1]] for p, core in zip(pieces, cores, strict=True)]
-        kept.update(zip(pieces, found, strict=True))
-        for long in [p for p in (*pieces, *new) if len(p) > _LONGEST_KEPT]:
-            kept.pop(long, None)
-        return found
+        wanted = list(dict.fromkeys([*cores, *_SIGNS]))
+        at = pc.index_in(pa.array(wanted, pa.string()), value_set=self.kept).to_pylist()
+        ends = self.ends
+        found = {core: self.ids[ends[i] : ends[i + 1]].tobytes() for core, i in zip(wanted, at, strict=True) if i is not None}
+        new = [core for core, i in zip(wanted, at, strict=True) if i is None]
+        found.update(zip(new, self._encode(new), strict=True))
+        ids = [found[core] if core is p else found[core] + found[p[-1]] for p, core in zip(pieces, cores, strict=True)]
+        known = dict(zip(pieces, ids, strict=True))
+        known.update((core, found[core]) for core in new)
+        self._keep([(p, v) for p, v in known.items() if len(p) <= _LONGEST_KEPT])
+        return ids
+
+    def _keep(self, known: list[tuple[str, bytes]]) -> None:
+        """Remember pieces; beyond the limit the less recently used half goes first."""
+        if len(self.kept) + len(known) > _MOST_KEPT:
+            stay = np.sort(np.argsort(self.used, kind="stable")[len(self.kept) // 2 + len(known) :])
+            lengths = np.diff(self.ends)[stay]
+            self.ids = self.ids[_runs(self.ends[stay], lengths)]
+            self.ends = np.concatenate([[0], np.cumsum(lengths)])
+            self.kept, self.used = self.kept.take(pa.array(stay)), self.used[stay]
+        self.kept = pa.concat_arrays([self.kept, pa.array([p for p, _ in known], pa.string())])
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(v for _, v in known), self.code)])
+        lengths = np.fromiter((len(v) for _, v in known), np.int64, len(known)) // self.code.itemsize
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(lengths)])
+        self.used = np.concatenate([self.used, np.full(len(known), self.turn)])
 
     def encode_array(self, texts: pa.Array) -> tuple[bytes, np.ndarray]:
         """The ids of all texts, one after the other, and the number of each text's ids. Null counts as empty."""
+        self.turn += 1
         texts = pc.fill_null(texts, "")
         odd = np.flatnonzero(pc.match_substring_regex(texts, self.uncut).to_numpy(zero_copy_only=False))
         apart: list[bytes] = []
@@ -170,18 +211,27 @@ class Encoder:
         marked = pc.replace_substring(pc.replace_substring(texts, " ", _MARK + " "), "\n", _MARK + "\n")
         lists = pc.split_pattern(marked, _MARK)
         coded = lists.flatten().dictionary_encode()
-        pieces = coded.dictionary.to_pylist()
-        values = list(map(self.kept.get, pieces))
-        missing = [i for i, v in enumerate(values) if v is None]
-        if missing:
-            for i, ids in zip(missing, self._learn([pieces[i] for i in missing]), strict=True):
-                values[i] = ids
-        size = self.code.itemsize
-        lengths = np.fromiter(map(len, values), np.int64, len(values)) // size
+        place = pc.index_in(coded.dictionary, value_set=self.kept)
+        fresh = np.flatnonzero(place.is_null().to_numpy(zero_copy_only=False))
+        place = pc.fill_null(place, 0).to_numpy().astype(np.int64)
+        old = np.ones(len(place), bool)
+        old[fresh] = False
+        self.used[place[old]] = self.turn
+        # The ids of this batch's distinct pieces: those remembered, then those learnt now.
+        ids, begins, lengths = self.ids, self.ends[:-1][place] if len(self.kept) else np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
+        if len(self.kept):
+            lengths = np.diff(self.ends)[place]
+        if len(fresh):
+            learnt = self._learn(coded.dictionary.take(pa.array(fresh)).to_pylist())
+            lengths[fresh] = np.fromiter(map(len, learnt), np.int64, len(learnt)) // self.code.itemsize
+            begins[fresh] = len(ids) + np.cumsum(lengths[fresh]) - lengths[fresh]
+            ids = np.concatenate([ids, np.frombuffer(b"".join(learnt), self.code)])
         index = coded.indices.to_numpy()
-        data = b"".join(map(values.__getitem__, index.tolist()))
+        sizes = lengths[index]
+        data = ids[_runs(begins[index], sizes)].tobytes()
+        size = self.code.itemsize
         offsets = lists.offsets.to_numpy()
-        cuts = np.concatenate([[0], np.cumsum(lengths[index])])[offsets - offsets[0]]
+        cuts = np.concatenate([[0], np.cumsum(sizes)])[offsets - offsets[0]]
         counts = np.diff(cuts)
         if len(odd):
             parts = [data[a * size : b * size] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
@@ -192,20 +242,27 @@ class Encoder:
         return data, counts
 
 
+def _runs(begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers from each begin on, as many as its length, one run after the other."""
+    ends = np.cumsum(lengths)
+    return np.repeat(begins - ends + lengths, lengths) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
 def with_token_counts(df: DataFrame, text: str, name: str, vocabulary: str | None = None) -> DataFrame:
     """Replace the column ``text`` by ``name``: the number of its ids in a store, the end included. Columns of the texts
     go through Python once."""
     path = vocabulary or default_vocabulary()
     kept = [c for c in df.columns if c != text]
+    quoted = [F.col(f"`{c}`") for c in kept]
 
     def work(batches: Batches) -> Batches:
-        encoder = Encoder(path, 4)
-        for batch in batches:
+        encoder = Encoder.of(path)
+        for batch in gathered(batches, _ENCODE_BYTES):
             _, counts = encoder.encode_array(batch.column(len(kept)))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(counts + 1, pa.int64())], names=[*kept, name])
 
-    schema = T.StructType([*df.select(*kept).schema, T.StructField(name, T.LongType())])
-    return map_texts(df.select(*kept, text), work, schema)
+    schema = T.StructType([*df.select(*quoted).schema, T.StructField(name, T.LongType())])
+    return map_texts(df.select(*quoted, F.col(f"`{text}`")), work, schema)
 
 
 # ---------------------------------------------------------------------------------------------- writing
@@ -218,14 +275,12 @@ def _write(folder: str, vocabulary: str, end_id: int, id_bytes: int) -> Callable
         files, root = open_folder(folder)
         final = f"{root}/shard-{shard:06d}.tok"
         temporary = f"{root}/_temporary/{shard:06d}-{context.taskAttemptId()}-{uuid.uuid4().hex}"
-        encoder = Encoder(vocabulary, id_bytes)
+        encoder = Encoder.of(vocabulary, id_bytes)
         lengths: list[np.ndarray] = []
         keys: list[np.ndarray] = []
         n_null = 0
         sink = None
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
+        for batch in gathered(batches, _ENCODE_BYTES):
             if sink is None:
                 files.create_dir(f"{root}/_temporary", recursive=True)
                 sink = files.open_output_stream(temporary, compression=None)
@@ -309,8 +364,12 @@ class Shard:
         self.source.seek(begin * self.id_bytes)
         return np.frombuffer(self.source.read((end - begin) * self.id_bytes), "<u2" if self.id_bytes == 2 else "<u4")
 
-    def keys(self) -> list[int | None]:
-        return [None] * self.n_null + (self.names.decode() + self.least).tolist()
+    def keys(self, first: int = 0, count: int | None = None) -> list[int | None]:
+        """The keys of ``count`` documents from the first-th on; null ones come first."""
+        last = self.n_docs if count is None else first + count
+        nulls = max(0, min(last, self.n_null) - first)
+        begin = first + nulls - self.n_null
+        return [None] * nulls + (self.names.run(begin, last - first - nulls) + self.least).tolist()
 
     def close(self) -> None:
         self.source.close()
@@ -323,24 +382,23 @@ def _read(batches: Batches) -> Batches:
     for batch in batches:
         for path, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             shard = Shard(path)
-            ends = shard.bounds.decode()
-            begins = np.concatenate([[0], ends[:-1]])
-            keys = shard.keys()
-            first = 0
-            while first < shard.n_docs:
-                # As many documents as fit a chunk; a longer one goes alone, in chunks.
-                last = max(first + 1, int(np.searchsorted(ends, begins[first] + _CHUNK_IDS, side="right")))
-                if last == first + 1:
-                    crcs = [_crc_in_chunks(shard, int(begins[first]), int(ends[first]))]
-                else:
-                    ids = shard.read(int(begins[first]), int(ends[last - 1])).astype("<u4")
-                    cut = ends[first : last - 1] - begins[first]
-                    crcs = [zlib.crc32(part) for part in np.split(ids, cut)]
+            for sample in range(0, shard.n_docs, SAMPLE_EVERY):
+                count = min(SAMPLE_EVERY, shard.n_docs - sample)
+                ends, keys = shard.bounds.run(sample, count), shard.keys(sample, count)
+                begins = np.concatenate([[shard.offset(sample)], ends[:-1]])
+                crcs: list[int] = []
+                while (first := len(crcs)) < count:
+                    # As many documents as fit a chunk; a longer one goes alone, in chunks.
+                    last = max(first + 1, int(np.searchsorted(ends, begins[first] + _CHUNK_IDS, side="right")))
+                    if last == first + 1:
+                        crcs.append(_crc_in_chunks(shard, int(begins[first]), int(ends[first])))
+                    else:
+                        ids = shard.read(int(begins[first]), int(ends[last - 1])).astype("<u4")
+                        crcs += [zlib.crc32(part) for part in np.split(ids, ends[first : last - 1] - begins[first])]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[first:last], pa.int64()), pa.array(begins[first:last] + start), pa.array(ends[first:last] - begins[first:last]), pa.array(crcs, pa.int64())],
+                    [pa.array(keys, pa.int64()), pa.array(begins + start), pa.array(ends - begins), pa.array(crcs, pa.int64())],
                     names=["key", "start", "n_tokens", "ids_crc32"],
-                )
-                first = last
+                )
             shard.close()
 
 
