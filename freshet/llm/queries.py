@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from freshet.llm.language_filters import language_query
-from freshet.llm import decontaminate, hash_tree, line_frequency, minmax_dedup, mixing, quotation, secret_ledger, warc_archive
+from freshet.llm import decontaminate, hash_tree, line_frequency, minmax_dedup, mixing, quotation, secret_ledger, shared_ranking, warc_archive
 from freshet.llm.pii_transducer import personal_data_query
 from freshet.llm.token_store import tokens_query
 
@@ -22,10 +22,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc_archive": warc_archive.archive_query,
     "op9_language_filters": language_query,
     "op10_quotation": quotation.quotation_query,
+    "op11_shared_ranking": shared_ranking.ranking_query,
     "op12_hash_tree": hash_tree.shards_query,
 }
 
 ORACLE: dict[str, str] = {
+    "op11_shared_ranking": shared_ranking.oracle_sql(),
     "op12_hash_tree": hash_tree.oracle_sql(),
     "op10_quotation": quotation.oracle_sql(),
     "op2_mixing": mixing.oracle_sql(),
