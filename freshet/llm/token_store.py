@@ -125,9 +125,9 @@ _UNCUT = _SPACE + r"[ \n](?:" + _SPACE + r"|\z)|\x01"
 _SIGNS = frozenset(",.;:!?")
 _LONGEST_KEPT = 48
 #: Pieces that a worker process remembers; with their ids they take about 50 bytes each.
-_MOST_KEPT = 1_500_000
+_MOST_KEPT = 1_000_000
 #: Bytes of text encoded in one go: the more, the fewer distinct pieces a byte has.
-_ENCODE_BYTES = 16 << 20
+_ENCODE_BYTES = 8 << 20
 
 
 class Encoder:
