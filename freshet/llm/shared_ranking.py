@@ -1,7 +1,7 @@
 """Ranking all documents for many queries at once, sharing what the queries have in common.
 
 Items hold overlapping sets of terms. They are dealt into blocks; in each block the shared term sets are mined: terms held
-by the same items form one set, and sets that stand side by side in several items are joined, round by round, until none is
+by the same items form one set, and the two sets that most items hold together are joined, again and again, until none is
 shared. The result is a graph in which a node is a sum of nodes or terms and an item a sum of nodes. For a batch of
 documents each node's accumulator, one number a document, is computed once, however many items use it; items combine
 accumulators along the graph. Rows of the final ranking come out of these sums alone.
@@ -33,6 +33,8 @@ from freshet.session import stage
 DEPTH = 20
 #: Items whose term sets are mined together, on the average.
 ITEMS_PER_BLOCK = 256
+#: Term sets among which pairs are looked for at once.
+TILE = 512
 #: Blocks that one pass over the documents serves: its tasks hold these blocks' graphs.
 BLOCKS_PER_PASS = 16
 #: Memory of a batch's accumulators.
@@ -65,62 +67,72 @@ class Graph:
 
 
 def mine(items: dict[int, Counter]) -> Graph:
-    """The graph of a block: ``items`` has each item's terms and how often it holds them. Every step is linear in the
-    number of (item, term) pairs, but for a sort."""
+    """The graph of a block: ``items`` has each item's terms and how often it holds them.
+
+    Terms that the same items hold are one set from the start. Sets are then taken in tiles, those that more items hold first;
+    in a tile the two sets that most items hold together become one, again and again, while two items share any two. That is
+    repeated with what is left until a round joins nothing. The work grows with the number of sets times a tile's.
+    """
+    row = {item: i for i, item in enumerate(sorted(items))}
     holders: dict[tuple[int, int], list[int]] = {}
-    for item in sorted(items):
-        for pair in sorted(items[item].items()):
-            holders.setdefault(pair, []).append(item)
+    for item, i in row.items():
+        for pair in items[item].items():
+            holders.setdefault(pair, []).append(i)
     leaves = sorted(holders)
-    number = {pair: i for i, pair in enumerate(leaves)}
-    # Terms that the same items hold are one set from the start.
     classes: dict[tuple[int, ...], list[int]] = {}
-    for pair in leaves:
-        classes.setdefault(tuple(holders[pair]), []).append(number[pair])
+    for node, pair in enumerate(leaves):
+        classes.setdefault(tuple(holders[pair]), []).append(node)
     sums: list[tuple[int, ...]] = []
-    parts: dict[int, list[int]] = {item: [] for item in items}
-    # Sets that many items hold come first, then those of the same items' neighbourhood.
-    for held_by, members in sorted(classes.items(), key=lambda c: (-len(c[0]), c[0])):
-        node = members[0]
-        if len(members) > 1 and len(held_by) > 1:
-            node = len(leaves) + len(sums)
+    parts: list[list[int]] = [[] for _ in row]
+    shared: list[tuple[int, np.ndarray]] = []
+    for held_by, members in classes.items():
+        if len(held_by) == 1:
+            parts[held_by[0]] += members
+            continue
+        if len(members) > 1:
             sums.append(tuple(members))
-            members = [node]
-        for item in held_by:
-            parts[item] += members
+        holds = np.zeros(len(row), bool)
+        holds[list(held_by)] = True
+        shared.append((len(leaves) + len(sums) - 1 if len(members) > 1 else members[0], holds))
     while True:
-        pairs = Counter(pair for nodes in parts.values() for pair in zip(nodes, nodes[1:]))
-        shared = {pair: n for pair, n in pairs.items() if n > 1}
-        if not shared:
-            return Graph(leaves, sums, {item: tuple(nodes) for item, nodes in parts.items()})
-        joined: dict[tuple[int, int], int] = {}
-        renewed: dict[int, list[int]] = {}
-        # In each item the pair that more items share goes first; pairs that overlap it wait for the next round.
-        for item, nodes in parts.items():
-            worth = [shared.get(pair, 0) for pair in zip(nodes, nodes[1:])]
-            taken = [False] * len(nodes)
-            for n, i in sorted(((-n, i) for i, n in enumerate(worth) if n), key=lambda x: (x[0], (nodes[x[1]], nodes[x[1] + 1]))):
-                if not taken[i] and not taken[i + 1]:
-                    taken[i] = taken[i + 1] = True
-                    worth[i] = n
-            made, i = [], 0
-            while i < len(nodes):
-                if i < len(worth) and worth[i] < 0:
-                    made.append((nodes[i], nodes[i + 1]))
-                    i += 2
-                else:
-                    made.append((nodes[i],))
-                    i += 1
-            renewed[item] = made
-        used = Counter(part for made in renewed.values() for part in made if len(part) == 2)
-        for pair, n in sorted(used.items()):
-            if n > 1:
-                joined[pair] = len(leaves) + len(sums)
-                sums.append(pair)
-        if not joined:
-            return Graph(leaves, sums, {item: tuple(nodes) for item, nodes in parts.items()})
-        for item, made in renewed.items():
-            parts[item] = [node for part in made for node in ([joined[part]] if part in joined else part)]
+        shared.sort(key=lambda x: (-int(x[1].sum()), x[0]))
+        before, left = len(sums), []
+        for begin in range(0, len(shared), TILE):
+            left += _join(shared[begin : begin + TILE], len(leaves), sums)
+        shared = left
+        if len(sums) == before:
+            break
+    for node, holds in shared:
+        for i in np.flatnonzero(holds):
+            parts[i].append(node)
+    return Graph(leaves, sums, {item: tuple(sorted(parts[i])) for item, i in row.items()})
+
+
+def _join(sets: list[tuple[int, np.ndarray]], n_leaves: int, sums: list[tuple[int, ...]]) -> list[tuple[int, np.ndarray]]:
+    """Join pairs of a tile's sets, the most shared first, and say what is still held, and by which items."""
+    nodes = [node for node, _ in sets]
+    holds = np.array([h for _, h in sets], np.int32)
+    together = np.triu(holds @ holds.T, 1)
+    while together.size and (most := together.max()) > 1:
+        a, b = np.unravel_index(int(together.argmax()), together.shape)
+        both = holds[a] & holds[b]
+        nodes.append(n_leaves + len(sums))
+        sums.append((nodes[a], nodes[b]))
+        holds[a] -= both
+        holds[b] -= both
+        # A set that no item holds by itself any more gives its place to the new one.
+        empty = next((i for i in (a, b) if not holds[i].any()), None)
+        if empty is None:
+            empty = len(holds)
+            holds = np.vstack([holds, both])
+            together = np.pad(together, ((0, 1), (0, 1)))
+        else:
+            nodes[empty] = nodes.pop()
+            holds[empty] = both
+        for i in {a, b, empty}:
+            meets = holds @ holds[i]
+            together[i, i + 1 :], together[:i, i] = meets[i + 1 :], meets[:i]
+    return [(node, h.astype(bool)) for node, h in zip(nodes, holds, strict=True) if h.any()]
 
 
 def _graph_rows(items: pd.DataFrame) -> pd.DataFrame:
