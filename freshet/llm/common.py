@@ -60,6 +60,23 @@ def join_counted(left: DataFrame, small: DataFrame, on: list[str], how: str, row
     return left.join(F.broadcast(small) if rows <= BROADCAST_ROWS else small, on, how)
 
 
+#: Rows of a key from which on it counts as hot.
+HOT_ROWS = 1024
+
+
+def join_to_one(many: DataFrame, one: DataFrame, on: list[str]) -> DataFrame:
+    """Inner join of ``many`` with ``one``, which has at most one row for each key; ``many`` is a written table.
+
+    Keys that hold many rows are counted first. There can't be more of them than rows by the limit, so that their rows of
+    ``one`` are of bounded number and are broadcast; the others meet by shuffle.
+    """
+    limit = max(HOT_ROWS, many.count() // BROADCAST_ROWS)
+    hot = many.groupBy(*on).agg(F.count("*").alias("_n")).filter(F.col("_n") > limit).drop("_n")
+    at_hot = one.join(F.broadcast(hot), on, "left_semi")
+    others = many.join(F.broadcast(hot), on, "left_anti").join(one, on)
+    return many.join(F.broadcast(at_hot), on).unionByName(others)
+
+
 def count_rows(spark: SparkSession, folder: str) -> int:
     """Rows of a written table, from its footers."""
     return spark.read.parquet(folder).count()

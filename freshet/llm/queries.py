@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from freshet.llm.language_filters import language_query
-from freshet.llm import decontaminate, hash_tree, line_frequency, minmax_dedup, mixing, quotation, secret_ledger, shared_ranking, warc_archive
+from freshet.llm import decontaminate, hash_tree, line_frequency, minmax_dedup, mixing, prefix_trie, quotation, secret_ledger, shared_ranking, warc_archive
 from freshet.llm.pii_transducer import personal_data_query
 from freshet.llm.token_store import tokens_query
 
@@ -24,11 +24,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quotation": quotation.quotation_query,
     "op11_shared_ranking": shared_ranking.ranking_query,
     "op12_hash_tree": hash_tree.shards_query,
+    "op13_prefix_trie": prefix_trie.trie_query,
 }
 
 ORACLE: dict[str, str] = {
     "op11_shared_ranking": shared_ranking.oracle_sql(),
     "op12_hash_tree": hash_tree.oracle_sql(),
+    "op13_prefix_trie": prefix_trie.oracle_sql(),
     "op10_quotation": quotation.oracle_sql(),
     "op2_mixing": mixing.oracle_sql(),
     "op3_secret_ledger": secret_ledger.oracle_sql(),
