@@ -376,7 +376,7 @@ def taken(conv: Column) -> Column:
 
 
 def rebuild(placed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rebuilt turns, as ``place_turns`` gives them, and all conversations."""
+    """Rebuilt turns, as ``place_turns`` gives them, and all conversations. The remainder of a negative id has its sign."""
     convs, _ = stage(placed.groupBy("conv").agg(F.max("length").alias("length")), "conversations")
     first = F.col("conv") - F.col("conv") % HUNDRED
     lengths = convs.filter(F.col("conv") % HUNDRED == 0).select(F.col("conv").alias("base"), F.col("length").alias("there"))
