@@ -14,9 +14,7 @@ from pyspark.sql import functions as F
 from freshet.llm.common import count_rows, identity, join_counted, once, row_key
 from freshet.session import stage
 
-#: A host's line in more distinct texts than this is boilerplate.
-MAX_TEXTS = 50
-#: For corpora of any size: a host's line in more than this percentage of its distinct texts is, and in more than a few.
+#: A host's line is boilerplate in more than this percentage of its distinct texts, and in more than a few: alike at every size.
 SHARE_PERCENT, SHARE_FLOOR = 5, 5
 #: A document is depleted when fewer words than this remain ...
 MIN_WORDS = 20
@@ -94,7 +92,7 @@ def measure(docs: DataFrame, key: str, text: str, host: str) -> DataFrame:
     return row_key(rows.withColumn("base_failed", failed))
 
 
-def frequent_lines(measured: DataFrame, max_texts: int = MAX_TEXTS, max_percent: int = 0) -> DataFrame:
+def frequent_lines(measured: DataFrame, max_texts: int = SHARE_FLOOR, max_percent: int = SHARE_PERCENT) -> DataFrame:
     """Lines of a host in more than ``max_texts`` distinct texts and more than ``max_percent`` of the host's: host, line,
     first (the least key that has it).
 
@@ -113,7 +111,7 @@ def frequent_lines(measured: DataFrame, max_texts: int = MAX_TEXTS, max_percent:
 
 
 def judge(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", max_texts: int = MAX_TEXTS,
+    docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", max_texts: int = SHARE_FLOOR,
     min_words: int = MIN_WORDS, min_percent: int = MIN_PERCENT, max_percent: int = 0,
 ) -> DataFrame:
     """A row for each document: ``key``, its identity, text_hash, the counts, base_failed, n_removed (words in boilerplate lines),
@@ -144,7 +142,7 @@ def without_lines(text: Column, removed: Column) -> Column:
 
 
 def line_quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = judge(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    judged = judge(spark.read.parquet(f"{sf_dir}/documents.parquet"), max_texts=SHARE_FLOOR, max_percent=SHARE_PERCENT)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed")
 
 
@@ -162,7 +160,10 @@ ln AS (
 dup AS (SELECT r, count(*) - count(DISTINCT l) AS n FROM ln GROUP BY r),
 win AS (SELECT r, i, array_to_string(list_slice(w, i, i + {WINDOW - 1}), ' ') AS g FROM (SELECT r, w, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM d)),
 rep AS (SELECT r, count(DISTINCT i + o) AS n FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM win), (SELECT unnest(range({WINDOW})) AS o) WHERE c > 1 GROUP BY r),
-fr AS (SELECT host, nl, min(doc_id) AS first FROM ln GROUP BY host, nl HAVING count(DISTINCT t) > {MAX_TEXTS}),
+ht AS (SELECT host, count(DISTINCT t) AS texts FROM d GROUP BY host),
+fr AS (
+  SELECT host, nl, first FROM (SELECT host, nl, min(doc_id) AS first, count(DISTINCT t) AS n FROM ln GROUP BY host, nl) JOIN ht USING (host)
+  WHERE n > {SHARE_FLOOR} AND 100 * n > {SHARE_PERCENT} * texts),
 gone AS (SELECT r, sum(lw) AS n FROM ln JOIN fr USING (host, nl) WHERE doc_id IS DISTINCT FROM first GROUP BY r),
 m AS (
   SELECT doc_id, len(w) AS n_words, length(t) - length(regexp_replace(t, '[^ \\t\\n\\x0B\\f\\r]', '', 'g')) AS word_chars,
