@@ -1,7 +1,7 @@
 """Personal data, disguised or plain, as spans of the source text.
 
-Transducers rewrite a text and keep an alignment to it: homoglyphs become the characters they imitate (one for one),
-spelled digits become digits, and at/dot disguises become ``@`` and ``.``. Identifiers are detected in the text itself,
+Transducers rewrite a text and keep an alignment to it: homoglyphs become the characters they imitate, digits of any
+script ASCII digits, characters that aren't shown go, spelled digits become digits, and at/dot disguises become ``@`` and ``.``. Identifiers are detected in the text itself,
 in the form with all edits composed, and in the forms with one kind of edit; spans of these are mapped back to source
 characters and added where they overlap no span found before. All patterns run in time linear in the text.
 """
@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from itertools import islice
 
 import pyarrow as pa
@@ -84,16 +84,58 @@ def detect(text: str) -> dict[str, list[Span]]:
     return {kind: find(text) for kind, find in DETECTORS.items()}
 
 
-# Homoglyphs: letters of other scripts that look like an ASCII letter, and every character whose compatibility form is
-# one ASCII character (full-width, mathematical, circled and superscript forms).
-_LOOKALIKES = dict(zip("аеорсухіјѕԁһӏАВЕКМНОРСТХІЈЅοΑΒΕΖΗΙΚΜΝΟΡΤΥΧıƖ", "aeopcyxijsdhlABEKMHOPCTXIJSoABEZHIKMNOPTYXil", strict=True))
-_COMPATIBLE = {
-    chr(c): n
-    for c in (*range(0x2070, 0x209D), *range(0x2460, 0x24EA), *range(0xFE50, 0xFE70), *range(0xFF01, 0xFF5F), *range(0x1D400, 0x1D800))
-    if len(n := unicodedata.normalize("NFKC", chr(c))) == 1 and n.isascii() and n.isprintable() and n != " "
-}
-HOMOGLYPHS = str.maketrans(_LOOKALIKES | _COMPATIBLE)
-_HOMOGLYPH = frozenset([*_LOOKALIKES, *_COMPATIBLE])
+# Homoglyphs. Letters of other scripts that look like an ASCII letter, script by script.
+_LOOKALIKES = dict(
+    pair
+    for foreign, ascii_ in (
+        ("аеорсухіјѕԁһӏԛԝѵАВЕКМНОРСТУХІЈЅҮԚԜѴӀ", "aeopcyxijsdhlqwvABEKMHOPCTYXIJSYQWVI"),  # Cyrillic
+        ("αορνικυχγητωϲϳΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿ", "aopvikuxyntwcjABEZHIKMNOPTYXCJ"),  # Greek
+        ("օոսհցզՕՏԼՍ", "onuhgqOSLU"),  # Armenian
+        ("ᎠᎡᎢᎥᎪᎫᎬᎳᎷᎻᎽᏀᏃᏚᏞᏟᏢᏦᏴ", "DRTiAJEWMHYGZSLCPKB"),  # Cherokee
+        ("ıɑɡɩʏᴄᴏᴠᴡᴢꜱƖ", "iagiYcovwzsl"),  # Latin beyond ASCII
+    )
+    for pair in zip(foreign, ascii_, strict=True)
+)
+
+
+def _plain(c: str) -> str | None:
+    """What a character beyond ASCII stands for: the letter it looks like, its digit, the one ASCII character of its
+    compatibility form, or nothing where it is not shown at all; None if it stands for itself."""
+    if c in _LOOKALIKES:
+        return _LOOKALIKES[c]
+    if (digit := unicodedata.decimal(c, None)) is not None:
+        return str(digit)
+    if unicodedata.category(c) == "Cf" or c in "\u034f\u115f\u1160\u17b4\u17b5\u3164\uffa0" or "\ufe00" <= c <= "\ufe0f" or "\U000e0100" <= c <= "\U000e01ef":
+        return ""
+    form = unicodedata.normalize("NFKC", c)
+    return form if len(form) == 1 and form.isascii() and form.isprintable() and form != " " else None
+
+
+class _Plain(dict):
+    """Each character met and what it stands for, itself included."""
+
+    def __missing__(self, c: str) -> str:
+        found = c if c.isascii() else _plain(c)
+        self[c] = c if found is None else found
+        return self[c]
+
+
+_PLAIN = _Plain()
+
+
+def plain_form(text: str) -> tuple[str, list[Alignment]]:
+    """The text with homoglyphs as the characters they imitate and without characters that aren't shown."""
+    changed = {c: new for c in set(text) if not c.isascii() and (new := _PLAIN[c]) != c}
+    if not changed:
+        return text, []
+    gone = [c for c, new in changed.items() if not new]
+    plain = text.translate(str.maketrans({c: new for c, new in changed.items() if new}))
+    if not gone:
+        return plain, []
+    hidden = re.compile(f"[{re.escape(''.join(gone))}]+")
+    rewritten, alignment = rewrite(plain, [(m.start(), m.end(), "") for m in hidden.finditer(plain)])
+    return rewritten, [alignment]
+
 
 #: Spelled digits of four languages.
 SPELLED = {
@@ -117,6 +159,10 @@ _DOT = r"\x20?[\[({<]\x20?(?:dot|\.|punkt|point|punto)\x20?[\])}>]\x20?|\x20(?:d
 _NAME = r"[A-Za-z0-9_%+-]"
 # Sought from the at-sign on: the part after it must have a dot, plain or disguised, so that "at" in prose stays.
 _AT_SIGN = re.compile(rf"(?<={_NAME})(?:{_AT}|@)(?={_NAME}{{1,63}}(?:{_DOT}|\.){_NAME})", re.IGNORECASE)
+#: A bare " at " is prose unless the name before it is one of parts and the last label after it can be a top-level domain, or
+#: something else is disguised. Generic domains; country codes are any two letters.
+_NAME_OF_PARTS = re.compile(r"[A-Za-z][A-Za-z0-9]*(?:[._+][A-Za-z0-9]+)*[._+][A-Za-z0-9]*[A-Za-z][A-Za-z0-9]*\Z")
+_TOP_LEVEL = frozenset(["com", "org", "net", "edu", "gov", "mil", "int", "info", "biz", "name", "pro", "io", "dev", "app", "example", "test", "cloud", "online", "site", "store", "tech", "blog", "email"])
 _DOT_SIGN = re.compile(rf"(?:{_DOT})(?={_NAME})", re.IGNORECASE)
 _HOST_PART = re.compile(rf"{_NAME}{{1,63}}")
 _DOT_BEFORE = re.compile(rf"(?:{_DOT})\Z", re.IGNORECASE)
@@ -210,19 +256,24 @@ def address_edits(text: str) -> list[tuple[int, int, str]]:
     for m in _AT_SIGN.finditer(text):
         floor = max(edits[-1][1] if edits else 0, m.start() - 255)
         before = _last_name(text, floor, m.start())
-        edits += [(d.start(), d.end(), ".") for d in _DOT_SIGN.finditer(text, before, m.start())]
+        found = [(d.start(), d.end(), ".") for d in _DOT_SIGN.finditer(text, before, m.start())]
+        bare = m[0].casefold() == " at "
+        sure = not bare or bool(found)
         if m[0] != "@":
-            edits.append((m.start(), m.end(), "@"))
-        place = m.end()
+            found.append((m.start(), m.end(), "@"))
+        place = label = m.end()
         while part := _HOST_PART.match(text, place):
-            place = part.end()
+            place, label = part.end(), part.start()
             if dot := _DOT_SIGN.match(text, place):
-                edits.append((dot.start(), dot.end(), "."))
-                place = dot.end()
+                found.append((dot.start(), dot.end(), "."))
+                place, sure = dot.end(), True
             elif text[place : place + 1] == "." and _HOST_PART.match(text, place + 1):
                 place += 1
             else:
                 break
+        last = text[label:place].casefold()
+        if sure or _NAME_OF_PARTS.match(text[before : m.start()]) and (last in _TOP_LEVEL or len(last) == 2 and last.isalpha()):
+            edits += found
     edits += [(d.start(), d.end(), ".") for d in _DIGIT_DOT.finditer(text) if text[d.start() - 1 : d.start()] in _DECIMALS]
     kept: list[tuple[int, int, str]] = []
     for edit in sorted(set(edits)):
@@ -248,18 +299,19 @@ def _last_name(text: str, floor: int, stop: int) -> int:
 
 
 def added_spans(text: str, base: dict[str, list[Span]]) -> dict[str, list[Span]]:
-    """Identifiers that show only in a rewritten form, as source spans that overlap no base span."""
+    """Identifiers that show only in a rewritten form, as source spans. They overlap no span found before, unless they
+    contain base spans of their kind, of which a disguise hides a part."""
     taken = sorted(span for spans in base.values() for span in spans)
     added: dict[str, list[Span]] = {kind: [] for kind in KINDS}
-    plain = text.translate(HOMOGLYPHS) if not (text.isascii() or _HOMOGLYPH.isdisjoint(text)) else text
+    plain, shown = plain_form(text)
     forms: list[tuple[str, list[Alignment]]] = []
     low = plain.casefold()
     spelled = disguised = None
     if may_be_spelled(low) and (edits := spelled_edits(plain, short=True)):
         digits, alignment = rewrite(plain, edits)
-        spelled = (digits, [alignment])
+        spelled = (digits, [alignment, *shown])
     if may_be_disguised(low):
-        form, before = spelled or (plain, [])
+        form, before = spelled or (plain, shown)
         if edits := address_edits(form):
             rewritten, alignment = rewrite(form, edits)
             disguised = (rewritten, [alignment, *before])
@@ -270,22 +322,24 @@ def added_spans(text: str, base: dict[str, list[Span]]) -> dict[str, list[Span]]
         forms.append(spelled)
         if edits := spelled_edits(plain):
             digits, alignment = rewrite(plain, edits)
-            forms.append((digits, [alignment]))
+            forms.append((digits, [alignment, *shown]))
         if disguised and (edits := address_edits(plain)):
             rewritten, alignment = rewrite(plain, edits)
-            forms.append((rewritten, [alignment]))
+            forms.append((rewritten, [alignment, *shown]))
     if plain is not text:
-        forms.append((plain, []))
+        forms.append((plain, shown))
     for form, alignments in forms:
         for kind, spans in detect(form).items():
             for span in spans:
                 for alignment in alignments:
                     span = to_source(span, alignment)
                 start, stop = span
-                k = bisect_right(taken, (start, stop))
-                if (k == 0 or taken[k - 1][1] <= start) and (k == len(taken) or taken[k][0] >= stop):
-                    taken.insert(k, (start, stop))
-                    added[kind].append((start, stop))
+                first = bisect_right(taken, start, key=lambda x: x[1])
+                last = bisect_left(taken, stop, key=lambda x: x[0])
+                hidden = taken[first:last]
+                if all(start <= a and b <= stop and (a, b) != span and (a, b) in base[kind] for a, b in hidden):
+                    taken[first:last] = [span]
+                    added[kind].append(span)
     return {kind: sorted(spans) for kind, spans in added.items()}
 
 
@@ -310,7 +364,8 @@ def find_personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text")
     """Spans of personal data in every row: ``key``, ``spans`` of kind, start, stop (source code points, end exclusive)
     and whether only a rewritten form showed them.
 
-    Null text counts as empty; nulls and repeats of ``key`` keep a row each; other columns are ignored.
+    Null text counts as empty; nulls and repeats of ``key`` keep a row each; texts of any length are scanned whole, in time
+    linear in it; an empty table gives no rows; other columns are ignored.
     """
     kind = dict(docs.dtypes)[key]
     out = f"key {kind}, spans array<struct<kind:string,start:int,stop:int,added:boolean>>"
