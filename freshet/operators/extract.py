@@ -203,6 +203,26 @@ def explode_links(pages: DataFrame) -> DataFrame:
     )
 
 
+def link_sites(snapshots: DataFrame, sites: DataFrame | None = None, **settings: object) -> DataFrame:
+    """A row for each web link of each page, whatever else would drop it: site, run, ``pos``, ``link_host`` (with its port),
+    ``same_site``, and ``allowed`` (the same site, on the site's list of hosts, or all are).
+
+    Both hosts stand in the page's own row, so that nothing is joined or paired. Pages with malformed addresses have no rows.
+    """
+    pages = with_settings(snapshots.select("site_id", "run_ts", "page_url", "html"), sites, **settings)
+    page, base = F.col("_page"), F.col("_base")
+    parsed = parse_pages(pages).withColumns({"_page": urls.split_url(F.col("page_url")), "_refs": F.filter("anchors", _is_candidate)})
+    parsed = parsed.withColumn("_base", F.when(F.col("base_href").isNull(), page).otherwise(urls.resolve(page, urls.split_url(F.col("base_href")))))
+    refs = F.transform("_refs", lambda a: F.struct(a["pos"].alias("pos"), urls.split_url(a["href"]).alias("ref")))
+    parsed = parsed.withColumn("_refs", refs).filter(~F.exists("_refs", lambda r: urls.is_bad_netloc(urls.netloc_of(r["ref"]))))
+    links = parsed.select("site_id", "run_ts", "_page", "_base", "allow_hosts", "allow_external", F.inline("_refs"))
+    links = links.withColumn("_link", urls.resolve(base, F.col("ref"))).filter(urls.scheme_of(F.col("_link")).isin("http", "https"))
+    link_host, page_host = urls.netloc_of(F.col("_link")), urls.netloc_of(page)
+    listed = F.col("allow_external") | (link_host == page_host) | urls.is_same_site(link_host, page_host, F.col("allow_hosts"))
+    same = (link_host == page_host) | urls.is_same_site(link_host, page_host)
+    return links.select("site_id", "run_ts", "pos", F.lower(link_host).alias("link_host"), same.alias("same_site"), listed.alias("allowed"))
+
+
 def path_prefix_stats(links: DataFrame, by: list[str], depth: int = 2, top: int = 10) -> DataFrame:
     """The ``top`` most frequent directories per group; ties go to the one met first."""
     order = [c for c in ("run_ts", "pos") if c in links.columns]

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from freshet.functions import text, urls
 from freshet.operators import attempts, maintain, reader, report, settings
 from freshet.operators.detect import Advance, advance, replay
-from freshet.operators.extract import explode_links, extract, path_prefix_stats, same_site_pairs
+from freshet.operators.extract import explode_links, extract, link_sites, path_prefix_stats, same_site_pairs
 from freshet.plans import crawl
 from freshet.session import scratch_folder, stage
 from freshet.sources import feed as feed_source
@@ -206,6 +206,83 @@ def fetch_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return in_text(attempts.resolve_attempts(tried), "run_ts")
 
 
+# --- pages dressed with what the test pages lack ---
+
+#: Anchors put before a page's own ones, in this order: what a page may hold and the test pages don't.
+DRESSING = """<a href="rel/x">rel</a><a href="mailto:a@b.c">m</a><a href="#top">t</a><a href="/">r</a><a href="/?p=1">q</a>
+<a href="{url}">self</a><a href="/pic.PNG">pic</a><a href=" /doc.pdf ">doc</a><a href="/feed">feed</a>
+<a href="HTTP://{upper}/Upper">upper</a><a href="http://{host}:80/Port">port</a>
+<a href="/t?fbclid=1&amp;utm_source=x&amp;id=3">tracked</a><a href="/img-x"><img src="i.gif" alt=" A  picture "></a>
+<a href="/ta-x" title="By  title"><b></b></a><a href="/late-x">{late}</a><a href="https://partner.example/p">partner</a>
+<a href="https://sub.partner.example/s">partner sub</a><a href="https://other.test/o">other</a><a href="http://sub.{root}/s">sub</a>
+<a href="{last}">ok</a><a href="/doc.pdf">again</a>"""
+ALLOWED = ["partner.example"]
+
+
+def dressed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages with ``DRESSING``: every fifth has a base, every 17th a malformed address, every third titles a link that
+    is untitled elsewhere."""
+    i, url = F.col("page_id"), F.col("url")
+    host = F.lower(urls.url_netloc(url))
+    filled = F.lit(DRESSING.replace("\n", ""))
+    for name, value in {
+        "url": F.replace(url, F.lit("&"), F.lit("&amp;")), "upper": F.upper(host), "host": host, "root": urls.base_host(host),
+        "late": F.when(i % 3 == 0, "Late").otherwise(""), "last": F.when(i % 17 == 3, "http://[x").otherwise("/ok-x"),
+    }.items():
+        filled = F.replace(filled, F.lit("{" + name + "}"), value)
+    base = F.when(i % 5 == 0, F.concat(F.lit('<head><base href="/b'), i.cast("string"), F.lit('/">'))).otherwise("<head>")
+    html = F.replace(F.replace(F.col("html"), F.lit("<nav><ul>"), F.concat(F.lit("<nav><ul>"), filled)), F.lit("<head>"), base)
+    return snapshots_of_pages(table(spark, sf_dir, "pages").withColumn("html", html))
+
+
+def dressed_pages(spark: SparkSession, sf_dir: str, **settings: object) -> DataFrame:
+    return extract(dressed(spark, sf_dir), skip_navigation=False, **settings)
+
+
+@query
+def dressed_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return in_text(explode_links(dressed_pages(spark, sf_dir, allow_hosts=ALLOWED)), "run_ts")
+
+
+@query
+def dressed_links_external(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with links to all hosts, and titles of three characters or more."""
+    return in_text(explode_links(dressed_pages(spark, sf_dir, allow_external=True, use_default_exclude=False, min_title_length=3)), "run_ts")
+
+
+@query
+def dressed_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return in_text(dressed_pages(spark, sf_dir).select("site_id", "run_ts", "link_count", "error"), "run_ts")
+
+
+@query
+def same_site_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return in_text(link_sites(dressed(spark, sf_dir), skip_navigation=False, allow_hosts=ALLOWED), "run_ts")
+
+
+@query
+def titles_filled_later(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is known of a link that is untitled on most pages, and the title its item had when it was new."""
+    outcome = replay(dressed_pages(spark, sf_dir))
+    late = outcome.known.filter(F.col("url").endswith("/late-x")).select("site_id", "url", "title")
+    items = outcome.new_items.select("site_id", "url", F.col("title").alias("item_title"))
+    return late.join(items, ["site_id", "url"], "left")
+
+
+@query
+def page_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages as bytes: by header hint, by declaration, by byte-order mark, or as plain UTF-8."""
+    way = F.unix_timestamp("run_ts") % 4
+    undeclared = F.replace(F.col("html"), F.lit('<meta charset="utf-8">'), F.lit(""))
+    declared = F.replace(F.col("html"), F.lit('"utf-8"'), F.lit('"iso-8859-1"'))
+    content = (
+        F.when(way == 0, F.encode("html", "UTF-8")).when(way == 1, F.encode(undeclared, "ISO-8859-1")).when(way == 2, F.encode(declared, "ISO-8859-1"))
+        .otherwise(F.encode(F.concat(F.lit("\ufeff"), undeclared), "UTF-16LE"))
+    )
+    pages = snapshots(spark, sf_dir).withColumns({"content": content, "charset_hint": F.when(way == 1, "windows-1252")})
+    return in_text(explode_links(extract(pages.drop("html"), skip_navigation=False)), "run_ts")
+
+
 # --- change detection ---
 
 
@@ -534,6 +611,56 @@ def exported_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return in_text(recent.select("site_id", "ord", "url", "title", "first_seen"), "first_seen")
 
 
+#: Lines in a part of a document that is read back: several parts even of a small one.
+PART = 40
+
+
+@query
+def state_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known URLs, in the order they are kept in, after the state went out as one JSON document in parts and came back."""
+    path = scratch_folder(spark, "state-document")
+    state_source.write_state_document(replay(crawled(spark, sf_dir)).state, path, F.lit("2024-06-01 00:00:00").cast("timestamp"), PART)
+    known = state_source.import_state_document(spark, path).known
+    return in_text(known.select(*KNOWN), "first_seen")
+
+
+@query
+def state_document_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Site states after the same way, of a history with failed pages."""
+    path = scratch_folder(spark, "state-document")
+    state_source.write_state_document(replay(crawled(spark, sf_dir, include=["/th", "/e"])).state, path, F.lit("2024-06-01 00:00:00").cast("timestamp"), PART)
+    return site_states(state_source.import_state_document(spark, path).sites)
+
+
+def _feed_document(spark: SparkSession, sf_dir: str) -> report.Feed:
+    path = scratch_folder(spark, "feed-document")
+    feed = feed_of(spark, sf_dir, replay(crawled(spark, sf_dir)))
+    feed_source.write_feed_document(feed, path, F.lit("2024-06-01 00:00:00").cast("timestamp"), PART)
+    return feed_source.read_feed_document(spark, path)
+
+
+@query
+def feed_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The timeline, in its order, after the feed went out as one JSON document in parts and came back."""
+    return in_text(_feed_document(spark, sf_dir).timeline.select("site_id", "site_name", "title", "url", "first_seen", "ord"), "first_seen")
+
+
+@query
+def feed_document_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The site cards after the same way, in their order."""
+    sites = _feed_document(spark, sf_dir).sites
+    flat = sites.select(
+        "site_id", "url", "status", "error", "consecutive_errors", "last_checked", "last_update", "new_count", "link_count", "seeded_now",
+        F.array_join(F.transform("items", lambda i: F.concat_ws(" ", i["url"], i["title"], as_text(i["first_seen"]))), "|").alias("items"), "result_ord",
+    )
+    return in_text(flat, "last_checked", "last_update")
+
+
+@query
+def feed_document_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _feed_document(spark, sf_dir).totals
+
+
 @query
 def feed_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The timeline after the feed was written and read back."""

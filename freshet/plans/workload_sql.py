@@ -382,3 +382,84 @@ ORACLE["stored_state"] = ORACLE["known_urls"]
 ORACLE["exported_state"] = ORACLE["recent_per_site"]
 ORACLE["feed_tables"] = ORACLE["timeline_300"]
 ORACLE["stream_new_links"] = ORACLE["new_links"]
+ORACLE["state_document"] = f"""
+WITH {_replayed()}
+SELECT site_id, url, title, {_ts('first_seen')}, row_number() OVER (PARTITION BY site_id ORDER BY first_seen, pos, url) - 1 AS seq FROM sighting"""
+ORACLE["state_document_sites"] = ORACLE["site_state"]
+ORACLE["feed_document"] = f"""
+WITH {_replayed()}, placed AS (
+  SELECT t.*, row_number() OVER (ORDER BY first_seen DESC, l.ord, t.ord) - 1 AS place FROM timeline t JOIN listed l USING (site_id))
+SELECT site_id, site_name, title, url, {_ts('first_seen')}, place AS ord FROM placed"""
+ORACLE["feed_document_sites"] = f"""
+WITH {_replayed()}
+SELECT s.site_id, 'https://' || s.site_id || '/' AS url, s.last_status AS status, s.last_error AS error,
+  s.consecutive_errors, {_ts("s.last_checked")}, {_ts("s.last_update")}, r.new_count, r.link_count, r.seeded_now,
+  coalesce((SELECT string_agg(concat_ws(' ', url, title, strftime(first_seen, '%Y-%m-%d %H:%M:%S')), '|' ORDER BY ord) FROM recent x WHERE x.site_id = s.site_id), '') AS items,
+  row_number() OVER (ORDER BY l.ord) - 1 AS result_ord
+FROM site s JOIN result r USING (site_id) JOIN listed l USING (site_id)"""
+ORACLE["feed_document_totals"] = f"""
+WITH {_replayed()}
+SELECT count(*) AS site_count, sum(new_count)::BIGINT AS new_count, count(*) FILTER (status = 'error') AS error_count FROM result"""
+
+# Dressed pages: what is put before a page's own anchors, as it should come out. Own anchors stand 21 places later.
+_DRESSED = (
+    _links()
+    + """,
+dress AS (
+  SELECT *, scheme || '://' || site_id AS origin, regexp_replace(site_id, '^www\\.', '') AS root, page_id % 17 = 3 AS broken,
+    CASE WHEN page_id % 5 = 0 THEN '/b' || page_id || '/'
+         ELSE coalesce(nullif(regexp_replace(regexp_extract(page_url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '[^/]*$', ''), ''), '/') END AS dir
+  FROM page),
+put AS (
+  SELECT page_id, site_id, run_ts, broken, origin, unnest([
+    {'pos': 0, 'url': origin || dir || 'rel/x', 'title': 'rel', 'way': 'own'},
+    {'pos': 7, 'url': origin || '/doc.pdf', 'title': 'doc', 'way': 'own'},
+    {'pos': 8, 'url': origin || '/feed', 'title': 'feed', 'way': 'excluded'},
+    {'pos': 9, 'url': 'http://' || site_id || '/Upper', 'title': 'upper', 'way': 'own'},
+    {'pos': 10, 'url': 'http://' || site_id || '/Port', 'title': 'port', 'way': 'external'},
+    {'pos': 11, 'url': origin || '/t?id=3', 'title': 'tracked', 'way': 'own'},
+    {'pos': 12, 'url': origin || '/img-x', 'title': 'A picture', 'way': 'own'},
+    {'pos': 13, 'url': origin || '/ta-x', 'title': 'By title', 'way': 'own'},
+    {'pos': 14, 'url': origin || '/late-x', 'title': CASE WHEN page_id % 3 = 0 THEN 'Late' ELSE '' END, 'way': 'own'},
+    {'pos': 15, 'url': 'https://partner.example/p', 'title': 'partner', 'way': 'listed'},
+    {'pos': 16, 'url': 'https://sub.partner.example/s', 'title': 'partner sub', 'way': 'listed'},
+    {'pos': 17, 'url': 'https://other.test/o', 'title': 'other', 'way': 'external'},
+    {'pos': 18, 'url': 'http://sub.' || root || '/s', 'title': 'sub', 'way': 'own'},
+    {'pos': 19, 'url': origin || '/ok-x', 'title': 'ok', 'way': 'own'}]) AS x FROM dress),
+both_kinds AS (
+  SELECT page_id, site_id, run_ts, x.pos::INTEGER AS pos, x.url AS url, x.title AS title, x.way AS way, broken FROM put
+  UNION ALL SELECT l.page_id, l.site_id, l.run_ts, pos + 21, url, title, 'own', broken FROM link l JOIN dress d USING (page_id)),
+web AS (
+  SELECT page_id, site_id, run_ts, unnest([
+    {'pos': 0, 'host': site_id}, {'pos': 3, 'host': site_id}, {'pos': 4, 'host': site_id}, {'pos': 5, 'host': site_id}, {'pos': 6, 'host': site_id},
+    {'pos': 7, 'host': site_id}, {'pos': 8, 'host': site_id}, {'pos': 9, 'host': site_id}, {'pos': 10, 'host': site_id || ':80'}, {'pos': 11, 'host': site_id},
+    {'pos': 12, 'host': site_id}, {'pos': 13, 'host': site_id}, {'pos': 14, 'host': site_id}, {'pos': 15, 'host': 'partner.example'},
+    {'pos': 16, 'host': 'sub.partner.example'}, {'pos': 17, 'host': 'other.test'}, {'pos': 18, 'host': 'sub.' || root}, {'pos': 19, 'host': site_id},
+    {'pos': 20, 'host': site_id}]) AS x, root FROM dress WHERE NOT broken
+  UNION ALL SELECT a.page_id, a.site_id, a.run_ts, {'pos': pos + 21, 'host': a.site_id}, root FROM anchor a JOIN dress d USING (page_id) WHERE NOT broken)"""
+)
+ORACLE["dressed_links"] = f"WITH {_DRESSED} SELECT site_id, {_ts('run_ts')}, pos, url, title FROM both_kinds WHERE NOT broken AND way IN ('own', 'listed')"
+ORACLE["dressed_links_external"] = f"""
+WITH {_DRESSED}, unexcluded AS (
+  SELECT page_id, site_id, run_ts, pos::INTEGER + 21 AS pos, scheme || '://' || site_id || href AS url, title FROM anchor
+  WHERE href <> '/' AND NOT regexp_matches(lower(href), '\\.({_SUFFIXES})$') AND length(title) >= 3),
+whole AS (
+  SELECT site_id, page_id, run_ts, pos, url, title FROM both_kinds WHERE pos < 21 AND length(title) >= 3
+  UNION ALL SELECT site_id, page_id, run_ts, pos, url, title FROM unexcluded)
+SELECT site_id, {_ts('run_ts')}, min(w.pos)::INTEGER AS pos, url, arg_min(title, w.pos) AS title
+FROM whole w JOIN (SELECT page_id, broken FROM dress) USING (page_id) WHERE NOT broken GROUP BY page_id, site_id, w.run_ts, url"""
+ORACLE["dressed_outcomes"] = f"""
+WITH {_DRESSED}
+SELECT site_id, {_ts('run_ts')}, CASE WHEN broken THEN 0 ELSE count(*) FILTER (way = 'own') END::INTEGER AS link_count, CASE WHEN broken THEN '解析エラー: ValueError' END AS error
+FROM both_kinds GROUP BY page_id, site_id, run_ts, broken"""
+ORACLE["same_site_links"] = f"""
+WITH {_DRESSED}
+SELECT site_id, {_ts('run_ts')}, x.pos::INTEGER AS pos, x.host AS link_host,
+  x.host = site_id OR ends_with(x.host, '.' || root) AS same_site,
+  x.host = site_id OR ends_with(x.host, '.' || root) OR x.host = 'partner.example' OR ends_with(x.host, '.partner.example') AS allowed FROM web"""
+ORACLE["titles_filled_later"] = f"""
+WITH {_DRESSED}, late AS (SELECT * FROM both_kinds WHERE pos = 14 AND NOT broken),
+seeds AS (SELECT site_id, min(run_ts) AS seed FROM page WHERE page_id % 17 <> 3 GROUP BY site_id)
+SELECT site_id, url, CASE WHEN max(title) = '' THEN '' ELSE 'Late' END AS title, CASE WHEN min(run_ts) > any_value(seed) THEN arg_min(title, run_ts) END AS item_title
+FROM late JOIN seeds USING (site_id) GROUP BY site_id, url"""
+ORACLE["page_bytes"] = ORACLE["page_links"]

@@ -10,6 +10,7 @@ from freshet import schemas
 from freshet.functions.text import blank_to_null
 from freshet.operators.detect import State
 from freshet.operators.report import in_document
+from freshet.sources import documents
 
 # Fixed value.
 STATE_VERSION = 1
@@ -115,9 +116,9 @@ def state_lines(state: State, updated_at: Column) -> DataFrame:
     return in_document([(one, [], head), (rows, [F.col("site_id")], F.concat(name, F.lit(":"), body)), (one, [], F.lit("}}"))])
 
 
-def write_state_document(state: State, path: str, updated_at: Column) -> None:
+def write_state_document(state: State, path: str, updated_at: Column, lines_per_part: int | None = None) -> None:
     """The state as one JSON document: the parts, in the order of their names, are its pieces."""
-    state_lines(state, updated_at).write.mode("overwrite").text(path)
+    documents.write_pieces(state_lines(state, updated_at), path, lines_per_part)
 
 
 def _timestamp(text: Column) -> Column:
@@ -169,14 +170,24 @@ def import_state_lines(spark: SparkSession, path: str) -> State:
     return _decode_sites(named.filter(blank_to_null(F.col("site_id")).isNotNull()))
 
 
+_HEAD, _TAIL = r'^\{"version":\d+,"updated_at":.*,"sites":\{$', "}}"
+
+
 def import_state_document(spark: SparkSession, path: str) -> State:
-    """State from one JSON document; a missing, broken or differently shaped file gives the empty state."""
-    try:
-        text = spark.read.text(path, wholetext=True)
-    except AnalysisException as missing:
-        if "PATH_NOT_FOUND" not in str(missing):
-            raise
+    """State from one JSON document.
+
+    A document of pieces, as ``write_state_document`` leaves it, is parsed a site at a time; a broken line in it raises, as does a
+    missing head or tail. Any other file is read whole: missing, broken or differently shaped, it gives the empty state.
+    """
+    lines = documents.read_pieces(spark, path)
+    if lines is None:
         return State.empty(spark)
+    if documents.in_pieces(lines, _HEAD, [_TAIL], path):
+        line = F.col("value")
+        inner = lines.filter(~line.rlike(_HEAD) & (line != _TAIL))
+        entry = F.from_json(F.concat(F.lit("{"), documents.record(line), F.lit("}")), "map<string,string>")
+        return _decode_sites(inner.select(F.explode(documents.valid(line, F.when(F.size(entry) > 0, entry), path)).alias("site_id", "raw")))
+    text = spark.read.text(path, wholetext=True)
     sites = (
         text.filter(F.try_parse_json("value").isNotNull())
         .select(F.from_json("value", "sites map<string,string>").alias("doc"))

@@ -345,7 +345,7 @@ def test_page_files(spark, tmp_path):
     assert succeeded(read_snapshots(spark, str(tmp_path / "snapshots"), F.lit(at(-1)))).count() == 1
 
 
-def test_read_log(spark, tmp_path):
+def test_read_log_documents(spark, tmp_path):
     assert feed_source.read_log(spark, str(tmp_path / "none")).count() == 0
     (tmp_path / "r.json").write_text('{"u": 1000, "v": 2500}')
     (tmp_path / "bad.json").write_text("nope")
@@ -407,3 +407,53 @@ def test_read_log(spark, tmp_path):
     out = log.mark_all(items, F.lit("v"), F.lit("2026-05-02 00:00:00").cast("timestamp"))
     assert sorted((r.url, r.read_at.day) for r in out.filter("reader_id = 'v'").collect()) == [("k", 2), ("x", 2)]
     assert log.version() == 2
+
+
+def test_documents_of_many_parts(spark, state, feed_parts, tmp_path):
+    """Parts of two lines: all comes back, and what is missing or broken raises."""
+    from pathlib import Path
+
+    import pytest
+    from pyspark.errors import PySparkException
+
+    from freshet.sources.documents import DamagedDocument
+
+    whole, parts = tmp_path / "state", tmp_path / "parts"
+    now = F.lit(at(9))
+    state_source.write_state_document(state, str(whole), now)
+    state_source.write_state_document(state, str(parts), now, lines_per_part=2)
+    files = sorted(parts.glob("part-*"))
+    assert len(files) > 1
+    back = state_source.import_state_document(spark, str(parts))
+    assert tables(back) == tables(state_source.import_state_document(spark, str(whole)))
+    assert back.sites.count() == state.sites.count() and back.known.count() == state.known.count()
+
+    feed = feed_parts[1]
+    doc = tmp_path / "feed"
+    feed_source.write_feed_document(feed, str(doc), now, lines_per_part=1)
+    again = feed_source.read_feed_document(spark, str(doc))
+    assert [r["site_id"] for r in again.sites.orderBy("result_ord").collect()] == [r["site_id"] for r in feed.sites.orderBy("result_ord").collect()]
+    assert again.timeline.count() == feed.timeline.count()
+
+    def damaged(change):
+        copy = tmp_path / f"copy{len(list(tmp_path.iterdir()))}"
+        copy.mkdir()
+        for file in files:
+            (copy / file.name).write_text(file.read_text())
+        change(copy, sorted(copy.glob("part-*")))
+        return str(copy)
+
+    def cut(folder: Path, names: list[Path]):
+        text = names[1].read_text()
+        names[1].write_text(text.rstrip("\n")[:-3] + "\n")
+
+    for change in (lambda folder, names: names[0].unlink(), lambda folder, names: names[-1].unlink(), lambda folder, names: [n.unlink() for n in names[1:-1]] and names[0].unlink()):
+        with pytest.raises(DamagedDocument):
+            state_source.import_state_document(spark, damaged(change))
+    with pytest.raises((PySparkException, DamagedDocument)):
+        tables(state_source.import_state_document(spark, damaged(cut)))
+    lost = sorted(doc.glob("part-*"))
+    site = next(file for file in lost if '"id":' in file.read_text() and "version" not in file.read_text())
+    site.unlink()
+    with pytest.raises(DamagedDocument):
+        feed_source.read_feed_document(spark, str(doc))
