@@ -11,7 +11,7 @@ from freshet.operators import maintain, report
 from freshet.operators.detect import Advance, State, advance, split_late
 from freshet.operators.extract import explode_links, extract, path_prefix_stats
 from freshet.session import stage
-from freshet.sources.feed import write_feed, write_feed_document
+from freshet.sources.feed import write_feed
 from freshet.sources.state import StateStore
 
 
@@ -50,9 +50,17 @@ def run(state: State, sites: DataFrame, snapshots: DataFrame, only: DataFrame |
         maintain.require_known(only, sites)
     # Times are kept to the second, as the exchanged state has them.
     snapshots = snapshots.withColumn("run_ts", F.date_trunc("second", "run_ts"))
-    pages, _ = stage(extract(snapshots, maintain.enabled_sites(sites, only)), "pages")
+    pages, folder = stage(extract(snapshots, maintain.enabled_sites(sites, only)), "pages")
     fresh, late = split_late(pages, state.sites)
-    return advance(state, fresh), late.select("site_id", "run_ts", "page_url", "error")
+    outcome = advance(state, fresh)
+    outcome.staged.append(folder)
+    return outcome, late.select("site_id", "run_ts", "page_url", "error")
+
+
+def _touched(store: StateStore, sites: DataFrame, targets: DataFrame) -> list[int]:
+    """The buckets of ``targets`` and of sites that are remembered but no longer configured."""
+    forgotten = store.load().sites.select("site_id").join(sites, "site_id", "left_anti")
+    return store.buckets_of(targets.select("site_id").unionByName(forgotten))
 
 
 def check(
@@ -65,30 +73,31 @@ def check(
 ) -> Check:
     """One run over the stored state. Writes the next state version and the feed, unless ``dry_run``.
 
-    A partial run (``only``) still gives a feed of all sites, with what is remembered of the others.
+    A partial run (``only``) still gives a feed of all sites, with what is remembered of the others; it reads and writes the
+    buckets of its sites alone.
     """
-    state = store.load()
-    if maintain.enabled_sites(sites, only).isEmpty():
+    wanted = maintain.enabled_sites(sites, only)
+    if wanted.isEmpty():
         raise NothingToCheck("no enabled site to check")
-    outcome, late = run(state, sites, snapshots, only)
+    buckets = None if only is None else _touched(store, sites, wanted)
+    outcome, late = run(store.load(buckets=buckets), sites, snapshots, only)
     if not dry_run:
         # The feed is built on the written version.
-        state = store.save(maintain.prune(outcome.state, sites))
+        state = store.save(maintain.prune(outcome.state, sites), buckets=buckets)
     else:
-        state = outcome.state
+        state = outcome.state if buckets is None else maintain.replace_sites(store.load(), outcome.state)
     feed = report.build_feed(outcome.results, sites, state)
     if feed_path is not None and not dry_run:
-        write_feed(feed, feed_path)
-        write_feed_document(feed, f"{feed_path}/document", F.current_timestamp())
+        write_feed(feed, feed_path, F.current_timestamp())
     return Check(outcome, state, feed, late, sites)
 
 
-def _republish(store: StateStore, state: State, sites: DataFrame, feed_path: str | None) -> report.Feed:
-    state = store.save(state)
+def _republish(store: StateStore, state: State, buckets: list[int] | None, sites: DataFrame, feed_path: str | None) -> report.Feed:
+    state = store.save(state, buckets=buckets)
     nothing = sites.sparkSession.createDataFrame([], "site_id string, link_count int, new_count int, seeded_now boolean")
     feed = report.build_feed(nothing, sites, state)
     if feed_path is not None:
-        write_feed(feed, feed_path)
+        write_feed(feed, feed_path, F.current_timestamp())
     return feed
 
 
@@ -98,9 +107,11 @@ def reset_history(
     """Clear the histories of the named sites, or of all; returns how many had any."""
     if only is not None:
         maintain.require_known(only, sites)
-    state, targets = store.load(), maintain.target_sites(sites, only)
+    targets = maintain.target_sites(sites, only)
+    buckets = None if only is None else store.buckets_of(targets)
+    state = store.load(buckets=buckets)
     cleared = maintain.resettable(state, targets).count()
-    return cleared, _republish(store, maintain.reset_history(state, targets), sites, feed_path)
+    return cleared, _republish(store, maintain.reset_history(state, targets), buckets, sites, feed_path)
 
 
 def refill(
@@ -109,8 +120,9 @@ def refill(
     """Let the next run report all it finds on the named sites, or on all; returns how many sites that is."""
     if only is not None:
         maintain.require_known(only, sites)
-    state, targets = store.load(), maintain.target_sites(sites, only)
-    return targets.count(), _republish(store, maintain.refill(state, targets), sites, feed_path)
+    targets = maintain.target_sites(sites, only)
+    buckets = None if only is None else store.buckets_of(targets)
+    return targets.count(), _republish(store, maintain.refill(store.load(buckets=buckets), targets), buckets, sites, feed_path)
 
 
 def inspect(snapshots: DataFrame, page_url: str | Column, selector: str | None = None, limit: int = 30) -> dict[str, DataFrame]:

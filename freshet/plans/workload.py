@@ -679,6 +679,47 @@ def checked_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return new_items_of(crawl.check(store, sites, after).outcome)
 
 
+@query
+def checked_in_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first half stored, then a run of some sites over the second: their buckets are rewritten, all known URLs are there."""
+    store, sites = state_source.StateStore(spark, scratch_folder(spark, "check"), buckets=4), site_list(spark, sf_dir)
+    before, after = halves(snapshots(spark, sf_dir))
+    crawl.check(store, sites, before)
+    crawl.check(store, sites, after, only=_targets(spark, sf_dir))
+    return in_text(store.load().known.select(*KNOWN), "first_seen")
+
+
+@query
+def feed_after_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first half stored and published, some sites reset: the timeline of the document that is published again."""
+    store, sites, path = state_source.StateStore(spark, scratch_folder(spark, "check")), site_list(spark, sf_dir), scratch_folder(spark, "feed")
+    crawl.check(store, sites, halves(snapshots(spark, sf_dir))[0], path)
+    crawl.reset_history(store, sites, path, _targets(spark, sf_dir))
+    items = feed_source.read_feed_document(spark, f"{feed_source.feed_folder(spark, path)}/document").timeline
+    return in_text(items.select("site_id", "title", "url", "first_seen", "ord"), "first_seen")
+
+
+@query
+def dry_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first half stored, the second looked at only: what it would report, and the number of the version that stays."""
+    store, sites = state_source.StateStore(spark, scratch_folder(spark, "check")), site_list(spark, sf_dir)
+    before, after = halves(snapshots(spark, sf_dir))
+    crawl.check(store, sites, before)
+    looked = crawl.check(store, sites, after, only=_targets(spark, sf_dir), dry_run=True)
+    return new_items_of(looked.outcome).withColumn("version", F.lit(store.version()))
+
+
+@query
+def replaced_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole history's state, with that of the first half put back for the maintained sites, disabled ones included."""
+    sites = site_list(spark, sf_dir)
+    pages, _ = stage(crawled(spark, sf_dir), "crawled")
+    targets = maintain.target_sites(sites, sites.filter(F.col("site_id").endswith(".org")))
+    old, new = replay(halves(pages)[0]).state, replay(pages).state
+    update = maintain.prune(old, targets)
+    return in_text(maintain.replace_sites(new, update).known.select(*KNOWN), "first_seen")
+
+
 @query
 def late_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first half of the history, then all of it: the job puts the first half aside."""

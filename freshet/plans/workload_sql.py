@@ -463,3 +463,32 @@ seeds AS (SELECT site_id, min(run_ts) AS seed FROM page WHERE page_id % 17 <> 3
 SELECT site_id, url, CASE WHEN max(title) = '' THEN '' ELSE 'Late' END AS title, CASE WHEN min(run_ts) > any_value(seed) THEN arg_min(title, run_ts) END AS item_title
 FROM late JOIN seeds USING (site_id) GROUP BY site_id, url"""
 ORACLE["page_bytes"] = ORACLE["page_links"]
+_FIRST_HALF = f"""
+first_half AS (SELECT * FROM link WHERE run_ts <= {_MIDDLE}),
+half_seed AS (SELECT site_id, min(run_ts) AS seed_ts FROM first_half GROUP BY site_id),
+half_known AS (
+  SELECT site_id, url, min(run_ts) AS first_seen, arg_min(pos, run_ts) AS pos, coalesce(arg_min(title, run_ts) FILTER (title <> ''), '') AS title,
+    arg_min(title, run_ts) AS first_title FROM first_half GROUP BY site_id, url)"""
+ORACLE["checked_in_part"] = f"""
+WITH {_replayed()}, {_FIRST_HALF}
+SELECT {_KNOWN} FROM sighting WHERE {_COM}
+UNION ALL SELECT {_KNOWN} FROM half_known WHERE NOT {_COM} AND site_id NOT LIKE '%.org'"""
+ORACLE["feed_after_reset"] = f"""
+WITH {_replayed()}, {_FIRST_HALF},
+item AS (
+  SELECT site_id, url, first_title AS title, first_seen, pos, row_number() OVER (PARTITION BY site_id ORDER BY first_seen DESC, pos) AS n
+  FROM half_known JOIN half_seed USING (site_id) WHERE first_seen > seed_ts AND NOT {_COM} AND site_id NOT LIKE '%.org'),
+shown AS (SELECT i.*, row_number() OVER (ORDER BY first_seen DESC, l.ord, n) - 1 AS place FROM item i JOIN listed l USING (site_id) WHERE n <= 50)
+SELECT site_id, title, url, {_ts('first_seen')}, place AS ord FROM shown WHERE place < 300"""
+ORACLE["dry_run"] = f"""
+WITH {_replayed()}, {_FIRST_HALF},
+late AS (
+  SELECT site_id, url, min(run_ts) AS first_seen, arg_min(pos, run_ts) AS pos, arg_min(title, run_ts) AS title FROM link
+  WHERE run_ts > {_MIDDLE} AND {_COM} GROUP BY site_id, url),
+seeds AS (SELECT site_id, min(run_ts) AS seed_ts FROM link GROUP BY site_id)
+SELECT {_NEW}, 0 AS version FROM late JOIN seeds USING (site_id)
+WHERE first_seen > seed_ts AND NOT EXISTS (SELECT 1 FROM half_known k WHERE k.site_id = late.site_id AND k.url = late.url)"""
+ORACLE["replaced_sites"] = f"""
+WITH {_replayed()}, {_FIRST_HALF}, org AS (SELECT DISTINCT site_id FROM page WHERE site_id LIKE '%.org' AND run_ts <= {_MIDDLE})
+SELECT {_KNOWN} FROM sighting WHERE site_id NOT IN (SELECT site_id FROM org)
+UNION ALL SELECT {_KNOWN} FROM half_known WHERE site_id IN (SELECT site_id FROM org)"""

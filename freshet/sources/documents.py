@@ -45,7 +45,9 @@ def in_pieces(lines: DataFrame, head: str, tail: list[str], path: str) -> bool:
     counts, at_ends = list(found[: len(marks)]), list(found[len(marks) :])
     if counts == [1] * len(marks) and at_ends == [True, True]:
         return True
-    if counts[0] == 0 and lines.filter(F.col("value").rlike(r'^,?["{].*\}$')).select("_file").distinct().count() <= 1:
+    # A document in one piece begins as one; a piece from within begins with a record, a comma or what closes a section.
+    begins = lines.agg(F.min_by("value", F.struct(*ORDER))).first()[0] or ""
+    if counts[0] == 0 and not begins.startswith((",", '"', "}", "]")) and lines.select("_file").distinct().count() <= 1:
         return False
     raise DamagedDocument(f"{path}: {counts[0]} heads, {counts[1:]} of the lines that close a section; these must be one each, at the ends")
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import time
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +14,7 @@ from freshet.operators.report import Feed, feed_lines
 from freshet.operators.topk import numbered
 from freshet.schemas import READS
 from freshet.sources import documents
+from freshet.sources.commits import Folder
 
 _SITE = (
     "id string, name string, url string, status string, error string, consecutive_errors int, last_checked string, "
@@ -21,15 +26,42 @@ _DOCUMENT = f"{_TOTALS}, sites array<struct<{_SITE}>>, timeline array<struct<{_E
 _HEAD, _BETWEEN, _TAIL = r'^\{"version":.*"sites":\[$', '],"timeline":[', "]}"
 
 
-def write_feed(feed: Feed, path: str) -> None:
-    """The feed as tables, however many sites it has."""
-    feed.sites.write.mode("overwrite").parquet(f"{path}/sites")
-    feed.timeline.write.mode("overwrite").parquet(f"{path}/timeline")
-    feed.totals.write.mode("overwrite").parquet(f"{path}/totals")
+_TABLES = ("sites", "timeline", "totals")
+_POINTER = "current.json"
+
+
+def write_feed(feed: Feed, path: str, generated_at: Column | None = None) -> None:
+    """The feed as tables, however many sites it has, and with ``generated_at`` as a document too.
+
+    All goes to a folder of its own; a pointer, replaced last, makes it the feed. Who reads meanwhile reads the one before.
+    """
+    spark = feed.sites.sparkSession
+    name = f"feed-{uuid.uuid4().hex}"
+    for table in _TABLES:
+        getattr(feed, table).write.parquet(f"{path}/{name}/{table}")
+    if generated_at is not None:
+        write_feed_document(feed, f"{path}/{name}/document", generated_at)
+    Folder(spark, path).write(_POINTER, json.dumps({"folder": name}), replace=True)
+
+
+def feed_folder(spark: SparkSession, path: str) -> str:
+    """Where the current feed's tables and its ``document`` are."""
+    return f"{path}/{json.loads(Folder(spark, path).read(_POINTER))['folder']}"
 
 
 def read_feed(spark: SparkSession, path: str) -> Feed:
-    return Feed(*(spark.read.parquet(f"{path}/{table}") for table in ("sites", "timeline", "totals")))
+    folder = feed_folder(spark, path)
+    return Feed(*(spark.read.parquet(f"{folder}/{table}") for table in _TABLES))
+
+
+def vacuum_feed(spark: SparkSession, path: str, older_than_hours: float = 24.0) -> list[str]:
+    """Delete feeds but the current one that are older than a reader or a writer may take."""
+    folder, current = Folder(spark, path), feed_folder(spark, path).rsplit("/", 1)[1]
+    old = folder.names(older_than_ms=int((time.time() - 3600 * older_than_hours) * 1000))
+    gone = [name for name in old if name.startswith("feed-") and name != current]
+    for name in gone:
+        folder.delete(name)
+    return gone
 
 
 def write_feed_document(feed: Feed, path: str, generated_at: Column, lines_per_part: int | None = None) -> None:

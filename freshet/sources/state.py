@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,57 +14,101 @@ from freshet.functions.text import blank_to_null
 from freshet.operators.detect import State
 from freshet.operators.report import in_document
 from freshet.sources import documents
+from freshet.sources.commits import CommitLog, Folder
 
 # Fixed value.
 STATE_VERSION = 1
 
-_COMMIT = "version bigint, source string, batch bigint"
 _TABLES = {"known": schemas.KNOWN, "recent": schemas.RECENT, "sites": schemas.SITE_STATE}
 
+#: Buckets of sites that a new store has.
+BUCKETS = 64
+#: Shares of a bucket's rows that are written by tasks of their own: a site with many known URLs is written by several.
+SHARES = 8
+
 
 class StateStore:
-    """Immutable versions of the state under one folder; a commit record, written last, makes a version current.
+    """Versions of the state under one folder, in buckets of sites.
 
-    A run that dies half-way leaves an uncommitted version behind, which the next attempt overwrites.
+    A version is a commit that names each bucket's folder. A run writes the buckets of the sites it touched; the others stay
+    where they are, named again. A commit is created only if nobody created that version before: of two runs that began
+    on one version, one fails. What a failed run wrote is named by no commit, and ``vacuum`` deletes it.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
+        self.spark, self.path, self._new_buckets = spark, path.rstrip("/"), buckets
+        self.commits = CommitLog(spark, f"{self.path}/commits")
+        self.data = Folder(spark, f"{self.path}/data")
+        self._base: int | None = None
 
-    def _commits(self) -> DataFrame | None:
-        try:
-            return self.spark.read.schema(_COMMIT).parquet(f"{self.path}/commits")
-        except AnalysisException as missing:
-            if "PATH_NOT_FOUND" not in str(missing):
-                raise
-            return None
+    def _record(self, version: int | None) -> dict:
+        if version is None:
+            return {"buckets": self._new_buckets, "sources": {}, "tables": {table: {} for table in _TABLES}}
+        return self.commits.read(version)
 
     def version(self) -> int | None:
         """The latest committed version, None before the first."""
-        commits = self._commits()
-        return None if commits is None else commits.agg(F.max("version")).first()[0]
+        return self.commits.latest()
 
     def holds(self, source: str, batch: int) -> bool:
         """Whether a batch of a source is already part of the state."""
-        commits = self._commits()
-        return commits is not None and not commits.filter((F.col("source") == source) & (F.col("batch") >= batch)).isEmpty()
+        return self._record(self.version())["sources"].get(source, -1) >= batch
 
-    def load(self, version: int | None = None) -> State:
-        version = self.version() if version is None else version
-        if version is None:
-            return State.empty(self.spark)
-        return State(*(self.spark.read.schema(s).parquet(f"{self.path}/v={version}/{t}") for t, s in _TABLES.items()))
+    def _bucket(self, n: int) -> Column:
+        return F.pmod(F.xxhash64("site_id"), F.lit(n)).cast("int")
 
-    def save(self, state: State, source: str | None = None, batch: int | None = None) -> State:
-        """Write and commit the next version; returns it as read back."""
-        current = self.version()
-        version = 0 if current is None else current + 1
+    def buckets_of(self, sites: DataFrame) -> list[int]:
+        """The buckets that hold the given sites: at most as many numbers as there are buckets."""
+        n = self._record(self.version())["buckets"]
+        return sorted(r[0] for r in sites.select(self._bucket(n)).distinct().collect())
+
+    def load(self, version: int | None = None, buckets: list[int] | None = None) -> State:
+        """A version, the latest by default, or some buckets of it. What is saved next is built on it."""
+        if version is None:
+            version = self._base = self.version()
+        tables = self._record(version)["tables"]
+        return State(*(self._read(schema, [f for b, f in tables[table].items() if buckets is None or int(b) in buckets]) for table, schema in _TABLES.items()))
+
+    def _read(self, schema: str, folders: list[str]) -> DataFrame:
+        if not folders:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*(f"{self.data.path}/{f}" for f in folders))
+
+    def save(self, state: State, source: str | None = None, batch: int | None = None, buckets: list[int] | None = None) -> State:
+        """Write and commit the version after the one loaded; returns it as read back. With ``buckets``, the state's rows of
+        these replace those stored, and the other buckets stay."""
+        base = self.version() if self._base is None else self._base
+        record, version = self._record(base), 0 if base is None else base + 1
+        name = f"{version:012d}-{uuid.uuid4().hex}"
+        n = record["buckets"]
         for table in _TABLES:
-            getattr(state, table).write.mode("overwrite").parquet(f"{self.path}/v={version}/{table}")
-        record = [F.lit(v).cast(t).alias(n) for v, (n, t) in zip((version, source, batch), (c.split() for c in _COMMIT.split(", ")))]
-        self.spark.range(1).select(*record).coalesce(1).write.mode("append").parquet(f"{self.path}/commits")
+            rows = getattr(state, table).withColumn("bucket", self._bucket(n))
+            if buckets is not None:
+                rows = rows.filter(F.col("bucket").isin(buckets))
+            share = F.pmod(F.xxhash64("url" if table == "known" else "site_id"), F.lit(SHARES))
+            rows.repartition("bucket", share).write.partitionBy("bucket").parquet(f"{self.data.path}/{name}/{table}")
+            written = [x.removeprefix("bucket=") for x in self.data.names(f"{name}/{table}") if x.startswith("bucket=")]
+            stays = {} if buckets is None else {b: f for b, f in record["tables"][table].items() if int(b) not in buckets}
+            record["tables"][table] = stays | {b: f"{name}/{table}/bucket={b}" for b in written}
+        if source is not None:
+            record["sources"][source] = batch
+        self.commits.append(version, record)
+        self._base = version
         return self.load(version)
 
+    def vacuum(self, keep: int = 2, older_than_hours: float = 24.0) -> list[str]:
+        """Delete versions but the last ``keep``, and the folders that no kept one names. Folders younger than a run may take
+        stay: a run that has not committed yet may have written them. Returns the folders deleted."""
+        versions = sorted(self.commits.versions())
+        for version in versions[:-keep]:
+            self.commits.forget(version)
+        named = {f.split("/")[0] for v in versions[-keep:] for table in self.commits.read(v)["tables"].values() for f in table.values()}
+        before = int((time.time() - 3600 * older_than_hours) * 1000)
+        gone = [name for name in self.data.names(older_than_ms=before) if name not in named]
+        for name in gone:
+            self.data.delete(name)
+        return gone
+
 
 def _iso(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'+00:00'")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from freshet.operators.detect import advance, split_late
@@ -28,19 +29,28 @@ class MicroBatch:
     def __init__(self, store: StateStore, source: str, output: str, sites: DataFrame | None, **settings: object):
         self.store, self.source, self.output, self.sites, self.settings = store, source, output, sites, settings
 
+    def _buckets(self, pages: DataFrame) -> list[int]:
+        """The buckets of state that the batch reads and writes: those of its sites, and of sites to forget."""
+        touched = pages.select("site_id")
+        if self.sites is not None:
+            touched = touched.unionByName(self.store.load().sites.select("site_id").join(self.sites, "site_id", "left_anti"))
+        return self.store.buckets_of(touched)
+
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         if self.store.holds(self.source, batch_id):
             return
-        state = self.store.load()
-        # Page texts are read once; what is late is told from the pages' own rows.
+        # Page texts are read once; what is late is told from the pages' own rows. Times are kept to the second, as in a job.
+        batch = batch.withColumn("run_ts", F.date_trunc("second", "run_ts"))
         pages, folder = stage(extract(batch, self.sites, **self.settings), "batch")
+        buckets = self._buckets(pages)
+        state = self.store.load(buckets=buckets)
         fresh, late = split_late(pages, state.sites)
         late.select("site_id", "run_ts", "page_url", "error").write.mode("overwrite").parquet(f"{self.output}/late/batch={batch_id}")
         outcome = advance(state, fresh)
         outcome.new_items.write.mode("overwrite").parquet(f"{self.output}/new_items/batch={batch_id}")
         outcome.results.write.mode("overwrite").parquet(f"{self.output}/results/batch={batch_id}")
         kept = outcome.state if self.sites is None else prune(outcome.state, self.sites)
-        self.store.save(kept, self.source, batch_id)
+        self.store.save(kept, self.source, batch_id, buckets)
         outcome.release()
         drop_staged(self.store.spark, folder)
 

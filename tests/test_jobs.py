@@ -457,3 +457,55 @@ def test_documents_of_many_parts(spark, state, feed_parts, tmp_path):
     site.unlink()
     with pytest.raises(DamagedDocument):
         feed_source.read_feed_document(spark, str(doc))
+
+
+def test_a_partial_run_leaves_other_buckets_alone(spark, tmp_path):
+    names = [f"s{i}" for i in range(12)]
+    many = spark.createDataFrame([(i, n, n, f"https://{n}.example/", True) for i, n in enumerate(names)], SITES)
+    store = state_source.StateStore(spark, str(tmp_path / "buckets"), buckets=6)
+    crawl.check(store, many, snapshots(spark, *[(n, 0, ["x", "y"]) for n in names]))
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "buckets" / "data").rglob("*.parquet")}
+    first = store.commits.read(0)["tables"]
+    crawl.check(store, many, snapshots(spark, ("s3", 1, ["z"])), only=named(spark, "s3"))
+    second = store.commits.read(1)["tables"]
+    bucket = str(store.buckets_of(named(spark, "s3"))[0])
+    for table in ("known", "sites"):
+        assert {b for b in first[table] if first[table][b] != second[table][b]} == {bucket}
+    assert all(p.stat().st_mtime_ns == t for p, t in before.items())
+    assert store.load().known.count() == 25 and ids(store.load().sites) == sorted(names)
+    # A site that is no longer configured goes, also in a partial run.
+    fewer = many.filter("site_id <> 's7'")
+    crawl.check(store, fewer, snapshots(spark, ("s3", 2, ["z"])), only=named(spark, "s3"))
+    assert ids(store.load().sites) == sorted(set(names) - {"s7"}) and "s7" not in ids(store.load().known)
+    held = tables(store.load())
+    assert store.vacuum(keep=1, older_than_hours=0) and tables(store.load()) == held and store.commits.versions() == [2]
+
+
+def test_of_two_writers_one_fails(spark, state, tmp_path):
+    from freshet.sources.commits import ConflictingWrite
+
+    one, two = (state_source.StateStore(spark, str(tmp_path / "race")) for _ in range(2))
+    one.save(state)
+    mine, theirs = one.load(), two.load()
+    one.save(maintain.refill(mine, named(spark, "a")))
+    with pytest.raises(ConflictingWrite):
+        two.save(maintain.refill(theirs, named(spark, "b")))
+    assert ids(one.load().known) == ["b"] and two.version() == 1
+    two.save(maintain.refill(two.load(), named(spark, "b")))
+    assert one.load().known.count() == 0
+
+
+def test_a_feed_is_whole_or_the_one_before(spark, feed_parts, tmp_path, monkeypatch):
+    path, feed = str(tmp_path / "versions"), feed_parts[1]
+    feed_source.write_feed(feed, path, F.lit(T0))
+    before = feed_source.feed_folder(spark, path)
+
+    def fails(*_):
+        raise RuntimeError("died half-way")
+
+    monkeypatch.setattr(feed_source, "write_feed_document", fails)
+    with pytest.raises(RuntimeError):
+        feed_source.write_feed(feed, path, F.lit(T0))
+    assert feed_source.feed_folder(spark, path) == before and feed_source.read_feed(spark, path).sites.count() == 3
+    assert len(feed_source.vacuum_feed(spark, path, older_than_hours=0)) == 1
+    assert feed_source.read_feed_document(spark, f"{before}/document").sites.count() == 3
