@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from freshet import schemas
 from freshet.functions.text import blank_to_null
 from freshet.operators.extract import explode_links
-from freshet.operators.overflow import events_of, fold_overflowing, known_after
+from freshet.operators.overflow import fold_overflowing
 from freshet.operators.topk import top_per_group
 from freshet.session import drop_staged, join_dimension, stage
 
@@ -232,11 +232,12 @@ def advance(state: State, pages: DataFrame) -> Advance:
             evict(merged, over.filter(F.col("ok_runs") <= 1)).select(*known_columns)
         )
         if not ordered.isEmpty():
-            folded, folder = stage(fold_overflowing(state.known, pages, ordered), "folded")
-            staged.append(folder)
-            known = known.unionByName(known_after(folded).select(*known_columns))
+            folded = fold_overflowing(state.known, pages, ordered)
+            staged += folded.staged
+            known = known.unionByName(folded.known.select(*known_columns))
             closed_form = join_dimension(new_items, ordered.select("site_id"), "site_id", "left_anti")
-            new_items = closed_form.unionByName(events_of(folded).select(*new_items.columns))
+            events = join_dimension(folded.events, seeds, "site_id").filter(F.col("was_seeded") | (F.col("first_seen") > F.col("first_ok")))
+            new_items = closed_form.unionByName(events.withColumn("pos", F.col("seq").cast("int")).select(*new_items.columns))
 
     outcome = Advance(state, pages, runs, known, new_items)
     outcome.staged += staged

@@ -265,7 +265,7 @@ def test_state_round_trips(spark, state, tmp_path):
         ]
 
 
-@pytest.mark.parametrize("content", ["{ not json", "[1]", '{"sites": 3}', "", '{"sites": {"a": 1}}'])
+@pytest.mark.parametrize("content", ["{\"sites\": {", "[1]", '{"sites": 3}', "", '{"sites": {"a": 1}}'])
 def test_broken_state_is_the_empty_state(spark, tmp_path, content):
     (tmp_path / "s.json").write_text(content)
     assert tables(state_source.import_state_document(spark, str(tmp_path / "s.json"))) == [[], [], []]
