@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from freshet.session import join_dimension
+from freshet.session import join_dimension, stage
 from freshet.functions.text import strip_text
 
 # Statuses worth another attempt, and the messages of a failed one.
@@ -37,16 +37,26 @@ def attempt_error(http_status: Column, failure: Column, timeout: Column) -> Colu
     )
 
 
+#: Outcomes (a few narrow columns each) are broadcast up to this many, after counting.
+BROADCAST_OUTCOMES = 500_000
+
+
 def with_outcomes(snapshots: DataFrame, attempts: DataFrame, sites: DataFrame) -> DataFrame:
     """Snapshots with the outcome of their fetch: each site's own retries and timeout decide, and a failure becomes the
-    snapshot's error. A run that left attempts but no page is a snapshot without a page."""
+    snapshot's error. A run that left attempts but no page is a snapshot without a page.
+
+    Outcomes go to the pages, not pages to the outcomes: what moves are keys, and page texts only where there are more
+    outcomes than can be broadcast.
+    """
     own = join_dimension(attempts, sites.select("site_id", "retries", "timeout"), "site_id")
     outcome = resolve_attempts(own, F.col("retries"), F.col("timeout")).select("site_id", "run_ts", "http_status", "error")
+    outcome, _ = stage(outcome, "outcomes")
     pages = snapshots.drop("http_status", "error")
-    joined = pages.join(outcome.withColumn("_tried", F.lit(True)), ["site_id", "run_ts"], "full_outer")
-    page_url = F.coalesce("page_url", "_home")
-    home = sites.select("site_id", F.col("url").alias("_home"))
-    return join_dimension(joined, home, "site_id", "left").withColumn("page_url", page_url).drop("_home", "_tried")
+    small = F.broadcast(outcome) if outcome.count() <= BROADCAST_OUTCOMES else outcome
+    fetched = pages.join(small, ["site_id", "run_ts"], "left")
+    home = sites.select("site_id", F.col("url").alias("page_url"))
+    lost = join_dimension(outcome.join(pages.select("site_id", "run_ts"), ["site_id", "run_ts"], "left_anti"), home, "site_id", "left")
+    return fetched.unionByName(lost, allowMissingColumns=True)
 
 
 def resolve_attempts(attempts: DataFrame, retries: int | Column = 2, timeout: int | Column = 20) -> DataFrame:

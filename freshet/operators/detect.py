@@ -294,3 +294,25 @@ def split_late(pages: DataFrame, site_state: DataFrame) -> tuple[DataFrame, Data
     marked = join_dimension(pages, site_state.select("site_id", "last_checked"), "site_id", "left")
     late = F.col("last_checked").isNotNull() & (F.col("run_ts") <= F.col("last_checked"))
     return marked.filter(~late).drop("last_checked"), marked.filter(late).drop("last_checked")
+
+
+def intake(pages: DataFrame, site_state: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The time rule of job and stream alike: what can be folded in, and what is put aside.
+
+    Times are kept to the second, as the exchanged state has them. Of several pages of a site in one second the last counts, by
+    its time before cutting, then by URL and outcome; the others are put aside, as are pages not after their site's last check.
+    ``pages`` is a written table.
+    """
+    second = F.date_trunc("second", "run_ts")
+    place = F.struct("run_ts", F.coalesce("page_url", F.lit("")).alias("page_url"), F.coalesce("error", F.lit("")).alias("error"), F.xxhash64("links").alias("links"))
+    seconds = pages.groupBy("site_id", second.alias("second")).agg(F.count("*").alias("n"), F.max(place).alias("last"))
+    # Few seconds of a site have more than one page: only their pages are told apart.
+    repeated = seconds.filter("n > 1").select("site_id", "second", "last")
+    marked = join_dimension(pages.withColumn("second", second), repeated, ["site_id", "second"], "left")
+    beaten = F.col("last").isNotNull() & (place != F.col("last"))
+    once = marked.withColumn("_beaten", beaten).drop("last")
+    once = once.withColumn("run_ts", F.col("second")).drop("second")
+    fresh, late = split_late(once.filter("NOT _beaten").drop("_beaten"), site_state)
+    # Repeated rows of the last page are one page.
+    fresh = fresh.dropDuplicates(["site_id", "run_ts"]) if not repeated.isEmpty() else fresh
+    return fresh, late.unionByName(once.filter("_beaten").drop("_beaten"))

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from freshet.operators import maintain, report
-from freshet.operators.detect import Advance, State, advance, split_late
+from freshet.operators.attempts import with_outcomes
+from freshet.operators.detect import Advance, State, advance, intake
 from freshet.operators.extract import explode_links, extract, path_prefix_stats
 from freshet.session import stage
 from freshet.sources.feed import write_feed
@@ -48,10 +49,8 @@ def run(state: State, sites: DataFrame, snapshots: DataFrame, only: DataFrame |
     """All sites of a run in one job, a site's failure being a row like any other; and the late pages."""
     if only is not None:
         maintain.require_known(only, sites)
-    # Times are kept to the second, as the exchanged state has them.
-    snapshots = snapshots.withColumn("run_ts", F.date_trunc("second", "run_ts"))
     pages, folder = stage(extract(snapshots, maintain.enabled_sites(sites, only)), "pages")
-    fresh, late = split_late(pages, state.sites)
+    fresh, late = intake(pages, state.sites)
     outcome = advance(state, fresh)
     outcome.staged.append(folder)
     return outcome, late.select("site_id", "run_ts", "page_url", "error")
@@ -70,16 +69,19 @@ def check(
     feed_path: str | None = None,
     only: DataFrame | None = None,
     dry_run: bool = False,
+    attempts: DataFrame | None = None,
 ) -> Check:
     """One run over the stored state. Writes the next state version and the feed, unless ``dry_run``.
 
     A partial run (``only``) still gives a feed of all sites, with what is remembered of the others; it reads and writes the
-    buckets of its sites alone.
+    buckets of its sites alone. With ``attempts``, the fetches' outcomes are told from them (see ``with_outcomes``).
     """
     wanted = maintain.enabled_sites(sites, only)
     if wanted.isEmpty():
         raise NothingToCheck("no enabled site to check")
     buckets = None if only is None else _touched(store, sites, wanted)
+    if attempts is not None:
+        snapshots = with_outcomes(snapshots, attempts, sites)
     outcome, late = run(store.load(buckets=buckets), sites, snapshots, only)
     if not dry_run:
         # The feed is built on the written version.

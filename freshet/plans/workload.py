@@ -699,6 +699,54 @@ def feed_after_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return in_text(items.select("site_id", "title", "url", "first_seen", "ord"), "first_seen")
 
 
+def _attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attempts at each page: every seventh never answers, every eleventh is missing, every fifth answers the second time."""
+    i = F.col("page_id")
+    tried = snapshots_of_pages(table(spark, sf_dir, "pages")).select("site_id", "run_ts", F.unix_timestamp("run_ts").alias("page_id"))
+
+    def tries(*outcomes: tuple[int | None, str | None]) -> Column:
+        made = [(F.lit(n), F.lit(status).cast("int"), F.lit(failure).cast("string")) for n, (status, failure) in enumerate(outcomes)]
+        return F.array(*[F.struct(n.alias("attempt"), status.alias("http_status"), failure.alias("failure")) for n, status, failure in made])
+
+    status = (
+        F.when(i % 7 == 0, tries((None, "Timeout"), (None, "Timeout"), (None, "Timeout"))).when(i % 11 == 0, tries((404, None)))
+        .when(i % 5 == 0, tries((503, None), (200, None))).otherwise(tries((200, None)))
+    )
+    return tried.select("site_id", "run_ts", F.inline(status))
+
+
+def _fetched_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_list(spark, sf_dir).withColumns({"retries": F.lit(2), "timeout": F.lit(20)})
+
+
+@query
+def attempts_to_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with the outcomes of their fetches; those that never came have no row among the snapshots."""
+    history = snapshots(spark, sf_dir).filter(F.unix_timestamp("run_ts") % 7 != 0)
+    joined = attempts.with_outcomes(history, _attempts(spark, sf_dir), _fetched_sites(spark, sf_dir))
+    pages = extract(joined, skip_navigation=False)
+    return in_text(pages.select("site_id", "run_ts", "link_count", "error"), "run_ts")
+
+
+@query
+def checked_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Site states after a job that was given the attempts."""
+    store, sites = state_source.StateStore(spark, scratch_folder(spark, "check")), _fetched_sites(spark, sf_dir)
+    return site_states(crawl.check(store, sites, snapshots(spark, sf_dir), attempts=_attempts(spark, sf_dir)).state.sites)
+
+
+@query
+def pages_within_a_second(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four pages of a site a second, in the job: the last counts, the others are put aside."""
+    store, sites = state_source.StateStore(spark, scratch_folder(spark, "check")), site_list(spark, sf_dir)
+    at = F.unix_timestamp("run_ts")
+    start = F.unix_timestamp(F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    quarter = F.timestamp_micros((start * 1_000_000 + (at - start) * 2_000).cast("bigint"))
+    done = crawl.check(store, sites, snapshots(spark, sf_dir).withColumn("run_ts", quarter))
+    late = done.late.groupBy("site_id").agg(F.count("*").alias("aside"))
+    return in_text(done.state.sites.join(late, "site_id", "left").select("site_id", "last_checked", "aside"), "last_checked")
+
+
 @query
 def dry_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first half stored, the second looked at only: what it would report, and the number of the version that stays."""
@@ -742,6 +790,17 @@ def read_log_after_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return in_text(log.mark(events.filter("event_id % 2 = 1").drop("event_id")), "read_at")
 
 
+@query
+def read_log_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same marks, with the log compacted between them and after."""
+    log, events = ReadLog(spark, scratch_folder(spark, "reads"), 20), _reads(spark, sf_dir)
+    log.mark(events.filter("event_id % 2 = 0").drop("event_id"))
+    log.compact()
+    log.mark(events.filter("event_id % 2 = 1").drop("event_id"))
+    log.compact()
+    return in_text(log.load(), "read_at")
+
+
 @query
 def stream_new_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The two halves of the history arriving one after the other as snapshot files."""

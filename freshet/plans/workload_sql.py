@@ -492,3 +492,26 @@ ORACLE["replaced_sites"] = f"""
 WITH {_replayed()}, {_FIRST_HALF}, org AS (SELECT DISTINCT site_id FROM page WHERE site_id LIKE '%.org' AND run_ts <= {_MIDDLE})
 SELECT {_KNOWN} FROM sighting WHERE site_id NOT IN (SELECT site_id FROM org)
 UNION ALL SELECT {_KNOWN} FROM half_known WHERE site_id IN (SELECT site_id FROM org)"""
+# Outcomes as ``_attempts`` in the queries makes them; the epoch's second of a page is its id and the first run's second.
+_TRIED = f"""
+moment AS (SELECT *, epoch(run_ts)::BIGINT AS e FROM page),
+told AS (
+  SELECT a.page_id, a.site_id, a.run_ts, a.e, CASE WHEN e % 7 = 0 THEN 'タイムアウト（20秒）' WHEN e % 11 = 0 THEN 'HTTP 404' WHEN n IS NULL THEN '{_NO_LINKS}' END AS error, coalesce(n, 0) AS n
+  FROM moment a LEFT JOIN (SELECT page_id, count(*) AS n FROM link GROUP BY page_id) c USING (page_id))"""
+ORACLE["attempts_to_pages"] = f"""
+WITH {_links()}, {_TRIED}
+SELECT site_id, {_ts('run_ts')}, CASE WHEN error IS NULL THEN n ELSE 0 END::INTEGER AS link_count, error FROM told"""
+ORACLE["checked_attempts"] = f"""
+WITH {_links()}, {_TRIED}, span AS (SELECT site_id, min(run_ts) AS first_ok, max(run_ts) AS last_ok FROM told WHERE error IS NULL GROUP BY site_id),
+seen AS (SELECT l.site_id, url, min(l.run_ts) AS first_seen FROM link l JOIN told t USING (page_id) WHERE t.error IS NULL GROUP BY l.site_id, url),
+site AS (
+  SELECT t.site_id, any_value(last_ok) IS NOT NULL AS seeded, any_value(first_ok) AS first_checked, max(t.run_ts) AS last_checked,
+    (SELECT max(first_seen) FROM seen WHERE seen.site_id = t.site_id AND seen.first_seen > any_value(s.first_ok)) AS last_update,
+    CASE WHEN max(t.run_ts) = any_value(last_ok) THEN 'ok' ELSE 'error' END AS last_status, arg_max({{'e': t.error}}, t.run_ts).e AS last_error,
+    count(*) FILTER (last_ok IS NULL OR t.run_ts > last_ok)::INTEGER AS consecutive_errors
+  FROM told t LEFT JOIN span s USING (site_id) WHERE t.site_id NOT LIKE '%.org' GROUP BY t.site_id)
+SELECT {_SITE} FROM site"""
+ORACLE["pages_within_a_second"] = f"""
+WITH {_PAGE}, sec AS (SELECT site_id, page_id // 500 AS s, count(*) AS n FROM page WHERE site_id NOT LIKE '%.org' GROUP BY 1, 2)
+SELECT site_id, strftime(TIMESTAMP '2024-01-01 00:00:00' + to_seconds(max(s)), '%Y-%m-%d %H:%M:%S') AS last_checked, nullif(sum(n - 1), 0)::BIGINT AS aside FROM sec GROUP BY site_id"""
+ORACLE["read_log_compacted"] = ORACLE["read_log_after_marks"]

@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from freshet.operators.detect import advance, split_late
+from freshet.operators.detect import advance, intake
 from freshet.operators.extract import extract
 from freshet.operators.maintain import prune
 from freshet.schemas import SNAPSHOTS
@@ -39,12 +38,11 @@ class MicroBatch:
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         if self.store.holds(self.source, batch_id):
             return
-        # Page texts are read once; what is late is told from the pages' own rows. Times are kept to the second, as in a job.
-        batch = batch.withColumn("run_ts", F.date_trunc("second", "run_ts"))
+        # Page texts are read once; what is late is told from the pages' own rows.
         pages, folder = stage(extract(batch, self.sites, **self.settings), "batch")
         buckets = self._buckets(pages)
         state = self.store.load(buckets=buckets)
-        fresh, late = split_late(pages, state.sites)
+        fresh, late = intake(pages, state.sites)
         late.select("site_id", "run_ts", "page_url", "error").write.mode("overwrite").parquet(f"{self.output}/late/batch={batch_id}")
         outcome = advance(state, fresh)
         outcome.new_items.write.mode("overwrite").parquet(f"{self.output}/new_items/batch={batch_id}")

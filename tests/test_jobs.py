@@ -509,3 +509,66 @@ def test_a_feed_is_whole_or_the_one_before(spark, feed_parts, tmp_path, monkeypa
     assert feed_source.feed_folder(spark, path) == before and feed_source.read_feed(spark, path).sites.count() == 3
     assert len(feed_source.vacuum_feed(spark, path, older_than_hours=0)) == 1
     assert feed_source.read_feed_document(spark, f"{before}/document").sites.count() == 3
+
+
+def test_a_click_writes_one_small_file(spark, tmp_path):
+    from freshet.sources.reads import ReadLog
+
+    def clicks(*rows):
+        return spark.createDataFrame([(r, u, at(n)) for r, u, n in rows], "reader_id string, url string, read_at timestamp")
+
+    def files():
+        return {p for p in (tmp_path / "reads" / "data").rglob("*.parquet")}
+
+    log = ReadLog(spark, str(tmp_path / "reads"), limit=3, compact_after=4)
+    log.mark(clicks(*[(f"r{i}", f"u{k}", k) for i in range(9) for k in range(5)]))
+    log.compact()
+    before = files()
+    log.mark(clicks(("r1", "new", 50)))
+    assert len(files() - before) == 1
+    # Two writers at once: both marks land.
+    other = ReadLog(spark, str(tmp_path / "reads"), limit=3, compact_after=4)
+    version = log.version()
+    log.version = lambda: version  # what it saw before the other committed
+    other.mark(clicks(("r2", "theirs", 60)))
+    del log.version
+    out = log.mark(clicks(("r1", "mine", 70), ("r1", "u4", 80)))
+    got = {r: sorted(x["url"] for x in out.collect() if x["reader_id"] == r) for r in ("r0", "r1", "r2")}
+    # A URL that is read keeps its time, so that newer ones drive it out.
+    assert got == {"r0": ["u2", "u3", "u4"], "r1": ["mine", "new", "u4"], "r2": ["theirs", "u3", "u4"]}
+    again = log.mark(clicks(("r5", "last", 90)))
+    assert log._record(log.version())["marks"] == [] and again.filter("reader_id = 'r1'").count() == 3
+
+
+def test_one_time_rule_for_job_and_stream(spark, tmp_path):
+    """Several pages of a site in one second, some of them twice: the last counts, in the job as in the stream."""
+    rows = [("a", 0, 100, ["x"]), ("a", 0, 700, ["y"]), ("a", 0, 700, ["y"]), ("a", 0, 400, "HTTP 500"), ("b", 0, 0, ["p"]), ("a", 5, 300, ["z", "y"]), ("a", 5, 200, ["q"])]
+    made = [
+        (site, T0 + timedelta(seconds=second, milliseconds=ms), f"https://{site}.example/", "".join(f"<a href=/{s}>{s}</a>" for s in found) if isinstance(found, list) else None,
+         None if isinstance(found, list) else found)
+        for site, second, ms, found in rows
+    ]
+    pages = spark.createDataFrame(made, "site_id string, run_ts timestamp, page_url string, html string, error string")
+    configured = spark.createDataFrame([(0, "a", "a", "https://a.example/", True), (1, "b", "b", "https://b.example/", True)], SITES)
+    job, stream = (state_source.StateStore(spark, str(tmp_path / n)) for n in ("job", "stream"))
+    done = crawl.check(job, configured, pages)
+    assert [r["url"] for r in done.outcome.new_items.collect()] == ["https://a.example/z"] and done.late.count() == 3
+    continuous.MicroBatch(stream, "s", str(tmp_path / "out"), configured)(pages, 0)
+    assert tables(stream.load()) == tables(job.load()) and spark.read.parquet(str(tmp_path / "out" / "late")).count() == 3
+    assert sorted(job.load().known.select("url").toPandas()["url"]) == ["https://a.example/y", "https://a.example/z", "https://b.example/p"]
+
+
+def test_a_batch_writes_the_buckets_of_its_sites(spark, tmp_path):
+    store = state_source.StateStore(spark, str(tmp_path / "wide"), buckets=16)
+    batch = continuous.MicroBatch(store, "s", str(tmp_path / "out"), None)
+    batch(snapshots(spark, *[(f"s{i}", 0, [f"{k}" for k in range(30)]) for i in range(40)]), 0)
+
+    def size():
+        return sum(p.stat().st_size for p in (tmp_path / "wide" / "data").rglob("*.parquet"))
+
+    whole = size()
+    batch(snapshots(spark, ("s7", 1, ["new"])), 1)
+    assert size() - whole < whole / 4 and store.load().known.count() == 1201
+    bucket = store.buckets_of(named(spark, "s7"))
+    first, second = (store.commits.read(v)["tables"]["known"] for v in (0, 1))
+    assert [int(b) for b in first if first[b] != second[b]] == bucket
