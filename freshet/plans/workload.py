@@ -20,6 +20,7 @@ from freshet.session import scratch_folder, stage
 from freshet.sources import feed as feed_source
 from freshet.sources import state as state_source
 from freshet.sources.reads import ReadLog
+from freshet.sources.search import SearchIndex
 from freshet.sources.snapshots import snapshots_of_pages
 from freshet.streaming import continuous
 
@@ -481,6 +482,24 @@ def site_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reader.search_sites(rows_of(spark, sf_dir, outcome), outcome.recent, "Tion").select("site_id")
 
 
+@query
+def site_search_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same search, items found through the index."""
+    outcome = replay(crawled(spark, sf_dir))
+    rows = rows_of(spark, sf_dir, outcome)
+    found = SearchIndex(spark, scratch_folder(spark, "search")).build(outcome.recent).search("Tion")
+    own = rows.filter(text.matches_query(F.concat_ws(" ", "name", "url"), "Tion")).select("site_id")
+    return own.unionByName(found.select("site_id")).distinct()
+
+
+@query
+def card_items_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The unread items on the cards that hold a query, found through the index."""
+    outcome = replay(crawled(spark, sf_dir))
+    found = SearchIndex(spark, scratch_folder(spark, "search")).build(outcome.recent).search(" THe ")
+    return reader.card_items(found, read_urls(outcome), "", unread_only=True).select("site_id", "ord", "display_title")
+
+
 @query
 def site_badges(spark: SparkSession, sf_dir: str) -> DataFrame:
     outcome = replay(crawled(spark, sf_dir, include=["/th", "/e"]))

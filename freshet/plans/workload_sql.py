@@ -515,3 +515,7 @@ ORACLE["pages_within_a_second"] = f"""
 WITH {_PAGE}, sec AS (SELECT site_id, page_id // 500 AS s, count(*) AS n FROM page WHERE site_id NOT LIKE '%.org' GROUP BY 1, 2)
 SELECT site_id, strftime(TIMESTAMP '2024-01-01 00:00:00' + to_seconds(max(s)), '%Y-%m-%d %H:%M:%S') AS last_checked, nullif(sum(n - 1), 0)::BIGINT AS aside FROM sec GROUP BY site_id"""
 ORACLE["read_log_compacted"] = ORACLE["read_log_after_marks"]
+ORACLE["site_search_indexed"] = ORACLE["site_search"]
+ORACLE["card_items_indexed"] = f"""
+WITH {_replayed()} SELECT site_id, ord, title AS display_title FROM recent
+WHERE url NOT IN (SELECT url FROM reads) AND contains(lower(title), 'the')"""
