@@ -174,10 +174,12 @@ def _page_steps() -> list[dict[str, Column]]:
     ]
 
 
-def links_of(parsed: DataFrame) -> DataFrame:
-    """From parsed pages to ``links``, ``link_count`` and ``error`` per page."""
+def links_of(parsed: DataFrame, may_select: bool = True) -> DataFrame:
+    """From parsed pages to ``links``, ``link_count`` and ``error`` per page. Without ``may_select`` no page has a selector, and
+    nothing of it is planned."""
     page = parsed
-    for step in _page_steps():
+    steps = _page_steps() if may_select else [{"_unsupported": F.lit(False), "_chosen": F.col("anchors")}, *_page_steps()[3:]]
+    for step in steps:
         page = page.withColumns(step)
     # A generator of one row: Catalyst substitutes no filter on these columns through it. Without it, each later
     # filter (explode adds its own) would evaluate the whole chain above once more.
@@ -191,7 +193,8 @@ def extract(snapshots: DataFrame, sites: DataFrame | None = None, **settings: ob
     error = F.col("error") if "error" in snapshots.columns else F.lit(None).cast("string").alias("error")
     pages = spread(snapshots.select("site_id", "run_ts", "page_url", *sources, error), "site_id", "run_ts")
     pages = with_settings(pages, sites, **settings)
-    return links_of(parse_pages(pages))
+    may_select = settings.get("selector") is not None or ("selector" not in settings and sites is not None and "selector" in sites.columns)
+    return links_of(parse_pages(pages), may_select)
 
 
 def explode_links(pages: DataFrame) -> DataFrame:
