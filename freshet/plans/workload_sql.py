@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from freshet.functions.urls import TRACKING_PARAMS
+from freshet.operators import reader, report
 from freshet.operators.extract import DEFAULT_EXCLUDES, NO_LINKS, SKIP_SUFFIXES
 
 _SUFFIXES = "|".join(SKIP_SUFFIXES)
 _EXCLUDED = "|".join(DEFAULT_EXCLUDES)
 _NO_LINKS = NO_LINKS
+_TRACKING = ", ".join(f"'{name}'" for name in TRACKING_PARAMS)
 
 # Pages as runs, and the anchors of each with their order. Every href of these pages is a rooted path.
 _PAGE = r"""
@@ -135,13 +138,13 @@ WITH {_links()}, counted AS (
   SELECT p.site_id, p.run_ts, CASE WHEN p.site_id LIKE '%.net' THEN 0 ELSE count(l.url) END AS n
   FROM page p LEFT JOIN link l USING (page_id) WHERE p.site_id NOT LIKE '%.org' GROUP BY p.page_id, p.site_id, p.run_ts)
 SELECT site_id, {_ts("run_ts")}, n::INTEGER AS link_count, CASE WHEN n = 0 THEN '{_NO_LINKS}' END AS error FROM counted""",
-    "canonical_urls": r"""
+    "canonical_urls": rf"""
 WITH part AS (
   SELECT page_id, lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) AS scheme, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)) AS host,
          regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '\?([^#]*)', 1) AS query
   FROM pages), cleaned AS (
   SELECT *, array_to_string(list_filter(string_split(query, '&'), lambda x: x <> '' AND NOT starts_with(lower(x), 'utm_')
-    AND split_part(lower(x), '=', 1) NOT IN ('fbclid', 'gclid', 'mc_cid', 'mc_eid', 'yclid', 'igshid', '_ga')), '&') AS q
+    AND split_part(lower(x), '=', 1) NOT IN ({_TRACKING})), '&') AS q
   FROM part)
 SELECT page_id, scheme || '://' || host || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN q = '' THEN '' ELSE '?' || q END AS canonical_url
 FROM cleaned""",
@@ -265,7 +268,7 @@ SELECT count(*) AS site_count, sum(new_count)::BIGINT AS new_count, count(*) FIL
     "run_summary": f"""
 WITH {_replayed(_INCLUDE)}
 SELECT site_id,
-  CASE WHEN status = 'error' THEN '失敗' WHEN seeded_now THEN '初回' WHEN new_count > 0 THEN '新着' ELSE '更新なし' END AS label,
+  CASE WHEN status = 'error' THEN '{report.FAILED}' WHEN seeded_now THEN '{report.FIRST_RUN}' WHEN new_count > 0 THEN '{report.FOUND_NEW}' ELSE '{report.UNCHANGED}' END AS label,
   CASE WHEN status = 'error' THEN error WHEN seeded_now THEN link_count || '件のリンクを記録（新着判定は次回から）'
        WHEN new_count > 0 THEN new_count || '件' ELSE '' END AS detail, ord,
   row_number() OVER (ORDER BY status <> 'error', new_count DESC, ord) AS summary_ord
@@ -296,7 +299,7 @@ WHERE contains(lower(s.site_id || ' https://' || s.site_id || '/'), 'tion')
     "site_badges": f"""
 WITH {_replayed(_INCLUDE)}
 SELECT s.site_id,
-  CASE WHEN status = 'error' THEN 'エラー' WHEN r.seeded_now THEN '登録済み' WHEN coalesce(unread, 0) > 0 THEN '未読 ' || unread ELSE '更新なし' END AS badge,
+  CASE WHEN status = 'error' THEN '{reader.BADGE_ERROR}' WHEN r.seeded_now THEN '{reader.BADGE_SEEDED}' WHEN coalesce(unread, 0) > 0 THEN '{reader.BADGE_UNREAD[:-2]}' || unread ELSE '{reader.BADGE_NONE}' END AS badge,
   coalesce(unread, 0) > 0 OR status = 'error' AS is_open,
   CASE WHEN status = 'error' THEN '取得に失敗しました: ' || r.error || CASE WHEN s.consecutive_errors > 1 THEN '（' || s.consecutive_errors || '回連続）' ELSE '' END
        WHEN r.seeded_now THEN '初回巡回のため ' || r.link_count || ' 件のリンクを記録しました。新着の検知は次回からです。' END AS message
