@@ -127,7 +127,7 @@ _LONGEST_KEPT = 48
 #: Pieces that a worker process remembers; with their ids they take about 50 bytes each.
 _MOST_KEPT = 1_000_000
 #: Bytes of text encoded in one go: the more, the fewer distinct pieces a byte has.
-_ENCODE_BYTES = 8 << 20
+_ENCODE_BYTES = 4 << 20
 
 
 class Encoder:
