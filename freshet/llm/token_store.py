@@ -19,9 +19,11 @@ import re
 import struct
 import uuid
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from typing import ClassVar
+from functools import cache
+from itertools import chain
+from typing import TYPE_CHECKING, ClassVar
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +36,9 @@ from pyspark.sql import types as T
 from freshet.llm.common import Batches, commit_file, count_rows, gathered, map_texts, open_folder
 from freshet.session import scratch_folder
 
+if TYPE_CHECKING:
+    from tokenizers import Tokenizer
+
 DOCS_PER_SHARD = 8192
 SAMPLE_EVERY = 256
 TRAILER = "<6sBBqqqqqq"
@@ -122,125 +127,166 @@ class EliasFano:
 _MARK = "\x01"
 _SPACE = r"[\s\p{Z}\x0b\x1c-\x1f\x85]"
 _UNCUT = _SPACE + r"[ \n](?:" + _SPACE + r"|\z)|\x01"
-_SIGNS = frozenset(",.;:!?")
+#: A sign after a letter or digit is a token of its own: it is split off.
+_SIGNED = r"[\p{L}\p{N}][,.;:!?]\z"
 _LONGEST_KEPT = 48
-#: Pieces that a worker process remembers; with their ids they take about 50 bytes each.
+#: Pieces that a worker process remembers; with their ids they take about 30 bytes each.
 _MOST_KEPT = 1_000_000
 #: Bytes of text encoded in one go: the more, the fewer distinct pieces a byte has.
 _ENCODE_BYTES = 4 << 20
+#: Pieces given to the library in one go, which takes about a kilobyte for each until their ids are read.
+_LEARN_PIECES = 2048
+#: Pieces whose ids are gathered in one go.
+_GATHER_PIECES = 1 << 16
+
+
+@cache
+def _tokenizer(vocabulary: str) -> Tokenizer:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(vocabulary)
 
 
 class Encoder:
     """The tokenizers library behind a bounded memory of pieces: words repeat, and encoding one is slow.
 
     The memory is columns: the pieces as an Arrow array, their ids one after the other. A batch's distinct pieces are
-    looked up in one call, and its ids gathered in another; only pieces that are new become Python strings. Tasks take
-    their encoder from ``Encoder.of``: a worker process serves many tasks, and what it learnt in one holds in the next.
+    looked up in one call, and its ids gathered some pieces at a time; only pieces that are new become Python strings,
+    again some at a time. Tasks take their encoder from ``Encoder.of``: a worker process serves many tasks, and what it
+    learnt in one holds in the next.
     """
 
-    _of: ClassVar[dict[tuple[str, int | None], Encoder]] = {}
+    _of: ClassVar[dict[tuple[str, int], Encoder]] = {}
 
     @staticmethod
     def of(vocabulary: str, id_bytes: int | None = None) -> Encoder:
         """This process's encoder. Without ``id_bytes``, two bytes an id where the vocabulary fits into them, else four."""
+        if id_bytes is None:
+            id_bytes = 2 if _tokenizer(vocabulary).get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         if (vocabulary, id_bytes) not in Encoder._of:
-            made = Encoder(vocabulary, id_bytes or 4)
-            if id_bytes is None:
-                width = 2 if made.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
-                made = Encoder.of(vocabulary, width)
-            Encoder._of[vocabulary, id_bytes] = made
+            Encoder._of[vocabulary, id_bytes] = Encoder(vocabulary, id_bytes)
         return Encoder._of[vocabulary, id_bytes]
 
     def __init__(self, vocabulary: str, id_bytes: int) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(vocabulary)
+        self.tokenizer = _tokenizer(vocabulary)
         self.code = np.dtype("<u2" if id_bytes == 2 else "<u4")
         self.added = {token.content: number for number, token in self.tokenizer.get_added_tokens_decoder().items()}
         self.uncut = "|".join([_UNCUT, *map(re.escape, self.added)])
         self.kept = pa.array([], pa.string())
         self.ids = np.zeros(0, self.code)
-        self.ends = np.zeros(1, np.int64)  # of each piece's ids, after a 0
-        self.used = np.zeros(0, np.int64)
+        self.ends = np.zeros(1, np.int32)  # of each piece's ids, after a 0
+        self.used = np.zeros(0, np.int32)
         self.turn = 0
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.code).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces that aren't in memory. A sign after a letter or digit is a token of its own: it is split off."""
-        cores = [p[:-1] if p[-1:] in _SIGNS and p[-2:-1].isalnum() else p for p in pieces]
-        wanted = list(dict.fromkeys([*cores, *_SIGNS]))
-        at = pc.index_in(pa.array(wanted, pa.string()), value_set=self.kept).to_pylist()
-        ends = self.ends
-        found = {core: self.ids[ends[i] : ends[i + 1]].tobytes() for core, i in zip(wanted, at, strict=True) if i is not None}
-        new = [core for core, i in zip(wanted, at, strict=True) if i is None]
-        found.update(zip(new, self._encode(new), strict=True))
-        ids = [found[core] if core is p else found[core] + found[p[-1]] for p, core in zip(pieces, cores, strict=True)]
-        known = dict(zip(pieces, ids, strict=True))
-        known.update((core, found[core]) for core in new)
-        self._keep([(p, v) for p, v in known.items() if len(p) <= _LONGEST_KEPT])
-        return ids
-
-    def _keep(self, known: list[tuple[str, bytes]]) -> None:
+    def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The library's ids of all texts, one after the other, and how many each has."""
+        data, counts = [np.zeros(0, self.code)], [np.zeros(0, np.int32)]
+        for at in range(0, len(texts), _LEARN_PIECES):
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(texts.slice(at, _LEARN_PIECES).to_pylist(), add_special_tokens=False)]
+            counts.append(np.fromiter(map(len, found), np.int32, len(found)))
+            data.append(np.fromiter(chain.from_iterable(found), self.code, int(counts[-1].sum())))
+        return np.concatenate(data), np.concatenate(counts)
+
+    def _keep(self, pieces: pa.Array, ids: np.ndarray, lengths: np.ndarray) -> None:
         """Remember pieces; beyond the limit the less recently used half goes first."""
-        if len(self.kept) + len(known) > _MOST_KEPT:
-            stay = np.sort(np.argsort(self.used, kind="stable")[len(self.kept) // 2 + len(known) :])
-            lengths = np.diff(self.ends)[stay]
-            self.ids = self.ids[_runs(self.ends[stay], lengths)]
-            self.ends = np.concatenate([[0], np.cumsum(lengths)])
+        short = pc.less_equal(pc.utf8_length(pieces), _LONGEST_KEPT).to_numpy(zero_copy_only=False)
+        ids, pieces, lengths = ids[np.repeat(short, lengths)], pieces.filter(pa.array(short)), lengths[short]
+        if len(self.kept) + len(pieces) > _MOST_KEPT:
+            stay = np.sort(np.argsort(self.used, kind="stable")[len(self.kept) // 2 + len(pieces) :])
+            left = np.diff(self.ends)[stay]
+            self.ids = self.ids[_runs(self.ends[stay], left)]
+            self.ends = np.concatenate([[0], np.cumsum(left)]).astype(np.int32)
             self.kept, self.used = self.kept.take(pa.array(stay)), self.used[stay]
-        self.kept = pa.concat_arrays([self.kept, pa.array([p for p, _ in known], pa.string())])
-        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(v for _, v in known), self.code)])
-        lengths = np.fromiter((len(v) for _, v in known), np.int64, len(known)) // self.code.itemsize
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(lengths)])
-        self.used = np.concatenate([self.used, np.full(len(known), self.turn)])
-
-    def encode_array(self, texts: pa.Array) -> tuple[bytes, np.ndarray]:
-        """The ids of all texts, one after the other, and the number of each text's ids. Null counts as empty."""
+        self.kept = pa.concat_arrays([self.kept, pieces])
+        self.ids = np.concatenate([self.ids, ids])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(lengths, dtype=np.int32)])
+        self.used = np.concatenate([self.used, np.full(len(pieces), self.turn, np.int32)])
+
+    def _look_up(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where the ids of distinct pieces are: an array of ids, where each piece's begin, and how many they are."""
+        # The hash table is one of the pieces asked for, which are fewer than those remembered.
+        found = pc.index_in(self.kept, value_set=pieces)
+        place = np.flatnonzero(found.is_valid().to_numpy(zero_copy_only=False))
+        old = found.drop_null().to_numpy()
+        self.used[place] = self.turn
+        ids, begins, lengths = self.ids, np.zeros(len(pieces), np.int64), np.full(len(pieces), -1, np.int64)
+        begins[old], lengths[old] = self.ends[place], self.ends[place + 1] - self.ends[place]
+        fresh = np.flatnonzero(lengths < 0)
+        if len(fresh):
+            new = pieces.take(pa.array(fresh))
+            learnt, n = self._encode(new)
+            begins[fresh], lengths[fresh] = len(ids) + np.cumsum(n) - n, n
+            ids = np.concatenate([ids, learnt])
+            self._keep(new, learnt, n)
+        return ids, begins, lengths
+
+    def _cut(self, texts: pa.Array) -> pa.Array:
+        marked = pc.replace_substring(texts, " ", _MARK + " ")
+        return pc.split_pattern(pc.replace_substring(marked, "\n", _MARK + "\n"), _MARK)
+
+    def _encoded(self, texts: pa.Array) -> tuple[Iterator[np.ndarray], np.ndarray]:
+        """The ids of all texts, some at a time, and the number of each text's ids. Null counts as empty."""
         self.turn += 1
         texts = pc.fill_null(texts, "")
         odd = np.flatnonzero(pc.match_substring_regex(texts, self.uncut).to_numpy(zero_copy_only=False))
-        apart: list[bytes] = []
+        apart, n_apart = self._encode(texts.take(pa.array(odd, pa.int64())))
         if len(odd):
-            apart = self._encode(texts.take(pa.array(odd)).to_pylist())
             mask = np.zeros(len(texts), bool)
             mask[odd] = True
             texts = pc.if_else(pa.array(mask), "", texts)
-        marked = pc.replace_substring(pc.replace_substring(texts, " ", _MARK + " "), "\n", _MARK + "\n")
-        lists = pc.split_pattern(marked, _MARK)
-        coded = lists.flatten().dictionary_encode()
-        place = pc.index_in(coded.dictionary, value_set=self.kept)
-        fresh = np.flatnonzero(place.is_null().to_numpy(zero_copy_only=False))
-        place = pc.fill_null(place, 0).to_numpy().astype(np.int64)
-        old = np.ones(len(place), bool)
-        old[fresh] = False
-        self.used[place[old]] = self.turn
-        # The ids of this batch's distinct pieces: those remembered, then those learnt now.
-        ids, begins, lengths = self.ids, self.ends[:-1][place] if len(self.kept) else np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
-        if len(self.kept):
-            lengths = np.diff(self.ends)[place]
-        if len(fresh):
-            learnt = self._learn(coded.dictionary.take(pa.array(fresh)).to_pylist())
-            lengths[fresh] = np.fromiter(map(len, learnt), np.int64, len(learnt)) // self.code.itemsize
-            begins[fresh] = len(ids) + np.cumsum(lengths[fresh]) - lengths[fresh]
-            ids = np.concatenate([ids, np.frombuffer(b"".join(learnt), self.code)])
-        index = coded.indices.to_numpy()
-        sizes = lengths[index]
-        data = ids[_runs(begins[index], sizes)].tobytes()
-        size = self.code.itemsize
+        lists = self._cut(texts)
         offsets = lists.offsets.to_numpy()
-        cuts = np.concatenate([[0], np.cumsum(sizes)])[offsets - offsets[0]]
+        offsets = offsets - offsets[0]
+        coded = lists.flatten().dictionary_encode()
+        del lists
+        # A piece is a core and perhaps a sign: "word", "word," and "word." are looked up, and remembered, as one.
+        pieces, index = coded.dictionary, coded.indices.to_numpy()
+        signed = pc.match_substring_regex(pieces, _SIGNED)
+        cores = pc.if_else(signed, pc.utf8_slice_codeunits(pieces, 0, -1), pieces)
+        at = np.flatnonzero(signed.to_numpy(zero_copy_only=False))
+        parts = pa.concat_arrays([cores, pc.utf8_slice_codeunits(pieces.filter(signed), -1)]).dictionary_encode()
+        ids, begins, lengths = self._look_up(parts.dictionary)
+        part = parts.indices.to_numpy()
+        both = np.full((len(pieces), 2), len(begins), np.int32)
+        both[:, 0], both[at, 1] = part[: len(pieces)], part[len(pieces) :]
+        begins, lengths = np.append(begins, 0)[both], np.append(lengths, 0)[both]
+        n_ids = lengths.sum(axis=1)
+        sizes = n_ids.astype(np.int32)[index]
+        cuts = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])[offsets]
         counts = np.diff(cuts)
-        if len(odd):
-            parts = [data[a * size : b * size] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-            for i, ids in zip(odd.tolist(), apart, strict=True):
-                parts[i] = ids
-                counts[i] = len(ids) // size
-            data = b"".join(parts)
+        counts[odd] = n_apart
+
+        def data() -> Iterator[np.ndarray]:
+            # The ids of this batch's distinct pieces, then those of its pieces in order, with those of the odd texts between them.
+            of_pieces = ids[_runs(begins.ravel(), lengths.ravel())]
+            first = np.cumsum(n_ids) - n_ids
+            stops = np.append(offsets[odd], len(index))
+            done = at_odd = 0
+            for k, stop in enumerate(stops.tolist()):
+                for begin in range(done, stop, _GATHER_PIECES):
+                    some = slice(begin, min(stop, begin + _GATHER_PIECES))
+                    yield of_pieces[_runs(first[index[some]], sizes[some])]
+                done = stop
+                if k < len(odd):
+                    yield apart[at_odd : at_odd + int(n_apart[k])]
+                    at_odd += int(n_apart[k])
+
+        return data(), counts
+
+    def encode_array(self, texts: pa.Array) -> tuple[bytes, np.ndarray]:
+        """The ids of all texts, one after the other, and the number of each text's ids. Null counts as empty."""
+        some, counts = self._encoded(texts)
+        data = b"".join(ids.tobytes() for ids in some)
+        pa.default_memory_pool().release_unused()
         return data, counts
 
+    def count_array(self, texts: pa.Array) -> np.ndarray:
+        """The number of each text's ids, which are then not gathered."""
+        counts = self._encoded(texts)[1]
+        pa.default_memory_pool().release_unused()
+        return counts
+
 
 def _runs(begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The numbers from each begin on, as many as its length, one run after the other."""
@@ -258,7 +304,7 @@ def with_token_counts(df: DataFrame, text: str, name: str, vocabulary: str | Non
     def work(batches: Batches) -> Batches:
         encoder = Encoder.of(path)
         for batch in gathered(batches, _ENCODE_BYTES):
-            _, counts = encoder.encode_array(batch.column(len(kept)))
+            counts = encoder.count_array(batch.column(len(kept)))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(counts + 1, pa.int64())], names=[*kept, name])
 
     schema = T.StructType([*df.select(*quoted).schema, T.StructField(name, T.LongType())])

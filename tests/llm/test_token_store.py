@@ -1,4 +1,8 @@
+import os
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -56,6 +60,49 @@ def test_memory_is_bounded(monkeypatch):
     assert len(encoder.kept) < 200
 
 
+def test_ids_some_at_a_time(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr("freshet.llm.token_store._LEARN_PIECES", 2)
+    monkeypatch.setattr("freshet.llm.token_store._GATHER_PIECES", 3)
+    encoder = Encoder(default_vocabulary(), 2)
+    texts = ["two  blanks ", "word word, word. wörd! 1st, 2nd; a.b ,", "", "x <|endoftext|> y", "no break", " \n ", "end, of it.\nword."]
+    expected = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    # New pieces, then remembered ones; a slice's offsets don't begin at 0.
+    for _ in range(2):
+        data, counts = encoder.encode_array(pa.array(["left out", *texts]).slice(1))
+        assert [x.tolist() for x in np.split(np.frombuffer(data, "<u2"), np.cumsum(counts)[:-1])] == expected
+        assert encoder.count_array(pa.array([*texts, None])).tolist() == [*map(len, expected), 0]
+    # A core is remembered once, whatever sign follows it.
+    assert len(set(encoder.kept.to_pylist())) == len(encoder.kept) and " word," not in encoder.kept.to_pylist()
+
+
+_MEASURED = """
+import random
+import pyarrow as pa
+import tokenizers, pyarrow.compute
+from freshet.llm.token_store import Encoder, default_vocabulary
+
+def kilobytes(field):
+    return int(next(line for line in open("/proc/self/status") if line.startswith(field)).split()[1])
+
+draw = random.Random(1)
+texts = pa.array([" ".join("".join(draw.choices("abcdefghijklmnop", k=9)) + draw.choice(["", ",", "."]) for _ in range(500)) for _ in range(400)])
+before = kilobytes("VmRSS")
+encoder = Encoder.of(default_vocabulary())
+encoder.encode_array(texts)
+print((kilobytes("VmHWM") - before) // 1024)
+"""
+
+
+@pytest.mark.skipif(not Path("/proc/self/status").exists(), reason="reads the process's memory from /proc")
+def test_memory_of_a_worker():
+    """The vocabulary is loaded once, and 200,000 new pieces don't all lie in memory as the library's objects."""
+    env = os.environ | {"PYTHONPATH": os.pathsep.join([str(Path(__file__).parents[2]), os.environ.get("PYTHONPATH", "")])}
+    done = subprocess.run([sys.executable, "-c", _MEASURED], env=env, capture_output=True, text=True, check=True, timeout=120)
+    assert int(done.stdout) < 150
+
+
 def test_store(spark, table, hard_rows, tmp_path):
     docs = table(hard_rows)
     manifest = write_tokens(docs, str(tmp_path / "store"), default_vocabulary(), docs_per_shard=3)
